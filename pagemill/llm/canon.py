@@ -43,18 +43,18 @@ FOREIGN = CYRILLIC | GREEK | ARMENIAN
 TO_CYRILLIC = {v: k for k, v in reversed(CYRILLIC.items())}
 
 #: Spaces other than the ordinary one, and signs that take no place on the page.
-SPACES = "   -   　"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 INVISIBLE = (
-    "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻"
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb"
     "\u0001-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f"
 )
 #: Full-width and half-width forms, and the letters and digits of the mathematical styles.
-WIDE = "！-ﾟﾡ-￮\U0001d400-\U0001d7ff"
-MARKS = "̀-͎͐-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
+WIDE = "\uff01-\uff9f\uffa1-\uffee\U0001d400-\U0001d7ff"
+MARKS = "\u0300-\u034e\u0350-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: Letters outside the alphabets of this corpus: Greek, Cyrillic, Armenian and Latin variants.
-OTHER = "Ͱ-ϿЀ-ԯԱ-֏" + "".join(sorted(LATIN_VARIANTS))
+OTHER = "\u0370-\u03ff\u0400-\u052f\u0531-\u058f" + "".join(sorted(LATIN_VARIANTS))
 #: Single characters with a canonical singleton decomposition (quick check No).
-SINGLETONS = "ἀ-῿ΩKÅ〈〉豈-﫿"
+SINGLETONS = "\u1f00-\u1fff\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff"
 UNSTABLE = f"[{SPACES}{INVISIBLE}{WIDE}{MARKS}{OTHER}{SINGLETONS}]"
 
 _SPACE = re.compile(f"[{SPACES}]")
