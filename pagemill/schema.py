@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 BLOCK = "struct<bbox:array<double>,category:string,text:string,level:int>"
 OCR = f"struct<origin_width:int,origin_height:int,input_width:int,input_height:int,layouts:array<{BLOCK}>>"
 EXAMS = (
@@ -13,11 +11,6 @@ EXAMS = (
 PAGES = f"id string, exam_id string, page_order smallint, file_path string, ocr_text {OCR}"
 
 
-def struct(ddl: str) -> T.StructType:
-    """The StructType of a DDL column list."""
-    return T.StructType.fromDDL(ddl)
-
-
 # The closed vocabularies of the data model.
 STATUSES = ("pending", "processing", "finished", "failed")
 LABELS = (

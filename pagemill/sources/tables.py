@@ -57,14 +57,12 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 def json_previews(spark: SparkSession, folder: str) -> DataFrame:
     """Locally staged previews, one JSON file each; unreadable files are skipped, a missing folder gives no row."""
-    from pagemill.schema import struct
-
     ddl = "previewId string, title string, createdAt string, pages array<struct<id:string,`order`:int,source:string,file:string>>, _corrupt_record string"
     try:
-        df = spark.read.schema(struct(ddl)).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+        df = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], struct(ddl)).drop("_corrupt_record")
+            return spark.createDataFrame([], ddl).drop("_corrupt_record")
         raise
     return df.where("_corrupt_record is null and previewId is not null").drop("_corrupt_record")
 
