@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12
 MAX_ITEM_BYTES = 64 << 20
 _WORD = re.compile(r"[^\W_]+")
-_PLAIN = str.maketrans({"đ": "d", "Đ": "d", "ð": "d", "Ð": "d"})
 
 
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
@@ -38,7 +37,7 @@ _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20
 def plain_words(text: str) -> list[str]:
     """The words of a text as they are compared: no case, no accents, đ as d."""
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_PLAIN)))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("đ", "d").replace("Đ", "d")
     return _WORD.findall(text.casefold())
 
 
