@@ -33,6 +33,7 @@ from pagemill.llm.canon import canonical
 from pagemill.llm.scan import (
     HYPHENS, TOKEN, Lexicon, build_lexicon, edge_lines, is_page_number, page_body, page_rows, running_templates, split_tail,
 )
+from pagemill.session import cut_lineage
 from pagemill.sources.tables import norm_key
 
 MIN_PAGES = 3
@@ -200,7 +201,7 @@ def edges(pages: DataFrame) -> DataFrame:
             out = []
             for exam, page, order, texts in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"]):
                 order = None if order is None or order != order else int(order)
-                blocks = [(i, canonical(t)) for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+                blocks = [(i, t) for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
                 out.extend((exam, page, i, skel) for i, skel, _, number in edge_lines(blocks, order) if len(skel) >= 4)
             yield pd.DataFrame(out, columns=["exam_id", "page_id", "block_idx", "skel"])
 
@@ -222,7 +223,7 @@ def found_noise(pages: DataFrame) -> DataFrame:
     """page_id, block_idx, kind of every noise in every block."""
     texts = pages.select(F.explode("ocr_text.layouts.text").alias("text")).where("text is not null")
     lex = build_lexicon(texts)
-    noise = page_noise(pages, lex, context_errors(pages, lex))
+    noise = cut_lineage(page_noise(pages, lex, context_errors(pages, lex)))
     local = noise.where("kind in ('hyphen', 'char', 'page_number')").select("page_id", "block_idx", "kind")
     over = over_pages(noise, lex).select("page_id", "block_idx", F.lit("hyphen").alias("kind"))
     running = running_blocks(pages).select("page_id", "block_idx", F.lit("running").alias("kind"))
