@@ -57,6 +57,7 @@ OTHER = "\u0370-\u03ff\u0400-\u052f\u0531-\u058f" + "".join(sorted(LATIN_VARIANT
 SINGLETONS = "\u1f00-\u1fff\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff"
 UNSTABLE = f"[{SPACES}{INVISIBLE}{WIDE}{MARKS}{OTHER}{SINGLETONS}]"
 
+_ANY = re.compile(UNSTABLE)
 _SPACE = re.compile(f"[{SPACES}]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _WIDE = re.compile(f"[{WIDE}]+")
@@ -105,7 +106,7 @@ def _segment(text: str) -> str:
 
 def canonical(text: str | None) -> str | None:
     """The consistent form of one value."""
-    if not text or text.isascii() and not _HIDDEN.search(text):
+    if not text or not _ANY.search(text):
         return text
     return _SEGMENT.sub(lambda m: _segment(m.group()), text)
 

@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import cut_lineage
+
 #: A word belongs to the lexicon from this share of all words on; at most 500,000 words can.
 MIN_SHARE = 2e-6
 MIN_COUNT = 3
@@ -92,15 +94,23 @@ class Lexicon:
 
 
 def words_of(texts: DataFrame, col: str) -> DataFrame:
-    """One row per word (lower case); words divided over lines and the last word of a text are left out."""
-    whole = F.regexp_replace(F.lower(col), rf"(?U)\p{{L}}+[{HYPHENS}]\n\p{{L}}+", " ")
-    whole = F.regexp_replace(whole, r"(?U)[\p{L}\p{N}]*[…�]?\s*\z", "")
-    return texts.select(F.explode(F.split(whole, r"(?U)[^\p{L}\p{M}\p{N}!|$@]+")).alias("word")).where(r"word rlike '^\\p{L}[\\p{L}\\p{M}]*$'")
+    """(word, n): lower-case words with their number of uses; words divided over lines and the last chunk of a text are left out.
+
+    Texts are cut at white space first and the chunks counted, with map-side combine; only the distinct
+    chunks, far fewer, are taken apart by patterns.
+    """
+    t = F.lower(col)
+    divided = F.exists(F.array(*[F.lit(h + "\n") for h in HYPHENS]), lambda h: F.contains(t, h))
+    whole = F.when(divided, F.regexp_replace(t, rf"(?U)\p{{L}}+[{HYPHENS}]\n\p{{L}}+", " ")).otherwise(t)
+    chunks = F.split(F.translate(whole, "\n\t", "  "), " ")
+    counted = texts.select(F.explode(F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    words = counted.select("n", F.explode(F.split("c", r"(?U)[^\p{L}\p{M}\p{N}!|$@]+")).alias("word"))
+    return words.where(r"word rlike '^\\p{L}[\\p{L}\\p{M}]*$'").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(texts: DataFrame, col: str = "text") -> Lexicon:
     """The lexicon of all values of `col`; its size is bounded by 1 / MIN_SHARE."""
-    counts = words_of(texts, col).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
+    counts = cut_lineage(words_of(texts, col).where(F.col("n") >= MIN_COUNT))
     # The total over words seen MIN_COUNT times is at most the true total, so the bound holds.
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)).collect() if total else []
@@ -163,13 +173,15 @@ def skeleton(line: str) -> str:
 def edge_lines(blocks: list[tuple[int, str]], page_order: int | None) -> list[tuple[int, str, str, bool]]:
     """(block_idx, skeleton, line, has its page number) for lines at the top or bottom of a page.
 
-    `blocks` holds (block_idx, text) of the blocks with text. Looked at are the first and last two
+    `blocks` holds (block_idx, raw text) of the blocks with text. Looked at are the first and last two
     blocks (a page number may stand outside the running line), in them the first and last two lines.
     """
+    from pagemill.llm.canon import canonical
+
     n = len(blocks)
     out = []
     for j in sorted({0, 1, n - 2, n - 1} & set(range(n))):
-        idx, text = blocks[j]
+        idx, text = blocks[j][0], canonical(blocks[j][1])
         lines = [x.strip() for x in text.split("\n") if x.strip()]
         for q in sorted({0, 1, len(lines) - 2, len(lines) - 1} & set(range(len(lines)))):
             if is_page_number(lines[q], page_order):
@@ -216,7 +228,7 @@ def running_templates(pages: DataFrame) -> frozenset[str]:
                         out.append(masked(split_tail(line, o)[0]))
             yield pd.DataFrame({"m": pd.Series(out, dtype="object")})
 
-    counts = lines.mapInPandas(run, "m string").groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 and length(m) >= 4")
+    counts = cut_lineage(lines.mapInPandas(run, "m string").groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 and length(m) >= 4"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return frozenset(r["m"] for r in counts.where(F.col("n") >= max(2, TEMPLATE_SHARE * total)).collect()) if total else frozenset()
 

@@ -70,7 +70,7 @@ def ending_contexts(pages: DataFrame) -> frozenset[str]:
     t = pages.select(F.explode("ocr_text.layouts.text").alias("t")).where(F.col("t").contains("…"))
     flat = F.regexp_replace(F.regexp_replace(F.lower("t"), r"(?U)\s+", " "), "[0-9]+", "0")
     ctx = t.select(F.explode(F.regexp_extract_all(flat, F.lit(r"(\S+ \S+ \S+)…(?= \S)"), 1)).alias("c"))
-    counts = ctx.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    counts = cut_lineage(ctx.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return frozenset(r["c"] for r in counts.where(F.col("n") >= max(2, 1e-4 * total)).collect()) if total else frozenset()
 
