@@ -39,6 +39,8 @@ from pagemill.sources.tables import norm_key
 MIN_PAGES = 3
 SALT = 16
 _BREAK = re.compile(rf"([^\W_]+(?:[!|$@][^\W_]+)*)[{HYPHENS}][ \t]*\n[ \t]*([^\W_]+(?:[!|$@][^\W_]+)*)")
+_BREAKISH = re.compile(rf"[{HYPHENS}][ \t]*\n")
+_HYPHEN_SET = frozenset(HYPHENS)
 _END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*\Z")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
 _TAIL_WORD = re.compile(r"[^\W_]*[…�]*\s*\Z")
@@ -165,7 +167,7 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
                                     line = head
                             kept.append(line)
                         text = "\n".join(kept)
-                    if "\n" in text:
+                    if _BREAKISH.search(text):
                         def joined(m: re.Match) -> str:
                             if joins(m[1], m[2], lex):
                                 kinds.add("hyphen")
@@ -173,7 +175,7 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
                             return m.group()
 
                         text = _BREAK.sub(joined, text)
-                    m = _END.search(text)
+                    m = _END.search(text) if text.rstrip()[-1:] in _HYPHEN_SET else None
                     if m:
                         rest = next((h for k, h in heads_after(blocks, j) if h[0].islower() and joins(m[1], h, lex)), None)
                         if rest:

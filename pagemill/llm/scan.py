@@ -99,12 +99,14 @@ def words_of(texts: DataFrame, col: str) -> DataFrame:
     Texts are cut at white space first and the chunks counted, with map-side combine; only the distinct
     chunks, far fewer, are taken apart by patterns.
     """
-    t = F.lower(col)
-    divided = F.exists(F.array(*[F.lit(h + "\n") for h in HYPHENS]), lambda h: F.contains(t, h))
+    t = F.col(col)
+    divided = F.lit(False)
+    for h in HYPHENS:
+        divided = divided | F.contains(t, F.lit(h + "\n"))
     whole = F.when(divided, F.regexp_replace(t, rf"(?U)\p{{L}}+[{HYPHENS}]\n\p{{L}}+", " ")).otherwise(t)
-    chunks = F.split(F.translate(whole, "\n\t", "  "), " ")
+    chunks = F.split(F.replace(whole, F.lit("\n"), F.lit(" ")), " ")
     counted = texts.select(F.explode(F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    words = counted.select("n", F.explode(F.split("c", r"(?U)[^\p{L}\p{M}\p{N}!|$@]+")).alias("word"))
+    words = counted.select("n", F.explode(F.split(F.lower("c"), r"(?U)[^\p{L}\p{M}\p{N}!|$@]+")).alias("word"))
     return words.where(r"word rlike '^\\p{L}[\\p{L}\\p{M}]*$'").groupBy("word").agg(F.sum("n").alias("n"))
 
 

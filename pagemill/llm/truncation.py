@@ -33,6 +33,8 @@ from pagemill.llm.scan import HYPHENS, Lexicon, build_lexicon, page_body, page_r
 from pagemill.session import cut_lineage
 
 BODY = ("Text", "Footnote")
+#: Characters at the end of a text that show how it ends; longer than any word.
+TAIL = 120
 _CLOSED = re.compile(r"[.?!。:;]\W*\Z|[.?!]</?\w+>\W*\Z")
 _GAP = re.compile(r"(?:_\s*){2,}\W*\Z|(?:[.…‥]\s*){4,}\Z|(?:…\s*){2,}\W*\Z|(?:\.\s){3,}\W*\Z|-{3,}\W*\Z")
 _OMISSION = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|…|\.\.\.)\s*\Z")
@@ -47,7 +49,7 @@ _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 
 def open_structure(text: str) -> bool:
     """True when markup or a formula begins and never ends."""
-    if text.count("$$") % 2 or re.search(r"(?<!\$)\$\Z", text) and "$$" in text:
+    if text.count("$$") % 2 or "$$" in text and text.endswith("$") and not text.endswith("$$"):
         return True
     if "<" not in text:
         return False
@@ -86,11 +88,12 @@ def judge(text: str, label: str, lex: Lexicon, endings: frozenset[str]) -> str:
         return "cut"
     if t[-1] == ">" or t.endswith("$$"):
         return ""
-    m = _OMISSION.search(t)
-    if _GAP.search(t):
+    tail = t[-TAIL:]  # the patterns below only say how a text ends
+    m = _OMISSION.search(tail)
+    if _GAP.search(tail):
         return ""
     if m:
-        before = t[: m.start()]
+        before = tail[: m.start()]
         c = _WORDS3.search(re.sub(r"\d+", "0", re.sub(r"\s+", " ", before.lower())))
         if c and c[1] in endings:
             return ""
@@ -98,12 +101,13 @@ def judge(text: str, label: str, lex: Lexicon, endings: frozenset[str]) -> str:
             return "cut"
         return ""
     if label in BODY:
-        return "" if _CLOSED.search(t) else "open"
+        return "" if _CLOSED.search(tail) else "open"
     return "cut" if _prefix(t, lex, 3) else ""
 
 
 def _prefix(text: str, lex: Lexicon, least: int = 1) -> bool:
     """The final token is an unknown proper prefix of known words."""
+    text = text[-TAIL:]
     m = _LAST.search(text)
     w = m[1].lower() if m and m.end(1) == len(text) else ""
     return len(w) >= least and w not in lex and w in lex.trie and lex.repair(w) is None
@@ -125,7 +129,7 @@ def judged(pages: DataFrame, lex: Lexicon, templates: frozenset[str], endings: f
                     v = judge(text, label, lex, endings)
                     if v == "open":
                         last = j == len(real) - 1 and label == "Text"
-                        m = _LAST.search(text)
+                        m = _LAST.search(text[-TAIL:])
                         hyphen = text.rstrip()[-1:] in HYPHENS
                         out.append(("open" if last else "cut", exam, page, order, source, i, (m[1] if m else "") + ("-" if hyphen else ""), False, len(text)))
                     elif v:
