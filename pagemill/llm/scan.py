@@ -23,13 +23,14 @@ NOISE_RATIO = 8
 
 # What scanners read (left) for what is printed (right).
 CONFUSIONS = (
-    ("ii", "u"), ("li", "h"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("f", "t"),
-    ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("0", "o"), ("9", "g"), ("5", "s"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("$", "s"), ("@", "a"),
+    ("ii", "u"), ("li", "h"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("f", "t"), ("m", "rn"),
+    ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("0", "o"), ("9", "g"), ("9", "q"), ("5", "s"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("$", "s"), ("@", "a"),
 )
 HYPHENS = "-¬­‐‑"
 WORD = r"[^\W\d_]+"
 #: A word as a scanner may have read it: letters with digits or signs among them.
-TOKEN = re.compile(r"(?:[^\W_]|[!|$@](?=[^\W\d_]))*[^\W\d_](?:[^\W_]|[!|$@](?=[^\W\d_]))*")
+TOKEN = re.compile(r"(?:[^\W_]|[!|$@](?=[^\W\d_]))*[^\W\d_](?:[^\W_]|[!|$@](?=[^\W\d_]))*!?")
+_DOUBLE_L = re.compile(r"(?<=[a-zß-ÿ])U")
 _CLASSLIKE = re.compile(r"\d+[^\W\d_]{1,2}\d*\Z|[^\W\d_]\d+\Z")
 _NUMBERLIKE = re.compile(r"[\dlIiOo|!]+\Z")
 
@@ -86,7 +87,11 @@ class Lexicon:
 
     def _repair(self, token: str) -> str | None:
         """The known word that was misread as `token`; None for known words, numbers and unknown words."""
-        low = token.lower()
+        low = _DOUBLE_L.sub("ll", token).lower()
+        if low != token.lower() and low in self.counts:
+            return low
+        if low.endswith("!") and (low[:-1] in self.counts or len(low) < 3):
+            return None
         if low in self.counts or len(low) < 2 or _NUMBERLIKE.match(token) or _CLASSLIKE.match(token):
             return None
         found = [r for r in repairs(low, self.counts, 3 if len(low) > 3 else 2) if len(r) > 1]
@@ -163,7 +168,7 @@ def split_tail(line: str, page_order: int | None) -> tuple[str, str]:
 #: Every letter as the simplest shapes it may be read as; two readings of one line meet there.
 _SHAPES = str.maketrans({
     "m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv", "e": "c", "f": "t", "l": "i", "1": "i", "!": "i", "|": "i",
-    "0": "o", "9": "g", "5": "s", "$": "s", "6": "b", "8": "b", "3": "c", "4": "a", "@": "a", "7": "t",
+    "0": "o", "9": "g", "q": "g", "5": "s", "$": "s", "6": "b", "8": "b", "3": "c", "4": "a", "@": "a", "7": "t",
 })
 
 
@@ -172,6 +177,10 @@ def skeleton(line: str) -> str:
     return "".join(line.lower().translate(_SHAPES).split())
 
 
+#: A running line is shorter than this; longer lines are text.
+MAX_LINE = 200
+
+
 def edge_lines(blocks: list[tuple[int, str]], page_order: int | None) -> list[tuple[int, str, str, bool]]:
     """(block_idx, skeleton, line, has its page number) for lines at the top or bottom of a page.
 
@@ -183,14 +192,17 @@ def edge_lines(blocks: list[tuple[int, str]], page_order: int | None) -> list[tu
     n = len(blocks)
     out = []
     for j in sorted({0, 1, n - 2, n - 1} & set(range(n))):
-        idx, text = blocks[j][0], canonical(blocks[j][1])
-        lines = [x.strip() for x in text.split("\n") if x.strip()]
+        idx = blocks[j][0]
+        lines = [x.strip() for x in blocks[j][1].split("\n") if x.strip()]
         for q in sorted({0, 1, len(lines) - 2, len(lines) - 1} & set(range(len(lines)))):
+            if len(lines[q]) > MAX_LINE + 60:
+                continue
+            lines[q] = canonical(lines[q])
             if is_page_number(lines[q], page_order):
                 out.append((idx, "", lines[q], True))
                 continue
             head, tail = split_tail(lines[q], page_order)
-            if len(head) < 200:
+            if len(head) < MAX_LINE:
                 out.append((idx, skeleton(head), lines[q], bool(tail)))
     return out
 
@@ -254,7 +266,7 @@ def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> li
         keep = []
         for q, line in enumerate(lines):
             s = line.strip()
-            edge = (q < 2 or q >= len(lines) - 2) and (is_page_number(s, order) or (len(s) < 200 and bool(s) and masked(split_tail(s, order)[0]) in templates))
+            edge = (q < 2 or q >= len(lines) - 2) and (is_page_number(s, order) or (len(s) < MAX_LINE and bool(s) and masked(split_tail(s, order)[0]) in templates))
             if not edge:
                 keep.append(line)
         body = "\n".join(keep)

@@ -6,7 +6,7 @@ OCR = "struct<origin_width:int,origin_height:int,input_width:int,input_height:in
 PAGES = f"id string, exam_id string, page_order smallint, file_path string, ocr_text {OCR}, extra string, texts string, page_id string"
 
 WORDS = "the greenhouse staff carefully described a quadratic equation without using a calculator before the storm arrived in thorn market".split()
-LEX = scan.Lexicon({w: 500 for w in WORDS} | {"described": 600, "rnarket": 2, "hình": 400, "người": 400, "without": 500, "tin": 300, "using": 200})
+LEX = scan.Lexicon({w: 500 for w in WORDS} | {"described": 600, "rnarket": 2, "hình": 400, "người": 400, "without": 500, "tin": 300, "using": 200, "người": 300, "carefully": 500, "morning": 50})
 SENTENCE = "The greenhouse staff carefully described a quadratic equation."
 
 
@@ -26,6 +26,7 @@ def body(spark, n=12):
 def test_lexicon_drops_noise_and_repairs():
     assert "rnarket" not in LEX and LEX.repair("rnarket") == "market" and LEX.repair("grccnhouse") == "greenhouse"
     assert LEX.repair("f1nd") is None and LEX.repair("8D2") is None and LEX.repair("equati0n") == "equation" and LEX.repair("liìnli") == "hình"
+    assert LEX.repair("carefuUy") == "carefully" and LEX.repair("moming") == "morning" and LEX.repair("e9uation") == "equation" and LEX.repair("storm!") is None and LEX.repair("t!n!") is None and LEX.repair("ngườ!") == "người"
     assert LEX.repair("tlie") == "the" and LEX.repair("zzz") is None and LEX.repair("Ngưòi") is None
 
 
