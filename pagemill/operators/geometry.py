@@ -76,6 +76,14 @@ def content_margins(blocks: DataFrame, by: list[str], start: str, end: str, exte
     return g.select(*by, clamp(F.element_at("s", t + 1)).alias("before"), clamp(F.col("extent") - F.element_at("e", n - t)).alias("after"))
 
 
+def margins_of(starts: Column, ends: Column, extent: Column) -> dict[str, Column]:
+    """G6 inside a page's row: {left, right} from arrays of block starts and ends."""
+    n = F.size(starts)
+    t = F.floor(n * F.lit(TRIM)).cast("int")
+    clamp = lambda v: F.least(F.greatest(v, F.lit(float(MARGIN_LEAST))), F.lit(float(MARGIN_MOST)))
+    return {"left": clamp(F.element_at(F.array_sort(starts), t + 1)), "right": clamp(extent - F.element_at(F.array_sort(ends), n - t))}
+
+
 def column_widths(columns: DataFrame, by: list[str], order: str, content: Column) -> DataFrame:
     """Widths of the columns of a section, in pixels: each reaches to the next, and all fit the content width."""
     gap = GAP_TWIPS / TWIPS_PER_PX

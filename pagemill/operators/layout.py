@@ -59,7 +59,7 @@ def split_columns(x1: np.ndarray, x2: np.ndarray, page_width: float) -> np.ndarr
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _columns_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def columns_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x1, x2, w in batches:
         yield pd.Series([split_columns(np.asarray(a, float), np.asarray(b, float), float(p)).tolist() if a is not None and p and p > 0 else None for a, b, p in zip(x1, x2, w)])
 
@@ -69,12 +69,21 @@ def with_columns(pages: DataFrame) -> DataFrame:
     lay = F.transform("ocr_text.layouts", lambda b, i: F.struct(i.alias("block_idx"), b["category"].alias("category"), b["bbox"].alias("bbox")))
     main = F.filter(lay, lambda b: (F.size(b["bbox"]) == 4) & ~b["category"].isin("Page-header", "Page-footer"))
     src = pages.select(F.col("id").alias("page_id"), F.col("ocr_text.origin_width").cast("double").alias("w"), main.alias("m")).where(F.size("m") > 0)
-    cols = _columns_of(F.transform("m", lambda b: b["bbox"][0]), F.transform("m", lambda b: b["bbox"][2]), F.col("w"))
+    cols = columns_of(F.transform("m", lambda b: b["bbox"][0]), F.transform("m", lambda b: b["bbox"][2]), F.col("w"))
     src = src.withColumn("c", cols).where("c is not null")
     z = F.arrays_zip(F.transform("m", lambda b: b["block_idx"]).alias("block_idx"), F.col("c").alias("column_idx"))
     return src.select("page_id", F.inline(z)).toDF("page_id", "block_idx", "column_idx")
 
 
+def side_by_side(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column) -> Column:
+    """L3: two column boxes stand side by side: hardly any overlap across, much overlap in height."""
+    overlap = lambda a1, a2, b1, b2: F.greatest(F.least(a2, b2) - F.greatest(a1, b1), F.lit(0.0))
+    share = lambda o, a, b: F.when(F.least(a, b) > 0, o / F.least(a, b)).otherwise(0.0)
+    x = share(overlap(ax1, ax2, bx1, bx2), ax2 - ax1, bx2 - bx1)
+    y = share(overlap(ay1, ay2, by1, by2), ay2 - ay1, by2 - by1)
+    return (x <= MAX_X_OVERLAP) & (y >= MIN_Y_OVERLAP)
+
+
 def sections_of(columns: DataFrame, page: str = "page_id", order: str = "column_idx") -> DataFrame:
     """L3, L4: section_idx of column boxes: neighbours side by side share a section.
 
@@ -82,11 +91,7 @@ def sections_of(columns: DataFrame, page: str = "page_id", order: str = "column_
     """
     w = Window.partitionBy(page).orderBy(order)
     p = {c: F.lag(c).over(w) for c in ("x1", "y1", "x2", "y2")}
-    overlap = lambda a1, a2, b1, b2: F.greatest(F.least(a2, b2) - F.greatest(a1, b1), F.lit(0.0))
-    share = lambda o, a, b: F.when(F.least(a, b) > 0, o / F.least(a, b)).otherwise(0.0)
-    x = share(overlap(p["x1"], p["x2"], F.col("x1"), F.col("x2")), p["x2"] - p["x1"], F.col("x2") - F.col("x1"))
-    y = share(overlap(p["y1"], p["y2"], F.col("y1"), F.col("y2")), p["y2"] - p["y1"], F.col("y2") - F.col("y1"))
-    same = (x <= MAX_X_OVERLAP) & (y >= MIN_Y_OVERLAP)
+    same = side_by_side(p["x1"], p["y1"], p["x2"], p["y2"], F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     brk = F.when(p["x1"].isNull() | same, 0).otherwise(1)
     return columns.withColumn("_brk", brk).withColumn("section_idx", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_brk")
 

@@ -7,43 +7,65 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup, text
 from pagemill.operators import geometry, layout
-from pagemill.sources.tables import blocks, distinct_pages
+from pagemill.operators.mutations import latest_by
+from pagemill.sources.tables import blocks, distinct_pages, norm_key
 
 
 def fitted(pages: DataFrame) -> DataFrame:
-    """Blocks with a box, moved to the nearest paper; rejected says that the page's ratio is too far off."""
-    b = blocks(distinct_pages(pages)).where("x1 is not null").withColumn("p", geometry.nearest_paper(F.col("ow"), F.col("oh"))).where("p is not null")
-    move = {c: geometry.scaled(F.col(c), F.col(f"p.{t}"), F.col(o)).cast("double") for c, t, o in (("x1", "width", "ow"), ("y1", "height", "oh"), ("x2", "width", "ow"), ("y2", "height", "oh"))}
-    return b.withColumns(move | {"paper": F.col("p.name"), "page_w": F.col("p.width"), "page_h": F.col("p.height"), "rejected": F.col("p.diff") > geometry.MAX_RATIO_DIFF}).drop("p")
+    """One row per page with its boxed blocks moved to the nearest paper (F3, G2-G5, G7): main, w, h, rejected.
+
+    Boxes, header split and stamp removal are array expressions inside the page's row, so a page's
+    blocks are neither shuffled nor joined for them.
+    """
+    # A window and not dropDuplicates: its aggregate would swallow the array expressions and the column split.
+    p = latest_by(pages, ["id"], [F.col("page_order")]).withColumn("n", geometry.nearest_paper(F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"))).where("n is not null")
+    ow, oh, tw, th = F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"), F.col("n.width"), F.col("n.height")
+    move = lambda b, i: geometry.scaled(b["bbox"][i], th if i % 2 else tw, oh if i % 2 else ow).cast("double")
+    boxed = F.filter(F.transform("ocr_text.layouts", lambda b, i: F.struct(i.alias("block_idx"), b.alias("b"))), lambda x: F.size(x["b"]["bbox"]) == 4)
+    arr = F.transform(
+        boxed,
+        lambda x: F.struct(
+            x["block_idx"].alias("block_idx"), x["b"]["category"].alias("category"), x["b"]["level"].alias("level"), x["b"]["text"].alias("text"),
+            *[move(x["b"], i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
+        ),
+    )
+    p = p.select(norm_key("exam_id").alias("exam_id"), F.col("id").alias("page_id"), F.col("page_order").cast("int").alias("page_order"), tw.alias("page_w"), th.alias("page_h"), (F.col("n.diff") > geometry.MAX_RATIO_DIFF).alias("rejected"), arr.alias("all"))
+    p = p.withColumn("body", F.filter("all", lambda b: ~F.coalesce(b["category"].isin("Page-header", "Page-footer"), F.lit(False)))).drop("all")
+    hit = lambda a: F.exists("body", lambda z: (z["block_idx"] != a["block_idx"]) & (a["x1"] < z["x2"]) & (z["x1"] < a["x2"]) & (a["y1"] < z["y2"]) & (z["y1"] < a["y2"]))
+    return p.withColumn("main", F.filter("body", lambda a: F.coalesce(a["category"] != "Picture", F.lit(True)) | ~hit(a))).drop("body")
 
 
 def layout_plan(pages: DataFrame) -> DataFrame:
     """One row per rendered block: place (section, column), style, font, alignment and page break kind.
 
     Headers and footers hang on the page's first section; a page without main blocks renders nothing.
+    The only shuffle is the one that removes repeated pages: columns are split inside the page's row,
+    and all windows are partitioned by page.
     """
-    b = fitted(pages).where("not rejected")
-    main = geometry.without_stamps(b.where(~F.col("category").isin("Page-header", "Page-footer")))
-    placed = main.join(layout.with_columns(distinct_pages(pages)), ["page_id", "block_idx"])
-    cols = layout.sections_of(geometry.union_boxes(placed, ["page_id", "column_idx"]))
-    cols = cols.withColumn("n_cols", F.count(F.lit(1)).over(Window.partitionBy("page_id", "section_idx")))
-    cols = cols.select("page_id", "column_idx", "section_idx", "n_cols", F.col("x1").alias("cx1"), F.col("x2").alias("cx2"))
-    out = placed.join(cols, ["page_id", "column_idx"])
-    margins = geometry.content_margins(main, ["page_id"], "x1", "x2", F.col("page_w").cast("double")).withColumnRenamed("before", "left").withColumnRenamed("after", "right")
-    out = out.join(margins, "page_id")
-    single = F.col("n_cols") == 1
-    ref1 = F.when(single, F.col("left")).otherwise(F.col("cx1"))
-    ref2 = F.when(single, F.col("page_w") - F.col("right")).otherwise(F.col("cx2"))
+    p = fitted(pages).where("not rejected and size(main) > 0")
+    xs = lambda c: F.transform("main", lambda b: b[c])
+    p = p.withColumn("col", layout.columns_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
+    p = p.withColumns(geometry.margins_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
+    z = p.select("exam_id", "page_id", "page_order", "page_w", "left", "right", "col", F.posexplode("main").alias("k", "b"))
+    z = z.withColumn("column_idx", F.element_at("col", F.col("k") + 1)).select("exam_id", "page_id", "page_order", "page_w", "left", "right", "column_idx", "b.*")
+    box, page = Window.partitionBy("page_id", "column_idx"), Window.partitionBy("page_id").orderBy("block_idx")
+    z = z.withColumns({"cx1": F.min("x1").over(box), "cy1": F.min("y1").over(box), "cx2": F.max("x2").over(box), "cy2": F.max("y2").over(box)})
+    prev = {c: F.lag(c).over(page) for c in ("column_idx", "cx1", "cy1", "cx2", "cy2")}
+    same = layout.side_by_side(*(prev[c] for c in ("cx1", "cy1", "cx2", "cy2")), *(F.col(c) for c in ("cx1", "cy1", "cx2", "cy2")))
+    brk = F.when(prev["column_idx"].isNull() | (prev["column_idx"] == F.col("column_idx")) | same, 0).otherwise(1)
+    z = z.withColumn("_brk", brk).withColumn("section_idx", F.sum("_brk").over(page.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    sec = Window.partitionBy("page_id", "section_idx")
+    z = z.withColumn("single", F.min("column_idx").over(sec) == F.max("column_idx").over(sec))
     cat = F.col("category")
     style = F.when(cat == "Title", "Title").when(cat == "Section-header", F.concat(F.lit("Heading "), F.coalesce("level", F.lit(3)).cast("string"))).when(cat == "Picture", "blank").otherwise("body")
+    ref1 = F.when(F.col("single"), F.col("left")).otherwise(F.col("cx1"))
+    ref2 = F.when(F.col("single"), F.col("page_w") - F.col("right")).otherwise(F.col("cx2"))
     align = F.when(cat == "Title", "CENTER").otherwise(geometry.alignment(F.col("x1"), F.col("x2"), ref1, ref2))
-    w = Window.partitionBy("page_id").orderBy("block_idx")
-    first = F.row_number().over(w) == 1
-    new_section = F.lag("section_idx").over(w) != F.col("section_idx")
-    brk = F.when(first & (F.col("page_order") > 1), "NEW_PAGE").when(first, "FIRST").when(new_section, "CONTINUOUS").otherwise("")
-    return out.select(
+    first = F.row_number().over(page) == 1
+    kind = F.when(first & (F.col("page_order") > 1), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
+    return z.select(
         "exam_id", "page_id", "page_order", "section_idx", "column_idx", "block_idx", "category", style.alias("style"), align.alias("align"),
-        text.font_points(cat).alias("font_pt"), (cat == "Title").alias("force_bold"), brk.alias("break_type"),
+        text.font_points(cat).alias("font_pt"), (cat == "Title").alias("force_bold"), kind.alias("break_type"),
         geometry.twips(F.col("page_w")).alias("page_w_twips"), geometry.twips(F.col("left")).alias("left_twips"), geometry.twips(F.col("right")).alias("right_twips"), "text",
     )
 

@@ -50,3 +50,24 @@ def test_completion_stream_equals_batch(spark, sf, tmp_path):
     assert got == want and want
     drain(completion_stream(stream, totals), str(tmp_path / "cp"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+
+
+def test_flagship_keeps_every_block_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import geometry
+    from pagemill.plans import render
+    from pagemill.sources.tables import blocks, distinct_pages
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plan = render.layout_plan(pages).cache()
+    assert plan.count() == plan.select("page_id", "block_idx").distinct().count()
+    boxed = blocks(distinct_pages(pages)).where("x1 is not null and category not in ('Page-header', 'Page-footer')")
+    ratio = geometry.nearest_paper(F.col("ow"), F.col("oh"))["diff"] <= geometry.MAX_RATIO_DIFF
+    assert plan.count() == geometry.without_stamps(boxed.where(ratio)).count()
+    order = [(r.page_id, r.block_idx, r.section_idx, r.column_idx) for r in plan.orderBy("page_id", "block_idx").collect()]
+    for a, b in zip(order, order[1:]):
+        if a[0] == b[0]:
+            assert b[2] in (a[2], a[2] + 1) and b[3] in (a[3], a[3] + 1)
+    assert render.with_content(plan).count() == plan.count()
+    assert render.export_plan(pages, "plain").count() > 0 and render.export_plan(pages, "pdf").count() > 0
