@@ -4,12 +4,10 @@ Kinds of noise: `hyphen` (a word divided over two lines or blocks), `char` (a wo
 characters), `running` (a line that returns at the top or bottom of at least MIN_PAGES and a third
 of an exam's pages) and `page_number`.
 
-Method: the lines of a block are joined to one character stream and segmented into words jointly.
-Stretches of known words cost nothing and pass at once; around anything else (an unknown form, a
-hyphen at a line end) a lattice over the characters is decoded by dynamic programming: a piece is a
-known word, a known word read with confusions, a word joined over a hyphen or a gap, or an
-unknown stretch, each with a cost from the corpus lexicon. Paragraph boundaries between the lines
-and blocks are chosen by a second dynamic programme over line ends.
+Method: the lines of a block are joined to one character stream and segmented into words jointly, by
+dynamic programming with splits, merges, confusions and hyphens against the corpus lexicon (see
+`Decoder`); the repairs on the cheapest path are the noise found. Paragraph boundaries between lines are
+chosen by a second dynamic programme over line ends.
 
 At scale: pages are judged alone (one row each, no shuffle). Lines that return are counted by
 (exam, line) with map-side combine; only lines that qualify go back to the pages, salted, since one
@@ -38,12 +36,12 @@ from pagemill.sources.tables import norm_key
 
 MIN_PAGES = 3
 SALT = 16
-_BREAK = re.compile(rf"([^\W_]+(?:[!|$@][^\W_]+)*)[{HYPHENS}][ \t]*\n[ \t]*([^\W_]+(?:[!|$@][^\W_]+)*)")
-_BREAKISH = re.compile(rf"[{HYPHENS}][ \t]*\n")
+_BREAKISH = re.compile(rf"(?<=[^\W_])[{HYPHENS}][ \t]*\n[ \t]*")
+_TAIL_LETTERS = re.compile(r"[^\W_]+\Z")
+_HEAD_LETTERS = re.compile(r"[^\W_]+")
 _HYPHEN_SET = frozenset(HYPHENS)
 _END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*\Z")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
-_TAIL_WORD = re.compile(r"[^\W_]*[…�]*\s*\Z")
 
 
 def joins(a: str, b: str, lex: Lexicon) -> str | None:
@@ -60,42 +58,136 @@ def joins(a: str, b: str, lex: Lexicon) -> str | None:
     return w if len(w) > 3 and (a.lower() not in lex or b.lower() not in lex) and not (a.lower() in lex and lex.repair(b)) else None
 
 
-class Chunks:
-    """Verdicts on space-separated chunks, remembered; the memory is bounded."""
+_UNKNOWN = 12.0
+_CONFUSED = 3.0
+_JOINED = 1.0
+_LEFT_OPEN = 3.0
+_MARK = "\ue000"  # stands for a hyphen at a line end in the de-lined stream
+_EDGE = "*.,;:?!()«»\"'’"
 
-    def __init__(self, lex: Lexicon, pairs: dict[str, dict[str, str]], most: int = 200_000):
-        self.lex, self.pairs, self.most, self.seen = lex, pairs, most, {}
 
-    def noisy(self, chunk: str) -> bool:
-        v = self.seen.get(chunk)
+class Decoder:
+    """Joint word segmentation of de-lined text against a lexicon; verdicts on pieces are remembered, within a bound.
+
+    The text's lines are joined to one stream of pieces. Stretches of known pieces cost nothing. Around
+    every other piece (an unknown form, a line-end hyphen) a lattice is decoded by dynamic programming:
+    state k is 'the first k pieces are segmented'; from there one piece is taken as it is (known, misread or
+    unknown), or split into two known words, or joined with the next one over a hyphen or a stray
+    gap. Costs are negative log frequencies, with a price for each repair.
+    """
+
+    def __init__(self, lex: Lexicon, pairs: dict[str, dict[str, str]] | None = None, most: int = 200_000):
+        self.lex, self.pairs, self.most = lex, pairs or {}, most
+        self.total = sum(lex.counts.values()) or 1
+        self.known_: dict[str, bool] = {}
+        self.cost_: dict[str, tuple[float, str, bool]] = {}
+
+    def _word(self, w: str) -> float:
+        return math.log(self.total / self.lex.counts[w]) / 4
+
+    def known(self, piece: str) -> bool:
+        v = self.known_.get(piece)
         if v is None:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            v = self.seen[chunk] = any(self.lex.repair(m.group()) for m in TOKEN.finditer(chunk))
+            if len(self.known_) >= self.most:
+                self.known_.clear()
+            v = self.known_[piece] = piece[-1] != _MARK and all(
+                m.group().lower() in self.lex or not m.group().isalpha() and self.lex.repair(m.group()) is None for m in TOKEN.finditer(piece)
+            )
         return v
 
-    def misread(self, text: str) -> bool:
-        """True when a word of the text has misread characters (its broken end apart)."""
-        chunks = text.split()
-        if not chunks:
-            return False
-        for c in chunks[:-1]:
-            if self.noisy(c):
-                return True
-        last = chunks[-1]
-        if self.noisy(last) and not self._broken(text, last):
-            return True
-        if self.pairs:
-            low = [w.strip("*.,;:?!()«»\"'’") for w in text.lower().split()]
-            for a, b in zip(low, low[1:]):
-                if b in self.pairs and a in self.pairs[b]:
-                    return True
-        return False
-
-    def _broken(self, text: str, last: str) -> bool:
-        m = _TAIL_WORD.search(text)
-        w = m.group().rstrip("…� \n\t").lower() if m else ""
-        return bool(w) and w in self.lex.trie and len(w) < 3
+    def cost(self, piece: str) -> tuple[float, str, bool]:
+        """(cost, piece as printed, it was misread)."""
+        v = self.cost_.get(piece)
+        if v is None:
+            if len(self.cost_) >= self.most:
+                self.cost_.clear()
+            c, out, misread = 0.0, piece, False
+            for m in TOKEN.finditer(piece):
+                tok, low = m.group(), m.group().lower()
+                if low in self.lex:
+                    c += self._word(low)
+                    continue
+                r = self.lex.repair(tok)
+                if r:
+                    c += self._word(r) + _CONFUSED
+                    out = out.replace(tok, r.upper() if tok.isupper() and len(tok) > 1 else r.capitalize() if tok[0].isupper() else r, 1)
+                    misread = True
+                else:
+                    c += _UNKNOWN
+            v = self.cost_[piece] = (c, out, misread)
+        return v
+
+    def _island(self, pieces: list[str]) -> tuple[list[str], set[str]]:
+        best: list[tuple[float, int, str, str]] = [(0.0, -1, "", "")] + [(math.inf, -1, "", "")] * len(pieces)
+        for k, w in enumerate(pieces):
+            base, options = best[k][0], []
+            hyphen = w[-1] == _MARK
+            bare = w[:-1] if hyphen else w
+            c, out, misread = self.cost(bare) if bare else (0.0, "", False)
+            options.append((1, c + (_LEFT_OPEN if hyphen else 0.0), out + "-" if hyphen else out, "char" if misread else ""))
+            if not self.known(w) and not hyphen:
+                core = w.strip(_EDGE)
+                for cut in range(2, len(core) - 1):
+                    x, y = core[:cut], core[cut:]
+                    if x.lower() in self.lex and y.lower() in self.lex:
+                        options.append((1, self._word(x.lower()) + self._word(y.lower()) + _JOINED + 4, w.replace(core, f"{x} {y}", 1), ""))
+            if k + 1 < len(pieces):
+                nxt = pieces[k + 1]
+                if hyphen:
+                    m, n = _TAIL_LETTERS.search(bare), _HEAD_LETTERS.match(nxt)
+                    if m and n and not (n[0][0].isupper() and not m[0].isupper()) and not (m[0].isdigit() or n[0].isdigit()):
+                        c, out, misread = self.cost(bare + nxt)
+                        options.append((2, c + _JOINED, out, "hyphen char" if misread else "hyphen"))
+                elif not (self.known(w) and self.known(nxt)) and nxt[-1] != _MARK:
+                    c, out, _ = self.cost(w + nxt)
+                    if c < _UNKNOWN:
+                        options.append((2, c + _JOINED + 2, out, ""))
+            for step, c, out, kind in options:
+                if base + c < best[k + step][0]:
+                    best[k + step] = (base + c, k, out, kind)
+        out, kinds, k = [], set(), len(pieces)
+        while k > 0:
+            _, k, piece, kind = best[k]
+            out.append(piece)
+            kinds.update(kind.split())
+        return out[::-1], kinds
+
+    def decode(self, text: str, want_text: bool = True) -> tuple[str, set[str]]:
+        """(the repaired text as one line, the kinds of noise that were repaired: hyphen, char)."""
+        stream = _BREAKISH.sub(_MARK + " ", text) if _BREAKISH.search(text) else text
+        pieces = stream.split()
+        odd = [i for i, p in enumerate(pieces) if not self.known(p)]
+        kinds: set[str] = set()
+        out: list[str] = []
+        at = 0
+        k = 0
+        while k < len(odd):
+            lo, hi = odd[k], odd[k] + 1
+            while k + 1 < len(odd) and odd[k + 1] <= hi + 1:
+                k += 1
+                hi = odd[k] + 1
+            k += 1
+            lo, hi = max(at, lo - 1), min(len(pieces), hi + 1)
+            part = pieces[lo:hi]
+            if hi == len(pieces) and self._broken(part[-1]):
+                words, found = self._island(part[:-1]) if len(part) > 1 else ([], set())
+                words = words + [part[-1]]
+            else:
+                words, found = self._island(part)
+            kinds |= found
+            if want_text:
+                out += pieces[at:lo] + words
+            at = hi
+        if self.pairs and "char" not in kinds:
+            low = [w.strip(_EDGE) for w in text.lower().split()]
+            if any(b in self.pairs and a in self.pairs[b] for a, b in zip(low, low[1:])):
+                kinds.add("char")
+        return (" ".join(out + pieces[at:]) if want_text else ""), kinds
+
+    def _broken(self, last: str) -> bool:
+        """The last piece is the short beginning of a word, broken off: no misread word."""
+        w = last.rstrip("…�.").lower()
+        return 0 < len(w) < 3 and w in self.lex.trie
 
 
 def context_errors(pages: DataFrame, lex: Lexicon) -> dict[str, dict[str, str]]:
@@ -140,7 +232,7 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, pairs = bc.value
-        chunks = Chunks(lex, pairs)
+        decoder = Decoder(lex, pairs)
         for b in batches:
             out = []
             for exam, page, order, texts in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"]):
@@ -167,14 +259,7 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
                                     line = head
                             kept.append(line)
                         text = "\n".join(kept)
-                    if _BREAKISH.search(text):
-                        def joined(m: re.Match) -> str:
-                            if joins(m[1], m[2], lex):
-                                kinds.add("hyphen")
-                                return m[1] + m[2]
-                            return m.group()
-
-                        text = _BREAK.sub(joined, text)
+                    kinds |= decoder.decode(text, want_text=False)[1]
                     m = _END.search(text) if text.rstrip()[-1:] in _HYPHEN_SET else None
                     if m:
                         rest = next((h for k, h in heads_after(blocks, j) if h[0].islower() and joins(m[1], h, lex)), None)
@@ -182,8 +267,6 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
                             kinds.add("hyphen")
                         else:
                             out.append((exam, page, order, i, "half", m[1]))
-                    if chunks.misread(text):
-                        kinds.add("char")
                     out.extend((exam, page, order, i, k, "") for k in kinds)
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"page_order": "Int32"})
 
@@ -247,78 +330,9 @@ def over_pages(noise: DataFrame, lex: Lexicon) -> DataFrame:
 
 # Repair -------------------------------------------------------------------------------------
 
-_UNKNOWN = 12.0
-_CONFUSED = 3.0
-_JOINED = 1.0
-
-
 def decode(text: str, lex: Lexicon) -> str:
-    """One block's text as a line of words: de-lined, hyphens joined, misread words repaired.
-
-    A dynamic programme over space-separated pieces: state k is 'the first k pieces are segmented'.
-    From k it may take one piece (known, misread or unknown), join two pieces over a line-end hyphen
-    or a stray gap, or split one piece into two known words. Costs are negative log frequencies.
-    """
-    pieces = text.replace("\n", " \n ").split(" ")
-    words: list[tuple[str, bool]] = []  # (piece, a line break follows)
-    for p in pieces:
-        if p == "\n":
-            if words:
-                words[-1] = (words[-1][0], True)
-        elif p:
-            words.append((p, False))
-    if not words:
-        return ""
-    known = [not any(m.group().lower() not in lex for m in TOKEN.finditer(w)) and not (brk and w[-1] in HYPHENS) for w, brk in words]
-    if all(known):
-        return " ".join(w for w, _ in words)
-    total = sum(lex.counts.values()) or 1
-
-    def cost(w: str) -> tuple[float, str]:
-        c, out = 0.0, w
-        for m in TOKEN.finditer(w):
-            tok = m.group()
-            n = lex.counts.get(tok.lower())
-            if n:
-                c += math.log(total / n) / 4
-                continue
-            r = lex.repair(tok)
-            if r:
-                r = r.upper() if tok.isupper() and len(tok) > 1 else r.capitalize() if tok[0].isupper() else r
-                c += math.log(total / lex.counts[r.lower()]) / 4 + _CONFUSED
-                out = out.replace(tok, r, 1)
-            else:
-                c += _UNKNOWN
-        return c, out
-
-    best: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(math.inf, -1, "")] * len(words)
-    for k, (w, brk) in enumerate(words):
-        base = best[k][0]
-        options = [(1, *cost(w))]
-        if not known[k]:
-            core = w.strip("*.,;:?!()«»\"")
-            for cut in range(2, len(core) - 1):
-                a, b = core[:cut], core[cut:]
-                if a.lower() in lex and b.lower() in lex:
-                    options.append((1, math.log(total / lex.counts[a.lower()]) / 4 + math.log(total / lex.counts[b.lower()]) / 4 + _JOINED + 4, w.replace(core, f"{a} {b}", 1)))
-        if k + 1 < len(words) and not (known[k] and known[k + 1]):
-            nxt = words[k + 1][0]
-            if brk and w[-1] in HYPHENS and len(w) > 1:
-                c, out = cost(w[:-1] + nxt)
-                options.append((2, c + _JOINED - _UNKNOWN / 2, out))
-            else:
-                c, out = cost(w + nxt)
-                if c < _UNKNOWN:
-                    options.append((2, c + _JOINED + 2, out))
-        for step, c, out in options:
-            if base + c < best[k + step][0]:
-                best[k + step] = (base + c, k, out)
-    out, k = [], len(words)
-    while k > 0:
-        _, k2, piece = best[k]
-        out.append(piece)
-        k = k2
-    return " ".join(reversed(out))
+    """One text as a line of words: de-lined, hyphens joined, misread words repaired."""
+    return Decoder(lex).decode(text)[0]
 
 
 def paragraph_breaks(lines: list[str]) -> list[int]:
@@ -374,6 +388,7 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, templates = bc.value
+        decoder = Decoder(lex)
         for b in batches:
             out = []
             for exam, page, order, texts, labels in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"], b["labels"]):
@@ -388,7 +403,7 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
                     lines = [x for x in text.split("\n") if x.strip()]
                     starts = paragraph_breaks(lines)
                     for s, e in zip(starts, starts[1:] + [len(lines)]):
-                        paras.append((i, label, decode("\n".join(lines[s:e]), lex)))
+                        paras.append((i, label, decoder.decode("\n".join(lines[s:e]))[0]))
                 for k, (i, label, text) in enumerate(paras):
                     goes = k == len(paras) - 1 and label == "Text" and not re.search(r"[.?!…_>$]\W*\Z", text)
                     out.append((exam, page, o, k, i, text, goes))
