@@ -86,7 +86,31 @@ direct AS (
   FROM refs r LEFT JOIN there t USING (field, k) LEFT JOIN gone g USING (field, k)
   WHERE t.k IS NULL OR t.born > r.landed_at)"""
 
+#: A JSON value as a list of entries: a list, the values of a {"1": ...} map, or a lone object.
+_LIST = (
+    "CASE json_type({0}) WHEN 'ARRAY' THEN from_json({0}, '[\"json\"]') WHEN 'OBJECT' THEN "
+    "CASE WHEN len(json_keys({0})) > 0 AND len(list_filter(json_keys({0}), lambda k: NOT regexp_full_match(k, '\\d+'))) = 0 "
+    "THEN list_transform(list_sort(json_keys({0}), 'ASC'), lambda k: json_extract({0}, '$.\"' || k || '\"')) ELSE [{0}] END ELSE []::JSON[] END"
+)
+_OPEN = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid(({0}) ->> '$') THEN (({0}) ->> '$')::JSON ELSE {0} END"
+_PAYLOAD = f"""
+docs AS (SELECT payload::JSON AS j FROM page_payload WHERE json_valid(payload)),
+roots AS (SELECT unnest(CASE json_type(j) WHEN 'ARRAY' THEN from_json(j, '["json"]') ELSE [j] END) AS j FROM docs),
+ex AS (SELECT coalesce(j -> '$.data.exam', j -> '$.exam', j) AS e FROM roots),
+pg AS (SELECT lower(trim(coalesce(e ->> '$.id', e ->> '$.exam_id', e ->> '$.examId'))) AS exam_id, unnest({_LIST.format("(e -> '$.pages')")}) AS p FROM ex),
+oc AS (SELECT exam_id, coalesce(p ->> '$.id', p ->> '$.page_id', p ->> '$.pageId') AS page_id, {_OPEN.format("coalesce(p -> '$.ocr_text', p -> '$.ocrText')")} AS o FROM pg),
+ls AS (SELECT exam_id, page_id, {_LIST.format("(o -> '$.layouts')")} AS l FROM oc),
+bl AS (
+  SELECT exam_id, page_id, (i - 1)::VARCHAR AS block_path, l[i] AS b FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ls)
+  UNION ALL
+  SELECT exam_id, page_id, block_path || '.' || (i - 1), k[i] FROM (
+    SELECT *, unnest(range(1, len(k) + 1)) AS i FROM (SELECT exam_id, page_id, block_path, {_LIST.format("(b -> '$.children')")} AS k FROM bl WHERE json_type(b) = 'OBJECT')))"""
+
 SQL = {
+    "p1_found": f"""WITH RECURSIVE {_PAYLOAD}
+SELECT DISTINCT 'page_payload' AS origin, exam_id, page_id, block_path FROM bl WHERE json_type(b) = 'OBJECT'
+UNION ALL SELECT DISTINCT 'pages', exam_id, page_id, i::VARCHAR FROM (
+  SELECT {_KEY.format('exam_id')} AS exam_id, id AS page_id, unnest(ocr_text.layouts) AS b, generate_subscripts(ocr_text.layouts, 1) - 1 AS i FROM pages) WHERE b IS NOT NULL""",
     "p2_found": f"WITH {_REFS} SELECT DISTINCT page_id, field, state FROM direct",
     "p2_report": f"WITH {_REFS} SELECT field, strftime(landed_at AT TIME ZONE 'UTC', '%Y-%m') AS month, state, count(*) AS n FROM direct GROUP BY ALL",
     "p2_cascade": f"""WITH {_REFS},
