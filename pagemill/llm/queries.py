@@ -84,4 +84,12 @@ QUERIES = {
     f.__name__: f
     for f in (p3_found, p3_titles, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
 }
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[\\p{L}\\p{N}]+')"
+_GRAMS = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}))"
+_LEAKS = f"""WITH d AS ({_GRAMS.replace('{0}', 'doc_id').replace('{1}', 'documents')}), t AS ({_GRAMS.replace('{0}', 'item_id').replace('{1}', 'eval_item')}),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (g))"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p7_clean": f"{_LEAKS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
+}
