@@ -144,10 +144,10 @@ def judged(pages: DataFrame, lex: Lexicon, templates: frozenset[str], endings: f
 
 
 def capital_pairs(pages: DataFrame) -> DataFrame:
-    """(a, b): word a directly followed, inside sentences, by the capitalised word b."""
-    t = pages.select(F.explode("ocr_text.layouts.text").alias("t"))
-    pair = F.explode(F.regexp_extract_all("t", F.lit(r"(?U)(\p{L}+(?=[ \n](\p{Lu}\p{L}*))[ \n]\p{Lu}\p{L}*)"), 1))
-    p = F.split(F.col("p"), r"[ \n]")
+    """(word, next_word): a word directly followed by a capitalised one; pairs may overlap, so every word is tried."""
+    t = pages.select(F.explode("ocr_text.layouts.text").alias("t")).select(F.replace("t", F.lit("\n"), F.lit(" ")).alias("t"))
+    pair = F.explode(F.regexp_extract_all("t", F.lit(r"(?<!\p{L})(?=(\p{L}+ \p{Lu}\p{L}*))"), 1))
+    p = F.split(F.col("p"), " ")
     return t.select(pair.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(p[0].alias("word"), p[1].alias("next_word"))
 
 
