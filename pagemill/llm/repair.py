@@ -19,6 +19,7 @@ depends on them; each (page, block, kind) comes once however often a page row wa
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.canon import canonical
 from pagemill.llm.scan import (
-    HYPHENS, TOKEN, Lexicon, build_lexicon, edge_lines, is_page_number, page_body, page_rows, running_templates, split_tail,
+    HYPHENS, MAX_LINE, TOKEN, Lexicon, build_lexicon, is_page_number, page_body, page_rows, running_templates, skeleton, split_tail,
 )
 from pagemill.session import cut_lineage
 from pagemill.sources.tables import norm_key
@@ -226,7 +227,8 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
     """Rows of kind hyphen, char and page_number, judged page by page; 'half' and 'head' for words over two pages.
 
     'half' is a block that ends in half a word (`word`); 'head' rows are the first words of the
-    first three blocks of a page.
+    first three blocks of a page; 'edge' rows are lines at the top or bottom of a page (`word` is a
+    digest of the line apart from misread characters).
     """
     bc = pages.sparkSession.sparkContext.broadcast((lex, pairs))
 
@@ -246,19 +248,11 @@ def page_noise(pages: DataFrame, lex: Lexicon, pairs: dict[str, dict[str, str]])
                 for j, (i, text) in enumerate(blocks):
                     kinds = set()
                     if j < 2 or j >= n - 2:
-                        lines = text.split("\n")
-                        kept = []
-                        for q, line in enumerate(lines):
-                            if q < 2 or q >= len(lines) - 2:
-                                if is_page_number(line, order):
-                                    kinds.add("page_number")
-                                    continue
-                                head, tail = split_tail(line.strip(), order)
-                                if tail:
-                                    kinds.add("page_number")
-                                    line = head
-                            kept.append(line)
-                        text = "\n".join(kept)
+                        text, number, lines = edge_of(text, order)
+                        if number:
+                            kinds.add("page_number")
+                        if exam is not None:
+                            out.extend((exam, page, order, i, "edge", digest(skel)) for skel in lines)
                     kinds |= decoder.decode(text, want_text=False)[1]
                     m = _END.search(text) if text.rstrip()[-1:] in _HYPHEN_SET else None
                     if m:
@@ -278,24 +272,37 @@ def heads_after(blocks: list[tuple[int, str]], j: int) -> list[tuple[int, str]]:
     return [(i, m[1]) for i, t in blocks[j + 1 : j + 3] if (m := _HEAD.match(t))]
 
 
-def edges(pages: DataFrame) -> DataFrame:
-    """exam_id, page_id, block_idx, skel of the lines at the top and bottom of pages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for exam, page, order, texts in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"]):
-                order = None if order is None or order != order else int(order)
-                blocks = [(i, t) for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
-                out.extend((exam, page, i, skel) for i, skel, _, number in edge_lines(blocks, order) if len(skel) >= 4)
-            yield pd.DataFrame(out, columns=["exam_id", "page_id", "block_idx", "skel"])
-
-    return page_rows(pages).where("exam_id is not null").mapInPandas(run, "exam_id string, page_id string, block_idx int, skel string")
-
-
-def running_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block_idx of blocks that are or hold a running line."""
-    e = edges(pages)
+def digest(line: str) -> str:
+    """A short name of a line; 96 bits, so equal names mean equal lines."""
+    return hashlib.blake2b(line.encode(), digest_size=12).hexdigest()
+
+
+def edge_of(text: str, order: int | None) -> tuple[str, bool, list[str]]:
+    """(text without page numbers, it had one, skeletons of its first and last two lines) of a block at a page's edge."""
+    lines = text.split("\n")
+    full = [q for q, line in enumerate(lines) if line.strip()]
+    edge = {*full[:2], *full[-2:]}
+    kept, number, skels = [], False, []
+    for q, line in enumerate(lines):
+        if q in edge and len(line) <= MAX_LINE + 60:
+            s = line.strip()
+            if is_page_number(s, order):
+                number = True
+                continue
+            head, tail = split_tail(s, order)
+            if tail:
+                number, line = True, head
+            if len(head) < MAX_LINE:
+                skel = skeleton(head)
+                if len(skel) >= 4:
+                    skels.append(skel)
+        kept.append(line)
+    return "\n".join(kept), number, skels
+
+
+def running_blocks(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """page_id, block_idx of blocks that are or hold a running line; `noise` has the edge lines."""
+    e = noise.where("kind = 'edge'").select("exam_id", "page_id", "block_idx", F.col("word").alias("skel"))
     per_line = e.select("exam_id", "skel", "page_id").distinct().groupBy("exam_id", "skel").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_PAGES}")
     has = pages.where(F.exists("ocr_text.layouts", lambda b: b.isNotNull())).select(norm_key("exam_id").alias("exam_id"), "id").distinct()
     per_exam = has.groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_pages"))
@@ -311,7 +318,7 @@ def found_noise(pages: DataFrame) -> DataFrame:
     noise = cut_lineage(page_noise(pages, lex, context_errors(pages, lex)))
     local = noise.where("kind in ('hyphen', 'char', 'page_number')").select("page_id", "block_idx", "kind")
     over = over_pages(noise, lex).select("page_id", "block_idx", F.lit("hyphen").alias("kind"))
-    running = running_blocks(pages).select("page_id", "block_idx", F.lit("running").alias("kind"))
+    running = running_blocks(pages, noise).select("page_id", "block_idx", F.lit("running").alias("kind"))
     return local.unionByName(over).unionByName(running).distinct()
 
 

@@ -181,32 +181,6 @@ def skeleton(line: str) -> str:
 MAX_LINE = 200
 
 
-def edge_lines(blocks: list[tuple[int, str]], page_order: int | None) -> list[tuple[int, str, str, bool]]:
-    """(block_idx, skeleton, line, has its page number) for lines at the top or bottom of a page.
-
-    `blocks` holds (block_idx, raw text) of the blocks with text. Looked at are the first and last two
-    blocks (a page number may stand outside the running line), in them the first and last two lines.
-    """
-    from pagemill.llm.canon import canonical
-
-    n = len(blocks)
-    out = []
-    for j in sorted({0, 1, n - 2, n - 1} & set(range(n))):
-        idx = blocks[j][0]
-        lines = [x.strip() for x in blocks[j][1].split("\n") if x.strip()]
-        for q in sorted({0, 1, len(lines) - 2, len(lines) - 1} & set(range(len(lines)))):
-            if len(lines[q]) > MAX_LINE + 60:
-                continue
-            lines[q] = canonical(lines[q])
-            if is_page_number(lines[q], page_order):
-                out.append((idx, "", lines[q], True))
-                continue
-            head, tail = split_tail(lines[q], page_order)
-            if len(head) < MAX_LINE:
-                out.append((idx, skeleton(head), lines[q], bool(tail)))
-    return out
-
-
 # Running-line templates ---------------------------------------------------------------------
 
 #: A template is kept from this share of all header and footer lines on; at most 100,000 can be.
