@@ -40,7 +40,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     tuned(spark)
-    return repair.repaired_paragraphs(table(spark, sf, "pages"))
+    return repair.continuous_paragraphs(table(spark, sf, "pages"))
 
 
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:

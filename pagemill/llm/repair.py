@@ -43,6 +43,7 @@ _HEAD_LETTERS = re.compile(r"[^\W_]+")
 _HYPHEN_SET = frozenset(HYPHENS)
 _END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*\Z")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
+_FIRST = re.compile(r"\W*([^\W_])")
 
 
 def joins(a: str, b: str, lex: Lexicon) -> str | None:
@@ -385,10 +386,10 @@ def paragraph_breaks(lines: list[str]) -> list[int]:
 
 
 def repaired_paragraphs(pages: DataFrame) -> DataFrame:
-    """exam_id, page_id, page_order, paragraph, block_idx, text, goes_on: the repaired paragraphs of every page.
+    """exam_id, page_id, page_order, paragraph, block_idx, text, goes_on, goes_before: the repaired paragraphs of every page.
 
-    Running lines (templates of this corpus) and page numbers are gone. `goes_on` tells that the last
-    paragraph of the page has no end and is continued by the first of the exam's next page.
+    Running lines (templates of this corpus) and page numbers are gone. `goes_on`: the last paragraph of
+    the page has no end; `goes_before`: the first one has no beginning.
     """
     texts = pages.select(F.explode("ocr_text.layouts.text").alias("text")).where("text is not null")
     bc = pages.sparkSession.sparkContext.broadcast((build_lexicon(texts), running_templates(pages)))
@@ -413,8 +414,41 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
                         paras.append((i, label, decoder.decode("\n".join(lines[s:e]))[0]))
                 for k, (i, label, text) in enumerate(paras):
                     goes = k == len(paras) - 1 and label == "Text" and not re.search(r"[.?!…_>$]\W*\Z", text)
-                    out.append((exam, page, o, k, i, text, goes))
-            yield pd.DataFrame(out, columns=["exam_id", "page_id", "page_order", "paragraph", "block_idx", "text", "goes_on"]).astype({"page_order": "Int32"})
+                    first = _FIRST.match(text)
+                    opens = k == 0 and label == "Text" and bool(first) and not first[1].isupper()
+                    out.append((exam, page, o, k, i, text, goes, opens))
+            yield pd.DataFrame(out, columns=["exam_id", "page_id", "page_order", "paragraph", "block_idx", "text", "goes_on", "goes_before"]).astype({"page_order": "Int32"})
 
     rows = page_rows(pages).dropDuplicates(["page_id"])
-    return rows.mapInPandas(run, "exam_id string, page_id string, page_order int, paragraph int, block_idx int, text string, goes_on boolean")
+    return rows.mapInPandas(run, "exam_id string, page_id string, page_order int, paragraph int, block_idx int, text string, goes_on boolean, goes_before boolean")
+
+
+def continuous_paragraphs(pages: DataFrame, max_rounds: int = 32) -> DataFrame:
+    """exam_id, page_id, page_order, paragraph, n_pages, text: paragraphs put together over page ends.
+
+    A paragraph that goes on is joined with the one that opens the exam's next page (a join on exam and
+    page number). Where a whole page is the middle of one paragraph, the page it began on is found
+    by pointer doubling, so a chain of n pages takes log n rounds; no exam is ever gathered in one task.
+    """
+    base = cut_lineage(repaired_paragraphs(pages))
+    last = base.where("goes_on").select("exam_id", (F.col("page_order") + 1).alias("page_order"), (F.col("paragraph") == 0).alias("alone")).dropDuplicates(["exam_id", "page_order"])
+    first = base.where("paragraph = 0 and goes_before").select("exam_id", "page_order", "page_id", "text").dropDuplicates(["exam_id", "page_order"])
+    link = first.join(last, ["exam_id", "page_order"]).withColumn("root", F.col("page_order") - 1)
+    is_child = link.select("exam_id", F.col("page_order").alias("root"), F.lit(True).alias("child"))
+    link = link.join(is_child, ["exam_id", "root"], "left").withColumn("open", F.col("alone") & F.coalesce("child", F.lit(False)))
+    link = cut_lineage(link.select("exam_id", "page_order", "page_id", "text", "root", "open"))
+    for _ in range(max_rounds):
+        if link.where("open").isEmpty():
+            break
+        up = link.select("exam_id", F.col("page_order").alias("root"), F.col("root").alias("root2"), F.col("open").alias("open2"))
+        done = link.where("not open")
+        step = link.where("open").join(up, ["exam_id", "root"]).select("exam_id", "page_order", "page_id", "text", F.col("root2").alias("root"), F.col("open2").alias("open"))
+        link = cut_lineage(done.unionByName(step))
+    rest = link.groupBy("exam_id", F.col("root").alias("page_order")).agg(F.sort_array(F.collect_list(F.struct("page_order", "text"))).alias("more"))
+    own = base.join(link.select("page_id", F.lit(0).alias("paragraph")), ["page_id", "paragraph"], "left_anti")
+    heads = own.where("goes_on").join(rest, ["exam_id", "page_order"], "left")
+    glue = lambda a, b: F.when(a.rlike(rf"(?U)\p{{L}}[{HYPHENS}]$"), F.concat(F.regexp_replace(a, ".$", ""), b)).otherwise(F.concat_ws(" ", a, b))
+    whole = F.aggregate(F.coalesce("more", F.array().cast("array<struct<page_order:int,text:string>>")), F.col("text"), lambda acc, m: glue(acc, m["text"]))
+    keep = ["exam_id", "page_id", "page_order", "paragraph"]
+    grown = heads.select(*keep, (F.lit(1) + F.coalesce(F.size("more"), F.lit(0))).alias("n_pages"), whole.alias("text"))
+    return own.where("not goes_on").select(*keep, F.lit(1).alias("n_pages"), "text").unionByName(grown)

@@ -94,3 +94,16 @@ def test_repaired(spark):
     rows = body(spark) + [page("a1", "e", 1, ("Text", "The grccnhouse staff care-\nfully described a quadratic\nequation."), ("Page-footer", "- 1 -"))]
     got = [r for r in repair.repaired_paragraphs(frame(spark, rows)).collect() if r.page_id == "a1"]
     assert [r.text for r in got] == [SENTENCE]
+
+
+def test_paragraphs_over_pages(spark):
+    rows = body(spark) + [
+        page("a1", "e", 1, ("Text", SENTENCE), ("Text", "The greenhouse staff care-"), ("Page-footer", "- 1 -")), page("a2", " E", 2, ("Text", "fully described a quadratic")), page("a3", "e", 3, ("Text", "equation without using")),
+        page("a4", "e", 4, ("Text", "a calculator."), ("Text", SENTENCE)), page("b1", "f", 1, ("Text", "The storm")), page("b2", "f", 2, ("Text", SENTENCE)),
+    ]
+    got = {(r.page_id, r.paragraph): (r.n_pages, r.text) for r in repair.continuous_paragraphs(frame(spark, rows)).collect() if r.page_id[0] in "ab"}
+    assert got == {
+        ("a1", 0): (1, SENTENCE), ("a1", 1): (4, "The greenhouse staff carefully described a quadratic equation without using a calculator."), ("a4", 1): (1, SENTENCE),
+        ("b1", 0): (1, "The storm"), ("b2", 0): (1, SENTENCE),
+    }
+    assert repair.continuous_paragraphs(frame(spark, rows).limit(0)).count() == 0
