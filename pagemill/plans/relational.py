@@ -601,7 +601,13 @@ def gap_sections(t):
     return layout.sections_from_gaps(b, "gap").select("page_id", "block_idx", "section_idx", "column_idx")
 
 
-@query()
+_HOT = ", ".join(f"CASE WHEN category = '{n}' THEN {i} END" for i, n in ((layout.CATEGORIES.index(v), k) for k, v in layout.LABEL_TO_CATEGORY.items()))
+
+
+@query(
+    f"""SELECT page_id, block_idx, list_concat([x1 / ow, y1 / oh, x2 / ow, y2 / oh, (x1 + x2) / 2 / ow, (y1 + y2) / 2 / oh, (x2 - x1) / ow, (y2 - y1) / oh],
+  list_transform(range(0, 10), lambda i: CASE WHEN i = coalesce({_HOT}, -1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS features FROM b WHERE x1 IS NOT NULL AND ow > 0 AND oh > 0"""
+)
 def layout_features(t):
     """L5."""
     return layout.features(t.b)
