@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.sources.tables import norm_key
@@ -219,6 +219,42 @@ def label_pages(pages: DataFrame, with_content: bool = True) -> DataFrame:
     return out.drop("_k", "_n", "_lay")
 
 
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The labelled nodes of the rows of `pages`, in the columns of `label_payloads`; one tree per page id.
+
+    The walk's numbers in closed form, as in `label_pages`: of n blocks that aren't null, block k has
+    (3+k, k), ocr (2, n), page (1, n+1), exam (0, n+2). Without ocr_text the tree is exam (0, 1) > page (1, 0).
+    """
+    lay = F.coalesce("ocr_text.layouts", F.array().cast(pages.select("ocr_text.layouts").schema[0].dataType))
+    placed = F.transform(lay, lambda b, i: F.struct(i.alias("position"), b.alias("b")))
+    base = pages.dropDuplicates(["id"]).select(
+        "id", norm_key("exam_id").alias("exam"), F.col("page_order").cast("int").alias("order"),
+        F.col("ocr_text").isNotNull().alias("done"), F.filter(placed, lambda x: x["b"].isNotNull()).alias("kept"),
+    )
+    n = F.size("kept") + F.col("done").cast("int")
+    types = dict(c.split() for c in NODE_DDL.split(", "))
+
+    def node(kind: str, **values) -> Column:
+        values = {"kind": F.lit(kind), **values}
+        return F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in _COLUMNS[2:]])
+
+    zero = F.lit(0)
+    exam = node("exam", pre=zero, post=n + 1, depth=zero, position=zero, node_key=F.col("exam"), path=F.lit("0"))
+    page = node("page", pre=F.lit(1), post=n, depth=F.lit(1), position=zero, node_key=F.col("id"), path=F.lit("0"), page_order=F.col("order"))
+    ocr = node("ocr", pre=F.lit(2), post=F.size("kept"), depth=F.lit(2), position=zero, path=F.lit("0"))
+    block = lambda x, k: node(
+        "block", pre=k + 3, post=k, depth=F.lit(3), position=x["position"], path=x["position"].cast("string"),
+        category=x["b"]["category"], text=x["b"]["text"], level=x["b"]["level"], bbox=x["b"]["bbox"],
+    )
+    above = F.when(F.col("done"), F.array(exam, page, ocr)).otherwise(F.array(exam, page))
+    return base.select(F.lit("pages").alias("origin"), F.col("id").alias("tree_id"), F.inline(F.concat(above, F.transform("kept", block))))
+
+
+def all_nodes(pages: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The labelled nodes of both origins."""
+    return page_nodes(pages).unionByName(label_payloads(payloads))
+
+
 def link_enclosing(nodes: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
     """Adds, to every node, columns of the node of `kind` whose interval contains it.
 
@@ -244,7 +280,7 @@ def link_parents(nodes: DataFrame) -> DataFrame:
 
 
 def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables `exams`, `pages` and `blocks` of labelled payload nodes, each with its parent's key."""
+    """The flat tables `exams`, `pages` and `blocks` of labelled nodes, each with its parent's key."""
     linked = link_enclosing(link_enclosing(nodes, "exam", {"node_key": "exam_id"}), "page", {"node_key": "page_id", "pre": "page_pre"})
     linked = linked.withColumn("exam_id", F.lower(F.trim(F.coalesce("exam_id", F.when(F.col("kind") == "exam", F.col("node_key"))))))
     label = ["origin", "tree_id", "pre", "post", "depth"]

@@ -15,29 +15,40 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.found_blocks(table(spark, sf, "pages"), table(spark, sf, "page_payload"))
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.all_nodes(table(spark, sf, "pages"), table(spark, sf, "page_payload"))
+
+
 def p1_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat block table of raw payloads with content and the key of the parent page."""
+    """The flat block table of both origins with content and the key of the parent page."""
     tuned(spark)
-    blocks = nested.node_tables(nested.label_payloads(table(spark, sf, "page_payload")))["blocks"]
-    return blocks.select("tree_id", "exam_id", "page_id", "block_path", "pre", "post", "category", "level", F.length("text").alias("n_chars")).distinct()
+    blocks = nested.node_tables(_nodes(spark, sf))["blocks"]
+    return blocks.select("origin", "tree_id", "exam_id", "page_id", "block_path", "pre", "post", "category", "level", "bbox", "text", F.length("text").alias("n_chars")).distinct()
 
 
 def p1_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat page table of raw payloads with the key of the parent exam."""
+    """The flat page table of both origins with the key of the parent exam; pages without a result included."""
     tuned(spark)
-    return nested.node_tables(nested.label_payloads(table(spark, sf, "page_payload")))["pages"]
+    return nested.node_tables(_nodes(spark, sf))["pages"]
 
 
 def p1_exams(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat exam table of both origins.
+
+    In `pages` each page row is a tree, so an exam stands in as many trees as it has pages: it comes once, with
+    the labels of its first tree. Pages without an exam id share one row with a null key.
+    """
     tuned(spark)
-    return nested.node_tables(nested.label_payloads(table(spark, sf, "page_payload")))["exams"]
+    exams = nested.node_tables(_nodes(spark, sf))["exams"]
+    tree = F.when(F.col("origin") != "pages", F.col("tree_id"))
+    once = exams.groupBy("origin", tree.alias("_tree"), F.when(F.col("origin") != "pages", F.col("pre")).alias("_pre"), "exam_id").agg(F.min(F.struct("tree_id", "pre", "post", "depth", "title")).alias("r"))
+    return once.select("origin", "r.tree_id", "r.pre", "r.post", "r.depth", "exam_id", "r.title")
 
 
 def p1_parents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every payload node with its direct parent, from intervals and depth alone."""
+    """Every node of both origins with its direct parent, from intervals and depth alone."""
     tuned(spark)
-    nodes = nested.label_payloads(table(spark, sf, "page_payload")).select("origin", "tree_id", "kind", "pre", "post", "depth")
-    return nested.link_parents(nodes)
+    return nested.link_parents(_nodes(spark, sf).select("origin", "tree_id", "kind", "pre", "post", "depth"))
 
 
 def _direct(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,3 +78,32 @@ def test_parents_by_intervals_equal_parents_by_paths(spark, sf):
     for r in rows.values():
         if r["kind"] == "block" and "." in r["path"]:
             assert rows[(r["tree_id"], r["parent_pre"])]["path"] == r["path"].rpartition(".")[0]
+
+
+def test_flat_tables_hold_both_origins(spark, tmp_path):
+    from pagemill.plans import found
+
+    lay = lambda *x: (10, 10, 10, 10, list(x))
+    b = ([1.0, 2.0, 3.0, 4.0], "Section-header", "head", 2)
+    pages = spark.createDataFrame(
+        [("p1", " /AB ", 1, "f", lay(None, b, b), None, "x", "y"), ("p1", " /AB ", 1, "f", lay(None, b, b), None, "x", "y"), ("p2", "ab", 2, "f", None, None, "x", "y"), ("p3", None, 1, "f", (1, 1, 1, 1, None), None, "x", "y")], PAGES)
+    one = json.dumps({"id": " E ", "title": "T", "pages": [{"id": "q", "ocr_text": {"layouts": {"text": "lone"}}}]})
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, one)], "payload_id long, payload string").write.parquet(f"{tmp_path}/page_payload.parquet")
+    run = lambda name, *cols: sorted((tuple(r) for r in found.QUERIES[name](spark, str(tmp_path)).select(*cols).collect()), key=repr)
+    assert run("p1_exams", "origin", "exam_id", "title") == [("page_payload", "e", "T"), ("pages", "ab", None), ("pages", None, None)]
+    assert run("p1_pages", "origin", "exam_id", "page_id", "page_order", "pre", "post") == [
+        ("page_payload", "e", "q", None, 1, 2), ("pages", "ab", "p1", 1, 1, 3), ("pages", "ab", "p2", 2, 1, 0), ("pages", None, "p3", 1, 1, 1)]
+    assert run("p1_blocks", "origin", "exam_id", "page_id", "block_path", "pre", "post", "category", "level", "text", "bbox") == [
+        ("page_payload", "e", "q", "0", 3, 0, None, None, "lone", []), ("pages", "ab", "p1", "1", 3, 0, "Section-header", 2, "head", b[0]), ("pages", "ab", "p1", "2", 4, 1, "Section-header", 2, "head", b[0])]
+    got = run("p1_parents", "origin", "tree_id", "kind", "pre", "parent_pre")
+    assert [x[2:] for x in got if x[1] == "p1"] == [("block", 3, 2), ("block", 4, 2), ("exam", 0, None), ("ocr", 2, 1), ("page", 1, 0)]
+    assert [x[2:] for x in got if x[1] == "p2"] == [("exam", 0, None), ("page", 1, 0)] and len(got) == 5 + 2 + 3 + 4
+
+
+def test_page_nodes_agree_with_label_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    cols = ["tree_id", "exam_id", "page_id", "pre", "post", "depth", "category", "text", "level"]
+    mine = nested.node_tables(nested.page_nodes(pages))["blocks"].select(*cols)
+    theirs = nested.label_pages(pages).select(*cols)
+    assert mine.count() == theirs.count() > 0 and mine.exceptAll(theirs).isEmpty()
