@@ -717,8 +717,8 @@ def ascii_filename(t):
 
 @query()
 def render_plan_layout(t):
-    """The flagship: ordered, styled, column-aware content of every page."""
-    return render.layout_plan(t.pages)
+    """The flagship: ordered, styled, column-aware content of every page, headers and footers included."""
+    return render.whole_plan(t.pages)
 
 
 @query("""SELECT exam_id, page_id, page_order, block_idx, category, category IN ('Table', 'List-item') AS structured,

@@ -12,7 +12,7 @@ from pagemill.sources.tables import blocks, distinct_pages, norm_key
 
 
 def fitted(pages: DataFrame) -> DataFrame:
-    """One row per page with its boxed blocks moved to the nearest paper (F3, G2-G5, G7): main, w, h, rejected.
+    """One row per page with its boxed blocks moved to the nearest paper (F3, F4, G2-G5, G7): main, edges, w, h, rejected.
 
     Boxes, header split and stamp removal are array expressions inside the page's row, so a page's
     blocks are neither shuffled nor joined for them.
@@ -30,15 +30,22 @@ def fitted(pages: DataFrame) -> DataFrame:
         ),
     )
     p = p.select(norm_key("exam_id").alias("exam_id"), F.col("id").alias("page_id"), F.col("page_order").cast("int").alias("page_order"), tw.alias("page_w"), th.alias("page_h"), (F.col("n.diff") > geometry.MAX_RATIO_DIFF).alias("rejected"), arr.alias("all"))
-    p = p.withColumn("body", F.filter("all", lambda b: ~F.coalesce(b["category"].isin("Page-header", "Page-footer"), F.lit(False)))).drop("all")
+    edge = lambda b: F.coalesce(b["category"].isin("Page-header", "Page-footer"), F.lit(False))
+    p = p.withColumns({"body": F.filter("all", lambda b: ~edge(b)), "edges": F.filter("all", edge)}).drop("all")
     hit = lambda a: F.exists("body", lambda z: (z["block_idx"] != a["block_idx"]) & (a["x1"] < z["x2"]) & (z["x1"] < a["x2"]) & (a["y1"] < z["y2"]) & (z["y1"] < a["y2"]))
     return p.withColumn("main", F.filter("body", lambda a: F.coalesce(a["category"] != "Picture", F.lit(True)) | ~hit(a))).drop("body")
 
 
 def layout_plan(pages: DataFrame) -> DataFrame:
-    """One row per rendered block: place (section, column), style, font, alignment and page break kind.
+    """The main blocks of `whole_plan`: one row per block in a section's columns."""
+    return whole_plan(pages).where("part = 'main'").drop("part", "share")
 
-    Headers and footers hang on the page's first section; a page without main blocks renders nothing.
+
+def whole_plan(pages: DataFrame) -> DataFrame:
+    """One row per rendered block: part, place (section, column), style, font, alignment and page break kind.
+
+    Headers and footers (`part`) hang on the page's first section as cells in reading order, outside its columns:
+    `share` is a cell's part of the content width (G10). A page without main blocks renders nothing.
     The only shuffle is the one that removes repeated pages: columns are split inside the page's row,
     and all windows are partitioned by page.
     """
@@ -46,27 +53,33 @@ def layout_plan(pages: DataFrame) -> DataFrame:
     xs = lambda c: F.transform("main", lambda b: b[c])
     p = p.withColumn("col", layout.columns_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
     p = p.withColumns(geometry.margins_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
-    z = p.select("exam_id", "page_id", "page_order", "page_w", "left", "right", "col", F.posexplode("main").alias("k", "b"))
-    z = z.withColumn("column_idx", F.element_at("col", F.col("k") + 1)).select("exam_id", "page_id", "page_order", "page_w", "left", "right", "column_idx", "b.*")
-    box, page = Window.partitionBy("page_id", "column_idx"), Window.partitionBy("page_id").orderBy("block_idx")
+    keep = ["block_idx", "category", "level", "text", "x1", "y1", "x2", "y2"]
+    put = lambda b, part, col: F.struct(part.alias("part"), col.cast("int").alias("column_idx"), *[b[c].alias(c) for c in keep])
+    main = F.transform("main", lambda b, k: put(b, F.lit("main"), F.element_at("col", k + 1)))
+    edges = F.transform("edges", lambda b: put(b, F.when(b["category"] == "Page-header", "header").otherwise("footer"), F.lit(None)))
+    z = p.select("exam_id", "page_id", "page_order", "page_w", "left", "right", F.inline(F.concat(main, edges)))
+    is_main = F.col("part") == "main"
+    box, page = Window.partitionBy("page_id", "part", "column_idx"), Window.partitionBy("page_id", "part").orderBy("block_idx")
     z = z.withColumns({"cx1": F.min("x1").over(box), "cy1": F.min("y1").over(box), "cx2": F.max("x2").over(box), "cy2": F.max("y2").over(box)})
     prev = {c: F.lag(c).over(page) for c in ("column_idx", "cx1", "cy1", "cx2", "cy2")}
     same = layout.side_by_side(*(prev[c] for c in ("cx1", "cy1", "cx2", "cy2")), *(F.col(c) for c in ("cx1", "cy1", "cx2", "cy2")))
-    brk = F.when(prev["column_idx"].isNull() | (prev["column_idx"] == F.col("column_idx")) | same, 0).otherwise(1)
+    brk = F.when(~is_main | prev["column_idx"].isNull() | (prev["column_idx"] == F.col("column_idx")) | same, 0).otherwise(1)
     z = z.withColumn("_brk", brk).withColumn("section_idx", F.sum("_brk").over(page.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    sec = Window.partitionBy("page_id", "section_idx")
+    sec, cells = Window.partitionBy("page_id", "part", "section_idx"), Window.partitionBy("page_id", "part")
     z = z.withColumn("single", F.min("column_idx").over(sec) == F.max("column_idx").over(sec))
     cat = F.col("category")
-    style = F.when(cat == "Title", "Title").when(cat == "Section-header", F.concat(F.lit("Heading "), F.coalesce("level", F.lit(3)).cast("string"))).when(cat == "Picture", "blank").otherwise("body")
+    style = F.when(cat == "Title", "Title").when(cat == "Section-header", F.concat(F.lit("Heading "), F.coalesce("level", F.lit(3)).cast("string"))).when(cat == "Picture", "blank").when(~is_main, F.col("part")).otherwise("body")
     ref1 = F.when(F.col("single"), F.col("left")).otherwise(F.col("cx1"))
     ref2 = F.when(F.col("single"), F.col("page_w") - F.col("right")).otherwise(F.col("cx2"))
-    align = F.when(cat == "Title", "CENTER").otherwise(geometry.alignment(F.col("x1"), F.col("x2"), ref1, ref2))
-    first = F.row_number().over(page) == 1
+    align = F.when(cat == "Title", "CENTER").when(~is_main, "LEFT").otherwise(geometry.alignment(F.col("x1"), F.col("x2"), ref1, ref2))
+    width = F.col("x2") - F.col("x1")
+    share = F.when(~is_main, F.when(F.sum(width).over(cells) > 0, width / F.sum(width).over(cells)).otherwise(1.0 / F.count(F.lit(1)).over(cells)))
+    first = is_main & (F.row_number().over(page) == 1)
     kind = F.when(first & (F.col("page_order") > 1), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
     return z.select(
-        "exam_id", "page_id", "page_order", "section_idx", "column_idx", "block_idx", "category", style.alias("style"), align.alias("align"),
+        "exam_id", "page_id", "page_order", "part", "section_idx", "column_idx", "block_idx", "category", style.alias("style"), align.alias("align"),
         text.font_points(cat).alias("font_pt"), (cat == "Title").alias("force_bold"), kind.alias("break_type"),
-        geometry.twips(F.col("page_w")).alias("page_w_twips"), geometry.twips(F.col("left")).alias("left_twips"), geometry.twips(F.col("right")).alias("right_twips"), "text",
+        geometry.twips(F.col("page_w")).alias("page_w_twips"), geometry.twips(F.col("left")).alias("left_twips"), geometry.twips(F.col("right")).alias("right_twips"), share.alias("share"), "text",
     )
 
 
@@ -108,4 +121,4 @@ def export_errors(pages: DataFrame, mode: str) -> DataFrame:
 
 def export_plan(pages: DataFrame, mode: str) -> DataFrame:
     """K16: 'plain' and 'pdf' by name, anything else is the layout plan."""
-    return {"plain": plain_plan, "pdf": pdf_plan}.get(mode, layout_plan)(pages)
+    return {"plain": plain_plan, "pdf": pdf_plan}.get(mode, whole_plan)(pages)

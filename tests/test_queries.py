@@ -71,3 +71,28 @@ def test_flagship_keeps_every_block_once(spark, sf):
             assert b[2] in (a[2], a[2] + 1) and b[3] in (a[3], a[3] + 1)
     assert render.with_content(plan).count() == plan.count()
     assert render.export_plan(pages, "plain").count() > 0 and render.export_plan(pages, "pdf").count() > 0
+
+
+def test_flagship_renders_headers_and_footers(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import geometry
+    from pagemill.sources.tables import blocks, distinct_pages
+
+    plan = Q["render_plan_layout"](spark, sf).cache()
+    boxed = blocks(distinct_pages(spark.read.parquet(f"{sf}/pages.parquet"))).where("x1 is not null")
+    fits = boxed.where(geometry.nearest_paper(F.col("ow"), F.col("oh"))["diff"] <= geometry.MAX_RATIO_DIFF)
+    edges = fits.where("category in ('Page-header', 'Page-footer')").join(plan.where("part = 'main'").select("page_id").distinct(), "page_id", "left_semi")
+    mine = plan.where("part <> 'main'")
+    assert mine.count() == edges.count() > 0
+    assert mine.select("page_id", "block_idx", "category", "text").exceptAll(edges.select("page_id", "block_idx", "category", "text")).isEmpty()
+    assert mine.where("section_idx <> 0 or column_idx is not null or break_type <> '' or align <> 'LEFT' or share is null").isEmpty()
+    assert mine.groupBy("page_id", "part").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+
+    lay = lambda *x: (2480, 3508, 2480, 3508, list(x))
+    head = lambda a, z: ([a, 10.0, z, 50.0], "Page-header", "h", None)
+    body = ([100.0, 500.0, 2300.0, 900.0], "Text", "t", None)
+    rows = [("p1", "e", 1, "f", lay(head(0.0, 300.0), body, head(300.0, 400.0), ([], "Page-header", "unboxed", None))), ("p2", "e", 2, "f", lay(head(0.0, 300.0)))]
+    spark.createDataFrame(rows, spark.read.parquet(f"{sf}/pages.parquet").drop("landed_at").schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.part, r.block_idx, r.share) for r in Q["render_plan_layout"](spark, str(tmp_path)).orderBy("block_idx").collect()]
+    assert got == [("p1", "header", 0, 0.75), ("p1", "main", 1, None), ("p1", "header", 2, 0.25)]
