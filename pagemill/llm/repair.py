@@ -68,6 +68,10 @@ _MARK = "\ue000"  # stands for a hyphen at a line end in the de-lined stream
 _EDGE = "*.,;:?!()«»\"'’"
 
 
+def _cased(word: str, like: str) -> str:
+    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[0].isupper() else word
+
+
 class Decoder:
     """Joint word segmentation of de-lined text against a lexicon; verdicts on pieces are remembered, within a bound.
 
@@ -112,7 +116,7 @@ class Decoder:
                 r = self.lex.repair(tok)
                 if r:
                     c += self._word(r) + _CONFUSED
-                    out = out.replace(tok, r.upper() if tok.isupper() and len(tok) > 1 else r.capitalize() if tok[0].isupper() else r, 1)
+                    out = out.replace(tok, _cased(r, tok), 1)
                     misread = True
                 else:
                     c += _UNKNOWN
@@ -184,7 +188,21 @@ class Decoder:
             low = [w.strip(_EDGE) for w in text.lower().split()]
             if any(b in self.pairs and a in self.pairs[b] for a, b in zip(low, low[1:])):
                 kinds.add("char")
-        return (" ".join(out + pieces[at:]) if want_text else ""), kinds
+        return (self._in_context(" ".join(out + pieces[at:])) if want_text else ""), kinds
+
+    def _in_context(self, text: str) -> str:
+        """The text with known words put right that the word before them shows to be misread."""
+        if not self.pairs:
+            return text
+        words = text.split(" ")
+        before = [w.lower().strip(_EDGE) for w in words]
+        for k in range(1, len(words)):
+            right = self.pairs.get(before[k])
+            r = right and (right.get(before[k - 1]) or right.get(words[k - 1].lower().strip(_EDGE)))
+            if r:
+                core = words[k].strip(_EDGE)
+                words[k] = words[k].replace(core, _cased(r, core), 1)
+        return " ".join(words)
 
     def _broken(self, last: str) -> bool:
         """The last piece is the short beginning of a word, broken off: no misread word."""
@@ -301,15 +319,37 @@ def edge_of(text: str, order: int | None) -> tuple[str, bool, list[str]]:
     return "\n".join(kept), number, skels
 
 
-def running_blocks(pages: DataFrame, noise: DataFrame) -> DataFrame:
-    """page_id, block_idx of blocks that are or hold a running line; `noise` has the edge lines."""
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """The 'edge' rows of `page_noise` alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for exam, page, order, texts in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"]):
+                order = None if order is None or order != order else int(order)
+                blocks = [(i, t) for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+                for j, (i, text) in enumerate(blocks):
+                    if j < 2 or j >= len(blocks) - 2:
+                        out.extend((exam, page, order, i, "edge", digest(skel)) for skel in edge_of(canonical(text), order)[2])
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"page_order": "Int32"})
+
+    return page_rows(pages).where("exam_id is not null").mapInPandas(run, _NOISE)
+
+
+def running_lines(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """page_id, block_idx, skel of the running lines; `noise` has the edge lines."""
     e = noise.where("kind = 'edge'").select("exam_id", "page_id", "block_idx", F.col("word").alias("skel"))
     per_line = e.select("exam_id", "skel", "page_id").distinct().groupBy("exam_id", "skel").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_PAGES}")
     has = pages.where(F.exists("ocr_text.layouts", lambda b: b.isNotNull())).select(norm_key("exam_id").alias("exam_id"), "id").distinct()
     per_exam = has.groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_pages"))
     lines = per_line.join(per_exam, "exam_id").where("3 * n >= n_pages").select("exam_id", "skel", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = e.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
-    return salted.join(lines, ["exam_id", "skel", "salt"], "left_semi").select("page_id", "block_idx")
+    return salted.join(lines, ["exam_id", "skel", "salt"], "left_semi").select("page_id", "block_idx", "skel")
+
+
+def running_blocks(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """page_id, block_idx of blocks that are or hold a running line; `noise` has the edge lines."""
+    return running_lines(pages, noise).select("page_id", "block_idx")
 
 
 def found_noise(pages: DataFrame) -> DataFrame:
@@ -388,21 +428,26 @@ def paragraph_breaks(lines: list[str]) -> list[int]:
 def repaired_paragraphs(pages: DataFrame) -> DataFrame:
     """exam_id, page_id, page_order, paragraph, block_idx, text, goes_on, goes_before: the repaired paragraphs of every page.
 
-    Running lines (templates of this corpus) and page numbers are gone. `goes_on`: the last paragraph of
+    Running lines (templates of this corpus, and lines that return in the exam, as in `found_noise`) and page
+    numbers are gone; known words misread as others are put right by the word before them. `goes_on`: the last paragraph of
     the page has no end; `goes_before`: the first one has no beginning.
     """
     texts = pages.select(F.explode("ocr_text.layouts.text").alias("text")).where("text is not null")
-    bc = pages.sparkSession.sparkContext.broadcast((build_lexicon(texts), running_templates(pages)))
+    lex = build_lexicon(texts)
+    bc = pages.sparkSession.sparkContext.broadcast((lex, running_templates(pages), context_errors(pages, lex)))
+    returning = running_lines(pages, cut_lineage(edge_lines(pages))).groupBy("page_id").agg(F.collect_set("skel").alias("running"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, templates = bc.value
-        decoder = Decoder(lex)
+        lex, templates, pairs = bc.value
+        decoder = Decoder(lex, pairs)
         for b in batches:
             out = []
-            for exam, page, order, texts, labels in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"], b["labels"]):
+            for exam, page, order, texts, labels, running in zip(b["exam_id"], b["page_id"], b["page_order"], b["texts"], b["labels"], b["running"]):
+                own = frozenset(() if running is None else running)
+                returns = lambda head: bool(own) and digest(skeleton(head)) in own  # noqa: B023, E731
                 o = None if order is None or order != order else int(order)
                 paras: list[tuple[int, str, str]] = []
-                for i, label, text, edge in page_body(texts, labels, o, templates):
+                for i, label, text, edge in page_body(texts, labels, o, templates, returns):
                     if edge:
                         continue
                     if label in ("Table", "Formula") or text.lstrip().startswith("<"):
@@ -419,7 +464,7 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
                     out.append((exam, page, o, k, i, text, goes, opens))
             yield pd.DataFrame(out, columns=["exam_id", "page_id", "page_order", "paragraph", "block_idx", "text", "goes_on", "goes_before"]).astype({"page_order": "Int32"})
 
-    rows = page_rows(pages).dropDuplicates(["page_id"])
+    rows = page_rows(pages).dropDuplicates(["page_id"]).join(returning, "page_id", "left")
     return rows.mapInPandas(run, "exam_id string, page_id string, page_order int, paragraph int, block_idx int, text string, goes_on boolean, goes_before boolean")
 
 

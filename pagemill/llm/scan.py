@@ -8,6 +8,7 @@ allows sending it to the driver and to the workers.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -221,11 +222,13 @@ def running_templates(pages: DataFrame) -> frozenset[str]:
     return frozenset(r["m"] for r in counts.where(F.col("n") >= max(2, TEMPLATE_SHARE * total)).collect()) if total else frozenset()
 
 
-def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> list[tuple[int, str, str, bool]]:
+def page_body(texts, labels, order: int | None, templates: frozenset[str], returns: Callable[[str], bool] | None = None) -> list[tuple[int, str, str, bool]]:
     """(block_idx, label, text without edge lines, is an edge block) of the blocks of a page with text.
 
     Edge lines (running lines by template, page numbers) are looked for in the first and last two
-    blocks, at the first and last two lines. Texts come back in their consistent form.
+    blocks, at the first and last two lines. Texts come back in their consistent form. With `returns`, which
+    tells the exam's own running lines, blank lines don't count as first or last ones, and a page number goes
+    from the end of a line that stays.
     """
     from pagemill.llm.canon import canonical
 
@@ -237,9 +240,17 @@ def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> li
             out.append((i, label, text, False))
             continue
         lines = text.split("\n")
+        full = [q for q, line in enumerate(lines) if line.strip()] if returns else []
+        ends = {*full[:2], *full[-2:]}
         keep = []
         for q, line in enumerate(lines):
             s = line.strip()
+            if q in ends and len(line) <= MAX_LINE + 60:
+                head, tail = split_tail(s, order)
+                if is_page_number(s, order) or len(head) < MAX_LINE and (returns(head) or masked(head) in templates):
+                    continue
+                if tail:
+                    line = s = head
             edge = (q < 2 or q >= len(lines) - 2) and (is_page_number(s, order) or (len(s) < MAX_LINE and bool(s) and masked(split_tail(s, order)[0]) in templates))
             if not edge:
                 keep.append(line)

@@ -107,3 +107,25 @@ def test_paragraphs_over_pages(spark):
         ("b1", 0): (1, "The storm"), ("b2", 0): (1, SENTENCE),
     }
     assert repair.continuous_paragraphs(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_paragraphs_without_the_exams_own_running_lines(spark):
+    line = "Sedge Hall School – Computing 6 – Code 00000987"
+    two, three = "Without using a calculator, the storm arrived.", "The market arrived before the storm."
+    rows = body(spark) + [
+        page("a1", "e", 1, ("Section-header", line), ("Text", SENTENCE)), page("a2", "e", 2, ("Text", "Sedge Ha11 School – Computing 6 – Code 00000987\n" + two)),
+        page("a3", "e", 3, ("Text", three + "\n" + line + " | Page 3/4\n")), page("a4", "e", 4, ("Text", "In thorn market. | 4")), page("b1", "f", 1, ("Text", line)),
+    ]
+    got = {r.page_id: r.text for r in repair.continuous_paragraphs(frame(spark, rows)).where("exam_id in ('e', 'f')").collect()}
+    assert got == {"a1": SENTENCE, "a2": two, "a3": three, "a4": "In thorn market.", "b1": line}
+    held = {r.page_id for r in repair.found_noise(frame(spark, rows)).where("kind = 'running'").collect()}
+    assert held == {"a1", "a2", "a3"}
+
+
+def test_paragraphs_put_known_words_right_by_context(spark, monkeypatch):
+    pairs = {"tin": {"the": "using"}}
+    assert repair.Decoder(LEX, pairs).decode("The Tin, a tin and the TIN care-\nfully") == ("The Using, a tin and the USING carefully", {"hyphen", "char"})
+    assert repair.Decoder(LEX).decode("The tin")[0] == "The tin"
+    monkeypatch.setattr(repair, "context_errors", lambda pages, lex: {"storm": {"the": "market"}})
+    got = [r.text for r in repair.repaired_paragraphs(frame(spark, body(spark, 3))).collect()]
+    assert got and all("the market arrived" in t for t in got)
