@@ -702,8 +702,13 @@ def list_lines(t):
 
 @query()
 def markdown_runs(t):
-    """Styled runs of every body text."""
-    return t.b.where("category = 'Text' and text like '%**%'").select("page_id", "block_idx", F.posexplode(markup.runs_udf("text")).alias("run", "r")).select("page_id", "block_idx", "run", "r.*")
+    """Styled runs of every inline text: all but tables, lists and pictures; a text without any marker is one plain run."""
+    inline = t.b.where(c("text").isNotNull() & ~F.coalesce(c("category").isin("Table", "List-item", "Picture"), F.lit(False)))
+    marked = c("text").contains("*") | c("text").contains("__")
+    no = F.lit(False)
+    plain = F.when(c("text") != "", F.array(F.struct(c("text").alias("text"), no.alias("bold"), no.alias("italic"), no.alias("underline"))))
+    runs = F.when(marked, markup.runs_udf(F.when(marked, c("text")))).otherwise(plain)
+    return inline.select("page_id", "block_idx", F.posexplode(runs).alias("run", "r")).select("page_id", "block_idx", "run", "r.*")
 
 
 @query()

@@ -96,3 +96,27 @@ def test_flagship_renders_headers_and_footers(spark, sf, tmp_path):
     spark.createDataFrame(rows, spark.read.parquet(f"{sf}/pages.parquet").drop("landed_at").schema).write.parquet(f"{tmp_path}/pages.parquet")
     got = [(r.page_id, r.part, r.block_idx, r.share) for r in Q["render_plan_layout"](spark, str(tmp_path)).orderBy("block_idx").collect()]
     assert got == [("p1", "header", 0, 0.75), ("p1", "main", 1, None), ("p1", "header", 2, 0.25)]
+
+
+def test_markdown_runs_of_every_inline_text(spark, sf, tmp_path):
+    texts = [
+        ("Text", "a *b* c"), ("Footnote", "__u__"), ("Caption", "plain"), (None, "2 * 3"), ("Title", "**x** y"), ("Section-header", ""), ("Text", None),
+        ("Table", "**t**"), ("List-item", "*l*"), ("Picture", "p"),
+    ]
+    rows = [("p1", "e", 1, "f", (10, 10, 10, 10, [([], k, t, None) for k, t in texts]))]
+    spark.createDataFrame(rows, spark.read.parquet(f"{sf}/pages.parquet").drop("landed_at").schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in Q["markdown_runs"](spark, str(tmp_path)).drop("page_id").collect())
+    no = (False, False, False)
+    assert got == [
+        (0, 0, "a ", *no), (0, 1, "b", False, True, False), (0, 2, " c", *no), (1, 0, "u", False, False, True), (2, 0, "plain", *no), (3, 0, "2 * 3", *no),
+        (4, 0, "x", True, False, False), (4, 1, " y", *no),
+    ]
+
+
+def test_markdown_runs_without_marker_equal_the_tokenizer(spark, sf):
+    from pagemill.functions import markup
+    from pagemill.sources.tables import blocks, distinct_pages
+
+    b = blocks(distinct_pages(spark.read.parquet(f"{sf}/pages.parquet"))).where("text is not null").collect()
+    want = sorted((r.page_id, r.block_idx, k, *x) for r in b if r.category not in ("Table", "List-item", "Picture") for k, x in enumerate(markup.runs(r.text)))
+    assert sorted(tuple(r) for r in Q["markdown_runs"](spark, sf).collect()) == want
