@@ -214,7 +214,8 @@ def context_errors(pages: DataFrame, lex: Lexicon) -> dict[str, dict[str, str]]:
     """Known words that are another known word misread, by the word before them.
 
     Only words in the lexicon that a misreading turns into another word of the lexicon are looked
-    at; a pair (before, word) is an error when (before, other) is NOISE_RATIO times as frequent.
+    at; a pair (before, word) is an error when (before, other) is NOISE_RATIO times as frequent. Pairs may
+    overlap, so every word is tried as the first of a pair.
     Both sides come from the lexicon, so the table is bounded by it.
     """
     from pagemill.llm.scan import NOISE_RATIO, repairs
@@ -226,7 +227,7 @@ def context_errors(pages: DataFrame, lex: Lexicon) -> dict[str, dict[str, str]]:
     words = sorted(set(amb) | {x for r in amb.values() for x in r})
     t = pages.select(F.explode("ocr_text.layouts.text").alias("t"))
     w = "|".join(re.escape(x) for x in words)
-    pair = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(rf"(?U)(\p{{L}}+\s+(?:{w})(?![\p{{L}}\p{{N}}]))"), 1))
+    pair = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(rf"(?U)(?<!\p{{L}})(?=(\p{{L}}+\s+(?:{w})(?![\p{{L}}\p{{N}}])))"), 1))
     p = F.split("p", r"(?U)\s+")
     rows = t.select(pair.alias("p")).select(p[0].alias("a"), p[1].alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 1")
     n = {(r["a"], r["b"]): r["n"] for r in rows.join(F.broadcast(pages.sparkSession.createDataFrame([(x,) for x in sorted(lex.counts)], "a string")), "a", "left_semi").collect()}

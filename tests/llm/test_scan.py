@@ -129,3 +129,11 @@ def test_paragraphs_put_known_words_right_by_context(spark, monkeypatch):
     monkeypatch.setattr(repair, "context_errors", lambda pages, lex: {"storm": {"the": "market"}})
     got = [r.text for r in repair.repaired_paragraphs(frame(spark, body(spark, 3))).collect()]
     assert got and all("the market arrived" in t for t in got)
+
+
+def test_context_pairs_overlap(spark):
+    lex = scan.Lexicon({"the": 900, "corn": 300, "com": 300, "bum": 300, "burn": 300})
+    amb = {w for w in lex.counts if [r for r in scan.repairs(w, lex.counts, 1) if len(r) > 1]}
+    assert {"com", "bum"} <= amb
+    good, bad = ("Text", "the corn burn " * 200), ("Text", "the corn bum")
+    assert repair.context_errors(frame(spark, [page("a", "e", 1, good, bad)]), lex)["bum"] == {"corn": "burn"}
