@@ -23,6 +23,14 @@ def p3_titles(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("canonical").agg(F.countDistinct("id").alias("n_exams"), F.countDistinct("title").alias("n_spellings"))
 
 
+def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every block text of `pages` in its consistent form, once: page_id, block_idx, canonical, changed."""
+    tuned(spark)
+    pages = table(spark, sf, "pages")
+    v = canon.canonicalize(canon.corpus_values(table(spark, sf, "exams").limit(0), pages), "value")
+    return v.select(F.col("record_id").alias("page_id"), "block_idx", "canonical", (F.col("canonical") != F.col("value")).alias("changed")).distinct()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     tuned(spark)
     return truncation.cut_blocks(table(spark, sf, "pages")).select("page_id", "block_idx")
@@ -82,7 +90,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_titles, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
+    for f in (p3_found, p3_titles, p3_texts, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
 }
 _WORDS = "regexp_extract_all(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[\\p{L}\\p{N}]+')"
 _GRAMS = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}))"

@@ -1,128 +1,307 @@
 """What scanned pages have in common: the lexicon of a corpus, misread letters, page numbers, running lines.
 
-The lexicon is counted over all block texts and keeps every word whose relative frequency is at
-least MIN_SHARE, so it holds at most 1 / MIN_SHARE words at any corpus size: that bound is what
-allows sending it to the driver and to the workers.
+The lexicon is counted over all block texts and kept as a table. What belongs to it is decided by comparing
+counts of related forms (a form with the word it misreads, a piece with the words it is cut from), never
+with the size of the corpus: other text beside it changes nothing. Tables that pages look things up
+in are measured (`Shared`): up to MOST_BYTES they are sent to the workers, beyond that they are joined to the pages,
+each page getting the entries it asks for; both ways give the same result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.session import cut_lineage
 
-#: A word belongs to the lexicon from this share of all words on; at most 500,000 words can.
-MIN_SHARE = 2e-6
 MIN_COUNT = 3
 #: A form that turns into a word this many times as frequent, by undoing misreadings, is noise.
 NOISE_RATIO = 8
+#: A form is a piece of longer words when those that begin or end with it are together this many times as frequent.
+PIECE_RATIO = 300
+#: Up to this measured size a table is sent to the workers.
+MOST_BYTES = 32 << 20
 
 # What scanners read (left) for what is printed (right).
 CONFUSIONS = (
-    ("ii", "u"), ("li", "h"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("f", "t"), ("m", "rn"),
+    ("ii", "u"), ("li", "h"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("f", "t"), ("m", "rn"), ("u", "ll"), ("d", "cl"),
     ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("0", "o"), ("9", "g"), ("9", "q"), ("5", "s"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("$", "s"), ("@", "a"),
 )
+#: Every letter as the simplest shapes it may be read as; whatever is confused has one shape.
+_SIMPLE = {"e": "c", "f": "t", "l": "i", "1": "i", "!": "i", "|": "i", "0": "o", "9": "g", "q": "g", "5": "s", "$": "s", "6": "b", "8": "b", "3": "c", "4": "a", "@": "a", "7": "t"}
+_COMPOUND = {"m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv"}
+_SHAPES = str.maketrans(_SIMPLE | _COMPOUND)
 HYPHENS = "-¬­‐‑"
-WORD = r"[^\W\d_]+"
 #: A word as a scanner may have read it: letters with digits or signs among them.
 TOKEN = re.compile(r"(?:[^\W_]|[!|$@](?=[^\W\d_]))*[^\W\d_](?:[^\W_]|[!|$@](?=[^\W\d_]))*!?")
-_DOUBLE_L = re.compile(r"(?<=[a-zß-ÿ])U")
 _CLASSLIKE = re.compile(r"\d+[^\W\d_]{1,2}\d*\Z|[^\W\d_]\d+\Z")
 _NUMBERLIKE = re.compile(r"[\dlIiOo|!]+\Z")
 
 
-def repairs(word: str, known, most: int = 2) -> list[str]:
-    """Known words that `word` becomes by undoing up to `most` misreadings (a bounded search)."""
-    seen, level, out = {word}, [word], []
-    for _ in range(most):
-        nxt = []
-        for w in level:
+def shape(word: str) -> str:
+    """The word with every letter as its simplest shapes: equal for a word and all its misreadings, and additive over parts."""
+    return word.lower().translate(_SHAPES)
+
+
+def shape_col(c: Column) -> Column:
+    """`shape` on the JVM."""
+    c = F.translate(F.lower(c), "".join(_SIMPLE), "".join(_SIMPLE.values()))
+    for k, v in _COMPOUND.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return c
+
+
+def misreads(word: str, read: str) -> int | None:
+    """How many misreadings turn the printed `word` into `read`; None if none do. Exact, over both whole words."""
+    if word == read:
+        return 0
+    state = {0: {0: 0}}  # position in word -> {position in read: misreadings}
+    for i in range(len(word)):
+        for j, k in sorted(state.pop(i, {}).items()):
+            if j < len(read) and word[i] == read[j]:
+                at = state.setdefault(i + 1, {})
+                at[j + 1] = min(k, at.get(j + 1, k))
             for bad, good in CONFUSIONS:
-                i = w.find(bad)
-                while i >= 0:
-                    r = w[:i] + good + w[i + len(bad):]
-                    if r not in seen:
-                        seen.add(r)
-                        nxt.append(r)
-                        if r in known:
-                            out.append(r)
-                    i = w.find(bad, i + 1)
-        if out or len(nxt) > 400:
-            break
-        level = nxt
-    return out
+                if word.startswith(good, i) and read.startswith(bad, j):
+                    at = state.setdefault(i + len(good), {})
+                    at[j + len(bad)] = min(k + 1, at.get(j + len(bad), k + 1))
+    return state.get(len(word), {}).get(len(read))
+
+
+class Trie:
+    """A trie kept as its sorted keys: a node is the run of keys with one prefix, a step narrows the run by binary search."""
+
+    def __init__(self, keys: Iterable[str]):
+        self.keys = sorted(set(keys))
+
+    def root(self) -> tuple[int, int, int]:
+        """(first key, last key + 1, depth) of the root."""
+        return 0, len(self.keys), 0
+
+    def step(self, node: tuple[int, int, int], s: str) -> tuple[int, int, int] | None:
+        """The node reached by the characters `s`, or None."""
+        for c in s:
+            lo, hi, d = node
+            lo = bisect_left(self.keys, c, lo, hi, key=lambda k: k[d : d + 1])
+            hi = bisect_right(self.keys, c, lo, hi, key=lambda k: k[d : d + 1])
+            if lo == hi:
+                return None
+            node = lo, hi, d + 1
+        return node
+
+    def ends(self, node: tuple[int, int, int]) -> bool:
+        """True when a key ends at the node."""
+        return len(self.keys[node[0]]) == node[2]
+
+    def is_inner(self, s: str) -> bool:
+        """True when `s` is a proper prefix of a key."""
+        node = self.step(self.root(), s) if self.keys else None
+        return node is not None and (node[1] - node[0] > 1 or not self.ends(node))
 
 
 class Lexicon:
-    """Clean words with counts; noise forms are left out. Built on the driver, used in workers."""
+    """Known words with counts, their trie, and the words of each shape."""
 
     def __init__(self, counts: dict[str, int]):
-        self.counts = {
-            w: n for w, n in counts.items()
-            if not any(counts[r] >= NOISE_RATIO * n for r in repairs(w, counts, 2))
-        }
-        self._prefixes: set[str] | None = None
+        groups: dict[str, list[str]] = {}
+        for w in counts:
+            groups.setdefault(shape(w), []).append(w)
+        self.counts: dict[str, int] = {}
+        self.shapes: dict[str, list[str]] = {}
+        for s, words in groups.items():
+            top = max(words, key=lambda w: (counts[w], w))
+            kept = [w for w in words if counts[w] * NOISE_RATIO > counts[top] or misreads(top, w) is None]
+            self.shapes[s] = kept
+            self.counts.update((w, counts[w]) for w in kept)
+        self._tries: dict[str, Trie] = {}
         self.repair = lru_cache(100_000)(self._repair)
 
     def __getstate__(self):
         return self.counts
 
     def __setstate__(self, counts):
-        self.counts, self._prefixes = counts, None
-        self.repair = lru_cache(100_000)(self._repair)
+        self.__init__(counts)
 
     def __contains__(self, word: str) -> bool:
         return word in self.counts
 
     @property
-    def trie(self) -> set[str]:
-        """The inner nodes of the vocabulary trie: every proper prefix of a known word."""
-        if self._prefixes is None:
-            self._prefixes = {w[:i] for w in self.counts for i in range(1, len(w))}
-        return self._prefixes
+    def trie(self) -> Trie:
+        """The vocabulary trie."""
+        if "words" not in self._tries:
+            self._tries["words"] = Trie(self.counts)
+        return self._tries["words"]
+
+    @property
+    def shape_trie(self) -> Trie:
+        """The trie of the words' shapes."""
+        if "shapes" not in self._tries:
+            self._tries["shapes"] = Trie(self.shapes)
+        return self._tries["shapes"]
+
+    def readings(self, token: str) -> list[tuple[int, str]]:
+        """(misreadings, word) of the known words that `token` may stand for, whatever their number."""
+        low = token.lower()
+        return [(k, w) for w in self.shapes.get(shape(low), ()) if (k := misreads(w, low)) is not None]
+
+    def best(self, token: str) -> tuple[int, str] | None:
+        """The reading with the fewest misreadings, then the most frequent word."""
+        found = [(k, w) for k, w in self.readings(token) if len(w) > 1]
+        return min(found, key=lambda r: (r[0], -self.counts[r[1]], r[1])) if found else None
 
     def _repair(self, token: str) -> str | None:
         """The known word that was misread as `token`; None for known words, numbers and unknown words."""
-        low = _DOUBLE_L.sub("ll", token).lower()
-        if low != token.lower() and low in self.counts:
-            return low
+        low = token.lower()
+        if low in self.counts:
+            return None
         if low.endswith("!") and (low[:-1] in self.counts or len(low) < 3):
             return None
-        if low in self.counts or len(low) < 2 or _NUMBERLIKE.match(token) or _CLASSLIKE.match(token):
+        if not repairable(token):
             return None
-        found = [r for r in repairs(low, self.counts, 3 if len(low) > 3 else 2) if len(r) > 1]
-        return max(found, key=lambda r: (self.counts[r], r)) if found else None
+        found = self.best(token)
+        return found[1] if found and found[0] else None
+
 
+def repairable(token: str) -> bool:
+    """False for single signs, numbers and names of classes, which may look like misread words."""
+    return len(token) > 1 and not _NUMBERLIKE.match(token) and not _CLASSLIKE.match(token)
 
-def words_of(texts: DataFrame, col: str) -> DataFrame:
-    """(word, n): lower-case words with their number of uses; words divided over lines and the last chunk of a text are left out.
 
-    Texts are cut at white space first and the chunks counted, with map-side combine; only the distinct
-    chunks, far fewer, are taken apart by patterns.
+# Tables that pages look things up in --------------------------------------------------------
+
+
+class Shared:
+    """A table that rows look things up in by `key`, at the workers or by a join, as its measured size says."""
+
+    def __init__(self, table: DataFrame, key: str, columns: list[str], most: int | None = None):
+        self.table, self.key, self.columns = table, key, columns
+        size = table.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) + 16 for c in columns), F.lit(0)))).first()[0] or 0
+        self.rows = [tuple(r) for r in table.select(*columns).collect()] if size <= (MOST_BYTES if most is None else most) else None
+
+    def attach(self, rows: DataFrame, ids: list[str], asks: Callable[[dict], Iterable[str]], out: str) -> DataFrame:
+        """`rows` (unique by `ids`) with `out`: null where the workers have the table, else the entries whose keys the row asks for."""
+        kind = f"array<struct<{', '.join(f'{c}:{t}' for c, t in self.table.select(*self.columns).dtypes)}>>"
+        if self.rows is not None:
+            return rows.withColumn(out, F.lit(None).cast(kind))
+        ddl = ", ".join(f"{c} {t}" for c, t in rows.select(*ids).dtypes)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [(*(r[i] for i in ids), k) for r in b.to_dict("records") for k in {*asks(r)}]
+                yield pd.DataFrame(found, columns=[*ids, "_k"])
+
+        asked = rows.mapInPandas(run, f"{ddl}, _k string")
+        own = self.table.select(F.col(self.key).alias("_k"), F.struct(*self.columns).alias("_v"))
+        got = asked.join(own, "_k").groupBy(*ids).agg(F.collect_list("_v").alias(out))
+        return rows.join(got, ids, "left")
+
+    def sender(self, make: Callable[[list[tuple]], object], spark):
+        """A function for the workers: the table's object, made once from all rows or from the entries of one row."""
+        bc = spark.sparkContext.broadcast(make(self.rows)) if self.rows is not None else None
+
+        def get(entries):
+            if bc is not None:
+                return bc.value
+            return make([] if entries is None else [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in entries])
+
+        return get
+
+
+# The lexicon --------------------------------------------------------------------------------
+
+_DIVIDED = re.compile(rf"[^\W\d_]+[{HYPHENS}]\n[^\W\d_]+")
+_OMITTED = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|…|\.\.\.)\s*\Z")
+_NO_WORD = re.compile(r"[^\w!|$@]+|_")
+
+
+def count_words(texts: Iterable[str | None]) -> Counter:
+    """Lower-case words of texts with their number of uses; words divided over lines and the first and last chunk of a text are left out.
+
+    Texts are cut at white space and the chunks counted; only distinct chunks are taken apart.
     """
-    t = F.col(col)
-    divided = F.lit(False)
-    for h in HYPHENS:
-        divided = divided | F.contains(t, F.lit(h + "\n"))
-    whole = F.when(divided, F.regexp_replace(t, rf"(?U)\p{{L}}+[{HYPHENS}]\n\p{{L}}+", " ")).otherwise(t)
-    chunks = F.split(F.replace(whole, F.lit("\n"), F.lit(" ")), " ")
-    counted = texts.select(F.explode(F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    words = counted.select("n", F.explode(F.split(F.lower("c"), r"(?U)[^\p{L}\p{M}\p{N}!|$@]+")).alias("word"))
-    return words.where(r"word rlike '^\\p{L}[\\p{L}\\p{M}]*$'").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def build_lexicon(texts: DataFrame, col: str = "text") -> Lexicon:
-    """The lexicon of all values of `col`; its size is bounded by 1 / MIN_SHARE."""
-    counts = cut_lineage(words_of(texts, col).where(F.col("n") >= MIN_COUNT))
-    # The total over words seen MIN_COUNT times is at most the true total, so the bound holds.
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)).collect() if total else []
-    return Lexicon({r["word"]: r["n"] for r in rows})
+    from pagemill.llm.canon import canonical
+
+    chunks: Counter = Counter()
+    for t in texts:
+        if not isinstance(t, str) or not t:
+            continue
+        t = canonical(t)
+        if any(h + "\n" in t for h in HYPHENS):
+            t = _DIVIDED.sub(" ", t)
+        if t[-1] in "….])":
+            t = _OMITTED.sub("", t)
+        chunks.update(t.split()[1:-1])
+    words: Counter = Counter()
+    for c, n in chunks.items():
+        for w in _NO_WORD.split(c.lower()):
+            if w and w.isalpha():
+                words[w] += n
+    return words
+
+
+def counted(pages: DataFrame) -> DataFrame:
+    """(kind, key, n) of one scan of pages: kind 'word', and 'line', the masked lines of headers and footers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines: Counter = Counter()
+            for order, texts, labels in zip(b["page_order"], b["texts"], b["labels"]):
+                order = None if order is None or order != order else int(order)
+                for t, label in zip(texts, labels):
+                    if label in EDGE_LABELS and isinstance(t, str):
+                        lines.update(edge_masks(t, order))
+            words = count_words(t for texts in b["texts"] for t in texts)
+            rows = [("word", w, n) for w, n in words.items()] + [("line", m, n) for m, n in lines.items()]
+            yield pd.DataFrame(rows, columns=["kind", "key", "n"])
+
+    return page_rows(pages).mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _misread(word: pd.Series, read: pd.Series) -> pd.Series:
+    return pd.Series([misreads(a, b) is not None for a, b in zip(word, read)], dtype=bool)
+
+
+def known_words(words: DataFrame) -> DataFrame:
+    """(word, n, shape) of the words in (word, n) that are seen MIN_COUNT times and are neither misread nor cut from others.
+
+    Both tests compare counts of related forms, so they come out alike at every size of the corpus. They are
+    joins over distinct words: each with the most frequent word of its shape, and with the proper prefixes
+    and suffixes of all words.
+    """
+    w = words.where(F.col("n") >= MIN_COUNT).withColumn("shape", shape_col(F.col("word")))
+    top = F.first(F.struct("word", "n")).over(Window.partitionBy("shape").orderBy(F.desc("n"), F.desc("word")))
+    w = w.withColumn("top", top)
+    rival = (F.col("top.word") != F.col("word")) & (F.col("top.n") >= NOISE_RATIO * F.col("n"))
+    judged = w.withColumn("bad", F.when(rival, _misread(F.when(rival, F.col("top.word")).otherwise(""), "word")).otherwise(False))
+    clean = cut_lineage(judged.where("not bad").select("word", "n", "shape"))
+    size = F.length("word")
+    inner = F.sequence(F.lit(1), size - 1)
+    parts = clean.where(size > 1).select("n", F.explode(F.flatten(F.array(F.transform(inner, lambda i: F.left("word", i)), F.transform(inner, lambda i: F.right("word", i))))).alias("word"))
+    of = parts.groupBy("word").agg(F.sum("n").alias("above"))
+    return clean.join(of, "word", "left").where(F.coalesce("above", F.lit(0)) < PIECE_RATIO * F.col("n")).select("word", "n", "shape")
+
+
+def lexicon_of(counts: DataFrame) -> DataFrame:
+    """The known words of `counted`, written once."""
+    return cut_lineage(known_words(counts.where("kind = 'word'").select(F.col("key").alias("word"), "n")))
+
+
+def shared_lexicon(words: DataFrame, most: int | None = None) -> Shared:
+    """The lexicon as a table to look things up in, by shape."""
+    return Shared(words, "shape", ["word", "n"], most)
+
+
+def make_lexicon(rows: list[tuple]) -> Lexicon:
+    return Lexicon(dict(rows))
 
 
 # Page numbers -------------------------------------------------------------------------------
@@ -153,8 +332,8 @@ def numerals(s: str) -> set[int]:
 
 def is_page_number(line: str, page_order: int | None) -> bool:
     """True when the line is nothing but the page's own number."""
-    m = PAGE_NUMBER.match(line.strip()) if len(line) < 60 else None
-    return bool(m) and page_order is not None and page_order in numerals(m["n"])
+    m = PAGE_NUMBER.match(line.strip()) if page_order is not None else None
+    return bool(m) and page_order in numerals(m["n"])
 
 
 def split_tail(line: str, page_order: int | None) -> tuple[str, str]:
@@ -166,29 +345,16 @@ def split_tail(line: str, page_order: int | None) -> tuple[str, str]:
     return line, ""
 
 
-#: Every letter as the simplest shapes it may be read as; two readings of one line meet there.
-_SHAPES = str.maketrans({
-    "m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv", "e": "c", "f": "t", "l": "i", "1": "i", "!": "i", "|": "i",
-    "0": "o", "9": "g", "q": "g", "5": "s", "$": "s", "6": "b", "8": "b", "3": "c", "4": "a", "@": "a", "7": "t",
-})
-
-
 def skeleton(line: str) -> str:
     """The line apart from letter case, spacing and misread characters."""
-    return "".join(line.lower().translate(_SHAPES).split())
-
-
-#: A running line is shorter than this; longer lines are text.
-MAX_LINE = 200
+    return "".join(shape(line).split())
 
 
 # Running-line templates ---------------------------------------------------------------------
 
-#: A template is kept from this share of all header and footer lines on; at most 100,000 can be.
-TEMPLATE_SHARE = 1e-5
 EDGE_LABELS = ("Page-header", "Page-footer")
-
-
+#: The top and bottom of a page are its first and last two blocks, and of these the first and last two lines.
+EDGE_BLOCKS = EDGE_LINES = 2
 _NUMBERS = re.compile(r"(?<![^\W_])[\dlIO|!]*\d[\dlIO|!]*(?![^\W_])")
 
 
@@ -197,62 +363,62 @@ def masked(line: str) -> str:
     return skeleton(_NUMBERS.sub("#", line))
 
 
-def running_templates(pages: DataFrame) -> frozenset[str]:
-    """Masked skeletons of lines that headers and footers are made of, over all pages; bounded by TEMPLATE_SHARE."""
-    import pandas as pd
-
+def edge_masks(text: str, order: int | None) -> list[str]:
+    """The masked lines of one header or footer text, page numbers left out."""
     from pagemill.llm.canon import canonical
 
-    own = pages.select("page_order", F.explode("ocr_text.layouts").alias("b")).where(F.col("b.category").isin(*EDGE_LABELS) & F.col("b.text").isNotNull())
-    lines = own.select(F.col("page_order").cast("int").alias("o"), F.col("b.text").alias("text"))
+    lines = (x.strip() for x in canonical(text).split("\n"))
+    masks = (masked(split_tail(x, order)[0]) for x in lines if x and not is_page_number(x, order))
+    return [m for m in masks if len(m) >= 4]
+
+
+def shared_templates(counts: DataFrame, most: int | None = None) -> Shared:
+    """Masked lines seen twice or more in headers and footers, as a table to look lines up in."""
+    return Shared(cut_lineage(counts.where("kind = 'line' and n >= 2").select(F.col("key").alias("mask"))), "mask", ["mask"], most)
+
+
+def make_templates(rows: list[tuple]) -> frozenset[str]:
+    return frozenset(r[0] for r in rows)
+
+
+def template_asks(row: dict) -> set[str]:
+    """The masks that `page_body` may look up for a page."""
+    seen: set[str] = set()
+
+    class Asked(frozenset):
+        def __contains__(self, mask):
+            seen.add(mask)
+            return False
+
+    # A line that goes uncovers no other one, so every mask is asked for when none is known.
+    page_body(row["texts"], row["labels"], _order(row["page_order"]), Asked())
+    return seen
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for o, t in zip(b["o"], b["text"]):
-                o = None if o != o or o is None else int(o)
-                for line in canonical(t).split("\n"):
-                    line = line.strip()
-                    if line and not is_page_number(line, o):
-                        out.append(masked(split_tail(line, o)[0]))
-            yield pd.DataFrame({"m": pd.Series(out, dtype="object")})
 
-    counts = cut_lineage(lines.mapInPandas(run, "m string").groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 and length(m) >= 4"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r["m"] for r in counts.where(F.col("n") >= max(2, TEMPLATE_SHARE * total)).collect()) if total else frozenset()
+def _order(value) -> int | None:
+    return None if value is None or value != value else int(value)
 
 
-def page_body(texts, labels, order: int | None, templates: frozenset[str], returns: Callable[[str], bool] | None = None) -> list[tuple[int, str, str, bool]]:
+def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> list[tuple[int, str, str, bool]]:
     """(block_idx, label, text without edge lines, is an edge block) of the blocks of a page with text.
 
-    Edge lines (running lines by template, page numbers) are looked for in the first and last two
-    blocks, at the first and last two lines. Texts come back in their consistent form. With `returns`, which
-    tells the exam's own running lines, blank lines don't count as first or last ones, and a page number goes
-    from the end of a line that stays.
+    Edge lines (running lines by template, page numbers) are those at the top or bottom of the page: the first and last
+    EDGE_LINES lines of the first and last EDGE_BLOCKS blocks. Texts come back in their consistent form.
     """
     from pagemill.llm.canon import canonical
 
     blocks = [(i, c or "", canonical(t)) for i, (t, c) in enumerate(zip(texts, labels)) if isinstance(t, str) and t.strip()]
-    n = len(blocks)
     out = []
     for j, (i, label, text) in enumerate(blocks):
-        if 2 <= j < n - 2:
+        if EDGE_BLOCKS <= j < len(blocks) - EDGE_BLOCKS:
             out.append((i, label, text, False))
             continue
         lines = text.split("\n")
-        full = [q for q, line in enumerate(lines) if line.strip()] if returns else []
-        ends = {*full[:2], *full[-2:]}
         keep = []
         for q, line in enumerate(lines):
             s = line.strip()
-            if q in ends and len(line) <= MAX_LINE + 60:
-                head, tail = split_tail(s, order)
-                if is_page_number(s, order) or len(head) < MAX_LINE and (returns(head) or masked(head) in templates):
-                    continue
-                if tail:
-                    line = s = head
-            edge = (q < 2 or q >= len(lines) - 2) and (is_page_number(s, order) or (len(s) < MAX_LINE and bool(s) and masked(split_tail(s, order)[0]) in templates))
-            if not edge:
+            at_edge = (q < EDGE_LINES or q >= len(lines) - EDGE_LINES) and bool(s)
+            if not (at_edge and (is_page_number(s, order) or masked(split_tail(s, order)[0]) in templates)):
                 keep.append(line)
         body = "\n".join(keep)
         gone = not body.strip() or label in EDGE_LABELS
