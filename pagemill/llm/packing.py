@@ -12,13 +12,16 @@ plan is made on the driver from the histogram alone, whatever the number of docu
 3. what is left is packed by the same rule, largest first (best fit), which uses up every item.
 
 A plan step says "n containers, each with these sizes", and uses up at least one size or one
-pattern count, so there are at most a few steps per size. Assigning documents is a distributed rank
-within each size (two levels: counts per size and bucket, then a rank inside a bucket, so that a size
-that a third of all documents share is no hot spot) and a binary search in the plan.
+pattern count, so there are at most a few steps per size.
+
+Documents are scanned once, for ids and sizes. Assigning them is a rank within each size and a binary search in the
+plan. A rank has two levels: a size is split into as many buckets as its count asks for (RANK_ROWS each), so a size that
+a third of all documents share is spread over tasks of the same length as any other; ranks run inside
+a bucket and are shifted by the counts of the buckets before it.
 
 Defined results: a null or negative size is taken from the text (UTF-8 bytes and an end token); null
 text without a size counts as one token; a document of size 0 takes no room but is assigned; empty tables
-give an empty assignment; equal sizes are interchangeable and ranked by id, ties by bucket.
+give an empty assignment; equal sizes are interchangeable and ranked by bucket and id.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 
 BINS = 48
-BUCKETS = 16
+#: Documents of one size that are ranked in one window at most, on average.
+RANK_ROWS = 100_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -75,8 +79,8 @@ class Stock:
             self.sizes.pop(bisect_right(self.sizes, size) - 1)
 
 
-def _fill(stock: Stock, room: int, sizes: list[int]) -> list[int]:
-    """Adds the largest sizes that still fit, as long as any does."""
+def _fill(stock: Stock, room: int, sizes: list[int]) -> dict[int, int]:
+    """{size: items}: `sizes` and the largest sizes that still fit, as long as any does."""
     used: dict[int, int] = {}
     for s in sizes:
         used[s] = used.get(s, 0) + 1
@@ -85,19 +89,13 @@ def _fill(stock: Stock, room: int, sizes: list[int]) -> list[int]:
         s = stock.largest(min(room, limit))
         if s is None:
             break
-        if stock.n[s] - used.get(s, 0) <= 0:
-            limit = s - 1
-            continue
-        if s == 0:
-            k = stock.n[0] - used.get(0, 0)
-            sizes.extend([0] * min(k, 64))
-            break
-        k = min(stock.n[s] - used.get(s, 0), room // s)
-        sizes.extend([s] * k)
-        used[s] = used.get(s, 0) + k
-        room -= s * k
+        left = stock.n[s] - used.get(s, 0)
+        k = left if s == 0 else min(left, room // s)
+        if k > 0:
+            used[s] = used.get(s, 0) + k
+            room -= s * k
         limit = s - 1
-    return sizes
+    return used
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -105,10 +103,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
     stock = Stock(counts)
     steps: list[tuple[int, dict[int, int]]] = []
 
-    def emit(sizes: list[int], most: int | None) -> int:
-        per: dict[int, int] = {}
-        for s in sizes:
-            per[s] = per.get(s, 0) + 1
+    def emit(per: dict[int, int], most: int | None) -> int:
         k = min(stock.n[s] // m for s, m in per.items())
         k = k if most is None else min(k, most)
         for s, m in per.items():
@@ -163,79 +158,95 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(own, F.octet_length("text").cast("long") + 1, F.lit(1).cast("long")).alias("size"))
 
 
-def pieces(sized: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, part, size, full: parts of documents; only documents above the capacity have more than one."""
-    n_full = F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(F.lit(0))
-    rest = F.col("size") - n_full * capacity
-    parts = F.filter(
-        F.concat(
-            F.transform(F.sequence(F.lit(1), F.greatest(n_full, F.lit(1))), lambda i: F.struct((i - 1).cast("int").alias("part"), F.when(i <= n_full, F.lit(capacity)).otherwise(F.lit(-1)).cast("long").alias("size"))),
-            F.array(F.struct(n_full.cast("int").alias("part"), F.when((rest > 0) | (n_full == 0), rest).otherwise(F.lit(-1)).cast("long").alias("size"))),
-        ),
-        lambda p: p["size"] >= 0,
-    )
-    return sized.select("doc_id", F.inline(parts)).withColumn("full", F.col("size") == capacity)
-
-
-def assign(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, part, size, container: every document in containers of `capacity` tokens."""
-    items = pieces(sizes_of(docs), capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(BUCKETS)).cast("int"))
-    # At most capacity x BUCKETS rows, whatever the number of documents.
-    counted = items.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    wide = counted.pivot(index="size", columns="bucket", values="n").fillna(0).astype("int64").reindex(columns=range(BUCKETS), fill_value=0) if len(counted) else pd.DataFrame(columns=range(BUCKETS))
-    by_size: dict[int, int] = {int(s): int(n) for s, n in wide.sum(axis=1).items()}
-    offset = {int(s): np.concatenate([[0], np.cumsum(r)[:-1]]) for s, r in zip(wide.index, wide.to_numpy())}
-    # size -> (first rank of each step, first container, items of the size in each container)
-    table: dict[int, tuple[list[int], list[int], list[int]]] = {}
-    seen: dict[int, int] = {}
-    container = 0
-    for k, per in plan(by_size, capacity):
-        for s, m in per.items():
-            rank = seen.get(s, 0)
-            t = table.setdefault(s, ([], [], []))
-            t[0].append(rank)
-            t[1].append(container)
-            t[2].append(m)
-            seen[s] = rank + k * m
-        container += k
-    bc = docs.sparkSession.sparkContext.broadcast((offset, {s: tuple(np.array(x) for x in t) for s, t in table.items()}))
-    rank = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "part")) - 1
-    ranked = items.withColumn("rank", rank)
+def pieces(sized: DataFrame, capacities: list[int]) -> DataFrame:
+    """capacity, doc_id, part, size: parts of documents for each capacity; only documents above it have more than one."""
+    per = sized.select("doc_id", "size", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("capacity"))
+    size, cap = F.col("size"), F.col("capacity")
+    n_full = F.when(size > cap, F.floor(size / cap)).otherwise(F.lit(0)).cast("int")
+    rest = size - n_full * cap
+    last = F.when((rest > 0) | (n_full == 0), F.array(F.struct(n_full.alias("part"), rest.alias("size")))).otherwise(F.array().cast("array<struct<part:int,size:bigint>>"))
+    full = F.when(n_full > 0, F.transform(F.sequence(F.lit(0), n_full - 1), lambda i: F.struct(i.alias("part"), cap.alias("size")))).otherwise(F.array().cast("array<struct<part:int,size:bigint>>"))
+    return per.select("capacity", "doc_id", F.inline(F.concat(full, last)))
+
+
+def assign_all(docs: DataFrame, capacities: list[int], rank_rows: int = RANK_ROWS) -> DataFrame:
+    """capacity, doc_id, part, size, container: every document in containers of each capacity."""
+    from pagemill.session import cut_lineage
+
+    items = pieces(cut_lineage(sizes_of(docs)), capacities)
+    # The histogram: at most `capacity` rows for each capacity, whatever the number of documents.
+    counts = items.groupBy("capacity", "size").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    by_size: dict[int, dict[int, int]] = {c: {} for c in capacities}
+    for r in counts.collect():
+        by_size[r["capacity"]][r["size"]] = r["n"]
+    # (capacity, size) -> (first rank of each step, first container, items of the size in each container)
+    table: dict[tuple[int, int], tuple[list[int], list[int], list[int]]] = {}
+    for c, sizes in by_size.items():
+        seen: dict[int, int] = {}
+        container = 0
+        for k, per in plan(sizes, c):
+            for s, m in per.items():
+                rank = seen.get(s, 0)
+                for column, v in zip(table.setdefault((c, s), ([], [], [])), (rank, container, m)):
+                    column.append(v)
+                seen[s] = rank + k * m
+            container += k
+    bc = docs.sparkSession.sparkContext.broadcast({s: tuple(np.array(x) for x in t) for s, t in table.items()})
+    split = counts.select("capacity", "size", F.ceil(F.col("n") / rank_rows).alias("buckets"))
+    bucket = F.pmod(F.xxhash64("doc_id", "part"), F.col("buckets")).cast("int")
+    placed = items.join(split, ["capacity", "size"]).withColumn("bucket", bucket).drop("buckets")
+    by = ["capacity", "size", "bucket"]
+    before = Window.partitionBy("capacity", "size").orderBy("bucket")
+    shift = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("shift", F.sum("n").over(before) - F.col("n")).drop("n")
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "part")) - 1).join(shift, by)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offset, table = bc.value
+        table = bc.value
         for b in batches:
             out = np.empty(len(b), dtype=np.int64)
-            for (s, bucket), rows in b.groupby(["size", "bucket"]).indices.items():
-                first, cont, m = table[s]
-                r = b["rank"].to_numpy()[rows] + offset[s][bucket]
+            for key, rows in b.groupby(["capacity", "size"]).indices.items():
+                first, cont, m = table[key]
+                r = b["rank"].to_numpy()[rows]
                 i = np.searchsorted(first, r, side="right") - 1
                 out[rows] = cont[i] + (r - first[i]) // m[i]
-            yield b[["doc_id", "part", "size"]].assign(container=out)
+            yield b[["capacity", "doc_id", "part", "size"]].assign(container=out)
+
+    ranks = ranked.select("capacity", "doc_id", "part", "size", (F.col("rank") + F.col("shift")).alias("rank"))
+    return ranks.mapInPandas(run, f"capacity long, doc_id {id_type}, part int, size long, container long")
 
-    return ranked.select("doc_id", "part", "size", "bucket", "rank").mapInPandas(run, f"doc_id {id_type}, part int, size long, container long")
+
+def assign(docs: DataFrame, capacity: int, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """doc_id, part, size, container: every document in containers of `capacity` tokens."""
+    return assign_all(docs, [capacity], rank_rows).drop("capacity")
 
 
 def pack_all(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """target_id, container, doc_id, part, size for every capacity of `targets` (a few rows, read on the driver)."""
-    sized = docs.select("doc_id", "text", "n_tokens")
-    out = None
-    for t in targets.where("capacity_tokens > 0").select("target_id", "capacity_tokens").distinct().orderBy("target_id").collect():
-        got = assign(sized, int(t["capacity_tokens"])).select(F.lit(t["target_id"]).alias("target_id"), "container", "doc_id", "part", "size")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
+    wanted = targets.where("capacity_tokens > 0").select("target_id", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    capacities = sorted({r["capacity"] for r in wanted.collect()})
+    if not capacities:
         return docs.sparkSession.createDataFrame([], "target_id int, container long, doc_id long, part int, size long")
-    return out
+    got = assign_all(docs.select("doc_id", "text", "n_tokens"), capacities)
+    return got.join(wanted, "capacity").select("target_id", "container", "doc_id", "part", "size")
 
 
 def pack_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: containers, tokens, share of room used, the lower bound of containers."""
-    t = assigned.groupBy("target_id").agg(F.countDistinct("container").alias("n_containers"), F.sum("size").alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs"))
+    # Parts of a container are counted first, so that the distinct counts run over few rows.
+    per = assigned.groupBy("target_id", "container").agg(F.sum("size").alias("size"), F.count_if(F.col("part") == 0).alias("docs"))
+    t = per.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("size").alias("n_tokens"), F.sum("docs").alias("n_docs"))
     c = targets.select("target_id", "target_name", "capacity_tokens")
     room = F.col("n_containers") * F.col("capacity_tokens")
-    return t.join(F.broadcast(c), "target_id").select(
+    return t.join(c, "target_id").select(
         "target_id", "target_name", "n_docs", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"), F.round(F.col("n_tokens") / room, 6).alias("used")
     )
 
 
+def pack_totals(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target what no packing may change: documents, parts, tokens, parts of documents above the capacity, and no container above it."""
+    c = targets.select("target_id", F.col("capacity_tokens").alias("capacity"))
+    load = assigned.groupBy("target_id", "container").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("parts"), F.count_if(F.col("part") == 0).alias("docs"))
+    t = load.join(c, "target_id").groupBy("target_id").agg(F.sum("docs").alias("n_docs"), F.sum("parts").alias("n_parts"), F.sum("load").alias("n_tokens"), F.count_if(F.col("load") > F.col("capacity")).alias("n_overfull"))
+    return t.select("target_id", "n_docs", "n_parts", "n_tokens", "n_overfull")

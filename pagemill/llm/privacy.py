@@ -6,17 +6,18 @@ Two kinds of evidence:
   are settled by one rule: the longer digit run decides, and codes of papers, books and files don't
   have any of the forms;
 * names have no form. How strongly a term reveals a protected person is estimated from the
-  corpus: for every capitalised sequence of two to five terms, each term at its place in the sequence is
+  corpus: for every capitalised sequence of terms, each term at its place in the runs of the sequence is
   counted with and without a direct identifier right after it. The disclosure of a term is the log
-  ratio (bits) of its shares among both; the disclosure of a sequence is the sum over its terms. A
-  sequence above THRESHOLD is a person. Place, school, inn and boat names never stand with
+  ratio (bits) of its odds to the corpus odds, drawn towards 0 for terms seen seldom; the disclosure of a run is the sum
+  over its terms. A run above THRESHOLD is a person. Place, school, inn and boat names never stand with
   identifiers and come out negative, even when made of the same syllables.
 
 Streets without a type word (a bare "12 Name") are known by the same co-occurrence: names that stand
 after a type word elsewhere in the corpus.
 
-The learned tables keep terms from a share of SHARE of all counted terms on, so they hold at most
-1 / SHARE entries at any size. Both passes are one scan of the documents without a shuffle of text.
+Each text is read once: its identifiers and capitalised sequences are kept as facts beside the counts of terms, and
+judged without the text when the counts are complete. The tables of terms and streets hold every term; they are sent to
+the workers or joined to the documents as their measured size says (`scan.Shared`).
 
 Defined results: null text has no mentions and stays null; mentions never overlap; positions are
 character positions (code points) in the unchanged text; a text that comes twice gives the same
@@ -25,9 +26,11 @@ mentions for each row; very long texts are processed whole.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,18 +39,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits from which a sequence of terms is taken to reveal a person.
-THRESHOLD = 5.0
-SHARE = 1e-6
+from pagemill.llm.scan import Shared
+
+#: Bits from which a run of terms is taken to reveal a person; its first term has FIRST at least, and none is below WORST.
+THRESHOLD, FIRST, WORST = 5.0, 0.5, -2.5
+#: A term counts as if it had been seen this often at the odds of the corpus before: what is seen seldom says little.
+PRIOR = 0.5
+#: Runs of up to this many terms are counted and judged; a person found in so many goes on over further disclosing terms.
+TERMS = 5
+#: An identifier is right after a name when it begins within this many characters of it, in the same sentence.
+NEAR = 40
 #: From this length on a line counts as wrapped by its source rather than ended.
 WRAP = 45
 KINDS = ("email", "phone", "id_number", "address", "person")
 
 # Forms of direct identifiers and words of addresses.
 EMAIL = re.compile(
-    r"(?<![\w.+\-/@])[\w](?:[\w.+\-]*[\w])?(?:@|\s?[\[(]\s?(?:at|@)\s?[\])]\s?)[^\W_](?:[\w\-]*[^\W_])?"
+    r"(?<![\w.+\-/@])[\w](?:[\w.+\-]*[\w])?(?:@|\s@\s|\s?[\[(]\s?(?:at|@)\s?[\])]\s?)[^\W_](?:[\w\-]*[^\W_])?"
     r"(?:(?:\.|\s?[\[(]\s?(?:dot|\.)\s?[\])]\s?)[^\W_](?:[\w\-]*[^\W_])?)+", re.I,
 )
+#: Addresses written in words: both the sign and the dots.
+EMAIL_WORDS = re.compile(r"(?<![\w.+\-/@])\w(?:[\w.+\-]*\w)?\sat\s[^\W_](?:[\w\-]*[^\W_])?(?:\sdot\s[^\W_](?:[\w\-]*[^\W_])?)+", re.I)
 STREET_TYPES_EN = ("Street", "St.", "St", "Lane", "Row", "Avenue", "Ave.", "Ave", "Yard", "Road", "Rd.", "Rd", "Close", "Court", "Drive", "Way", "Hill", "Square", "Terrace", "Walk", "Crescent", "Gardens", "Mews", "Grove", "Parade", "Alley", "Wharf", "Place")
 STREET_TYPES_FR = ("rue", "chemin", "allée", "quai", "avenue", "boulevard", "place", "impasse", "cours", "sentier", "route", "passage", "square", "venelle", "ruelle", "montée", "faubourg", "promenade", "cité")
 STREET_TYPES_VI = ("đường", "phố", "ngõ", "ngách", "hẻm")
@@ -65,7 +77,7 @@ _ADDR_VI = re.compile(rf"{_NUM}(?P<lane>\s(?i:{'|'.join(STREET_TYPES_VI[2:])})\s
 _HOUSE = re.compile(
     rf"{_NUM}(?=(?:\s(?i:bis|ter|quater))?,?\s(?:[{_UPPER}]|(?i:{'|'.join(STREET_TYPES_FR + STREET_TYPES_VI)})\s))"
 )
-_AT = re.compile(r"@|[\[(]\s?[Aa][Tt]\s?[\])]")
+_AT = re.compile(r"@|[\[(]\s?[Aa][Tt]\s?[\])]|\s[Aa][Tt]\s(?=[\w\-]+\s[Dd][Oo][Tt]\s)")
 _TOKEN_START = re.compile(r"\S+\s?\Z")
 #: Six or more digits with at most two separators between: where phones and identity numbers are looked for.
 _CLUSTER = re.compile(r"\d(?:[ .\-()\n]{0,2}\d){5,}")
@@ -84,6 +96,7 @@ _PLUS = re.compile(r"\(?\+\d{1,3}\)?(?:[ .\-\n]?\(?\d{1,4}\)?){2,6}")
 _US = re.compile(r"(?<![\w.\-])(?:\(\d{3}\)[ \n]?\d{3}[ .\-\n]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])")
 _FILE = re.compile(r"\d{4}-\d{4}-\d{3}\Z")
 
+_SENTENCE = re.compile(r"\n\n|[.?!]\s")
 _SEQ = re.compile(rf"{_CAP}(?:(?:,?[ \n])(?:[A-Z]\.(?=[ \n])|{_CAP}))+")
 _TERM = re.compile(rf"\b[A-Z]\.(?=[ \n])|{_CAP}")
 
@@ -144,36 +157,47 @@ def _numbers(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
     return found
 
 
-def identifiers(text: str, streets: frozenset[str] | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of direct identifiers, not overlapping, in order.
+def forms(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, list[tuple[str, int]]]], list[str]]:
+    """(identifiers by form, bare streets, typed street names) of a text, overlaps not settled.
 
-    `streets` are the known bare street names; None leaves bare streets out (while learning).
+    A bare street is a start with the names it may have, the longest first, each with the end it then has.
     """
     found: list[tuple[int, int, str]] = []
+    bare: list[tuple[int, list[tuple[str, int]]]] = []
+    typed: list[str] = []
     for at in _AT.finditer(text):
         begin = _TOKEN_START.search(text, max(0, text.rfind("\n", 0, at.start()) + 1), at.start())
-        m = EMAIL.search(text, begin.start() if begin else at.start())
+        m = (EMAIL_WORDS if at.group()[0].isspace() else EMAIL).search(text, begin.start() if begin else at.start())
         if m and m.start() <= at.start() < m.end():
             found.append((m.start(), m.end(), "email"))
     for c in _CLUSTER.finditer(text):
         found += _numbers(text, max(0, c.start() - 6), min(len(text), c.end() + 4))
     for h in _HOUSE.finditer(text):
+        v = _ADDR_VI.match(text, h.start())
+        if v and _typed(v):
+            typed.append(" ".join(map(fold, v["name"].split())))
         m = _ADDR_EN.match(text, h.start()) or _ADDR_FR.match(text, h.start())
         if m:
             found.append((m.start(), m.end(), "address"))
-            continue
-        m = _ADDR_VI.match(text, h.start())
-        if not m:
-            continue
-        if _typed(m):
-            found.append((m.start(), _with_district(text, m.end()), "address"))
-        elif streets:
-            terms = m["name"].split()
+        elif v and _typed(v):
+            found.append((v.start(), _with_district(text, v.end()), "address"))
+        elif v:
+            terms = v["name"].split()
+            names = []
             for k in range(len(terms), 0, -1):
-                if " ".join(map(fold, terms[:k])) in streets:
-                    end = m.start("name") + len(re.match(r"\S+(?:\s\S+){%d}" % (k - 1), m["name"]).group())
-                    found.append((m.start(), _with_district(text, end), "address"))
-                    break
+                end = v.start("name") + len(re.match(r"\S+(?:\s\S+){%d}" % (k - 1), v["name"]).group())
+                names.append((" ".join(map(fold, terms[:k])), _with_district(text, end)))
+            bare.append((v.start(), names))
+    return found, bare, typed
+
+
+def settled(found: list, bare: list, streets: frozenset[str] | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of identifiers, not overlapping, in order; bare streets count when their name is in `streets`."""
+    found = [tuple(f) for f in found]
+    for start, names in bare if streets else ():
+        end = next((e for n, e in names if n in streets), None)
+        if end is not None:
+            found.append((start, end, "address"))
     out: list[tuple[int, int, str]] = []
     for f in sorted(found, key=lambda f: (f[0], -f[1])):
         if not out or f[0] >= out[-1][1]:
@@ -181,97 +205,135 @@ def identifiers(text: str, streets: frozenset[str] | None) -> list[tuple[int, in
     return out
 
 
-def spans(text: str) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
-    """(start, end, [(folded term, place)]) of every run of two to five terms in capitalised sequences.
+def identifiers(text: str, streets: frozenset[str] | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of direct identifiers of a text, not overlapping, in order."""
+    found, bare, _ = forms(text)
+    return settled(found, bare, streets)
 
-    The place is f(irst), m(iddle) or l(ast); 'Family, Given' counts as 'Given Family'; initials are left out.
+
+def sequences(text: str) -> list[list]:
+    """[[start, end, folded term, joint]] of every capitalised sequence; initials have the term ''.
+
+    The joint is what stands before the term: 0 the beginning or a blank, 1 a comma, 2 a line end that wasn't a wrap.
     """
+    out = []
     for m in _SEQ.finditer(text):
-        terms = list(_TERM.finditer(text, m.start(), m.end()))
-        # A line break joins two terms only where a long line was wrapped.
-        broken = [
-            i for i in range(1, len(terms))
-            if "\n" in text[terms[i - 1].end() : terms[i].start()] and terms[i - 1].end() - text.rfind("\n", 0, terms[i - 1].end()) < WRAP
-        ]
-        for i in range(len(terms)):
-            for k in range(2, 6):
-                if i + k > len(terms):
-                    break
-                if any(i < x < i + k for x in broken):
-                    break
-                part = terms[i : i + k]
-                commas = [j for j in range(k - 1) if text[part[j].end()] == ","]
-                if commas and (commas != [0] or k > 3):
-                    break
-                words = [t.group() for t in part]
-                if words[0][-1] == "." or (words[-1][-1] == "." and not commas):
-                    continue
-                if commas:
-                    words = words[1:] + words[:1]
-                words = [fold(w) for w in words if w[-1] != "."]
-                if len(words) < 2:
-                    continue
-                n = len(words) - 1
-                yield part[0].start(), part[-1].end(), [(w, "f" if j == 0 else "l" if j == n else "m") for j, w in enumerate(words)]
-
-
-def _stats(texts: DataFrame, text_col: str) -> DataFrame:
-    """(kind, term, place, n_with, n_without): term counts by identifiers after them, and typed street names."""
+        terms = []
+        for t in _TERM.finditer(text, m.start(), m.end()):
+            joint = 0
+            if terms:
+                before = terms[-1][1]
+                # A line break joins two terms only where a long line was wrapped.
+                if "\n" in text[before : t.start()] and before - text.rfind("\n", 0, before) < WRAP:
+                    joint = 2
+                elif text[before] == ",":
+                    joint = 1
+            terms.append([t.start(), t.end(), "" if t.group()[-1] == "." else fold(t.group()), joint])
+        out.append(terms)
+    return out
+
+
+def runs(terms: list[list]) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
+    """(first, last + 1, [(term, place)]) of every run of two to TERMS terms of a sequence.
+
+    The place is f(irst), m(iddle) or l(ast); 'Family, Given' counts as 'Given Family'; initials are left out.
+    """
+    for i in range(len(terms)):
+        comma = False
+        for k in range(2, TERMS + 1):
+            if i + k > len(terms):
+                break
+            joint = terms[i + k - 1][3]
+            if joint == 2 or joint == 1 and k > 2:
+                break
+            comma = comma or joint == 1
+            if comma and k > 3:
+                break
+            part = terms[i : i + k]
+            if not part[0][2] or (not part[-1][2] and not comma):
+                continue
+            words = [t[2] for t in part]
+            if comma:
+                words = words[1:] + words[:1]
+            words = [w for w in words if w]
+            if len(words) < 2:
+                continue
+            n = len(words) - 1
+            yield i, i + k, [(w, "f" if j == 0 else "l" if j == n else "m") for j, w in enumerate(words)]
+
+
+def facts_of(text: str, tally: dict | None = None) -> dict:
+    """What is kept of a text: identifiers by form, bare streets, sequences; counts its terms and streets into `tally`."""
+    found, bare, typed = forms(text)
+    seqs = sequences(text)
+    if tally is not None:
+        marks = settled(found, bare, None)
+        starts = [s for s, _, _ in marks]
+        for terms in seqs:
+            for i, j, run in runs(terms):
+                s, e = terms[i][0], terms[j - 1][1]
+                x = bisect_left(starts, s)
+                if x > 0 and marks[x - 1][1] > s:
+                    continue  # inside an identifier
+                near = x < len(starts) and e <= starts[x] <= e + NEAR and not _SENTENCE.search(text[e : starts[x]])
+                for key in run:
+                    tally.setdefault(("term", *key), [0, 0])[0 if near else 1] += 1
+        for name in typed:
+            tally.setdefault(("street", name, ""), [0, 0])[0] += 1
+    return {"found": found, "bare": bare, "seqs": seqs}
+
+
+_FACTS = "kind string, term string, place string, n_with long, n_without long, facts string"
+
+
+def examined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One scan of the texts: rows 'doc' (facts as JSON), 'term' and 'street' (counts of a batch), written once."""
+    from pagemill.session import cut_lineage
+
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tally: dict[tuple[str, str, str], list[int]] = {}
-            for text in b["_t"]:
-                if not isinstance(text, str):
-                    continue
-                marks = identifiers(text, None)
-                starts = [s for s, _, _ in marks]
-                j = 0
-                for s, e, terms in spans(text):
-                    while j < len(starts) and starts[j] < s:
-                        j += 1
-                    while j > 0 and starts[j - 1] >= s:
-                        j -= 1
-                    if j > 0 and marks[j - 1][1] > s:
-                        continue  # inside an identifier
-                    near = j < len(starts) and e <= starts[j] <= e + 40 and not re.search(r"\n\n|[.?!]\s", text[e : starts[j]])
-                    for w, place in terms:
-                        tally.setdefault(("term", w, place), [0, 0])[0 if near else 1] += 1
-                for h in _HOUSE.finditer(text):
-                    m = _ADDR_VI.match(text, h.start())
-                    if m and _typed(m):
-                        name = " ".join(map(fold, m["name"].split()))
-                        tally.setdefault(("street", name, ""), [0, 0])[0] += 1
-            yield pd.DataFrame([(*k, *v) for k, v in tally.items()], columns=["kind", "term", "place", "n_with", "n_without"])
-
-    rows = texts.select(F.col(text_col).alias("_t")).mapInPandas(run, "kind string, term string, place string, n_with long, n_without long")
-    return rows.groupBy("kind", "term", "place").agg(F.sum("n_with").alias("n_with"), F.sum("n_without").alias("n_without"))
-
-
-def disclosure(texts: DataFrame, text_col: str = "text") -> tuple[dict[tuple[str, str], float], frozenset[str]]:
-    """({(term, place): bits}, street names) learned from all texts; bounded by SHARE."""
+            rows = []
+            for i, text in zip(b["_i"], b["_t"]):
+                if isinstance(text, str) and text:
+                    facts = facts_of(text, tally)
+                    if any(facts.values()):
+                        rows.append((i, "doc", None, None, 0, 0, json.dumps(facts, ensure_ascii=False, separators=(",", ":"))))
+            yield pd.DataFrame(rows + [(None, *k, *v, None) for k, v in tally.items()], columns=["id", "kind", "term", "place", "n_with", "n_without", "facts"]).astype({"id": object})
+
+    src = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    return cut_lineage(src.mapInPandas(run, f"id {id_type}, {_FACTS}"))
+
+
+def disclosure(rows: DataFrame, most: int | None = None) -> tuple[Shared, Shared]:
+    """(bits of every term at its place, names of streets) from the counts of `examined`, over all documents."""
     from pagemill.session import cut_lineage
 
-    stats = cut_lineage(_stats(texts, text_col))
-    t = stats.where("kind = 'term'")
-    w, wo = t.agg(F.sum("n_with"), F.sum("n_without")).first()
-    w, wo = w or 0, wo or 0
-    # Terms never seen before an identifier reveal nothing (0 or less) and needn't be sent.
-    rows = t.where("n_with >= 1").where((F.col("n_with") + F.col("n_without")) >= max(1.0, SHARE * (w + wo))).collect()
-    bits = {(r["term"], r["place"]): math.log2(((r["n_with"] + 0.1) / (w + 1)) / ((r["n_without"] + 0.5) / (wo + 1))) for r in rows}
-    total = stats.where("kind = 'street'").agg(F.sum("n_with")).first()[0] or 0
-    names = stats.where("kind = 'street'").where(F.col("n_with") >= max(1.0, SHARE * total)).select("term").collect()
-    return bits, frozenset(r["term"] for r in names)
+    t = rows.where("kind = 'term'").groupBy("term", "place").agg(F.sum("n_with").alias("w"), F.sum("n_without").alias("wo"))
+    t = cut_lineage(t)
+    w, wo = t.agg(F.sum("w"), F.sum("wo")).first()
+    rate = (w or 0) / max(1, (w or 0) + (wo or 0))
+    rate = min(max(rate, 1e-9), 1 - 1e-9)
+    odds = (F.col("w") + PRIOR * rate) / (F.col("wo") + PRIOR * (1 - rate)) / F.lit(rate / (1 - rate))
+    bits = t.select(F.concat("term", F.lit(" "), "place").alias("key"), F.log2(odds).alias("bits"))
+    streets = rows.where("kind = 'street'").select(F.col("term").alias("name")).distinct()
+    return Shared(bits, "key", ["key", "bits"], most), Shared(cut_lineage(streets), "name", ["name"], most)
 
 
-def persons(text: str, bits: dict[tuple[str, str], float], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Capitalised sequences whose disclosure exceeds the threshold; the best of overlapping ones."""
+def persons(seqs: list, bits: dict[str, float], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Runs of capitalised terms whose disclosure exceeds the threshold; the best of overlapping ones."""
     cand = []
-    for s, e, terms in spans(text):
-        b = [bits.get(t, -3.0) for t in terms]
-        if b[0] > 0.5 and sum(b) >= THRESHOLD and min(b) > -2.5:
-            if not any(x < e and s < y for x, y, _ in taken):
-                cand.append((sum(b) + 0.01 * (e - s), s, e))
+    for terms in seqs:
+        for i, j, run in runs(terms):
+            b = [bits.get(f"{t} {place}", 0.0) for t, place in run]
+            if b[0] > FIRST and sum(b) >= THRESHOLD and min(b) > WORST:
+                while j - i >= TERMS and j < len(terms) and terms[j][3] == 0 and terms[j][2] and min(bits.get(terms[j][2] + " l", 0.0), bits.get(terms[j - 1][2] + " m", 0.0)) > 0:
+                    j += 1
+                s, e = terms[i][0], terms[j - 1][1]
+                if not any(x < e and s < y for x, y, _ in taken):
+                    cand.append((sum(b) + 0.01 * (e - s), s, e))
     out: list[tuple[int, int, str]] = []
     for _, s, e in sorted(cand, reverse=True):
         if not any(x < e and s < y for x, y, _ in out):
@@ -279,44 +341,81 @@ def persons(text: str, bits: dict[tuple[str, str], float], taken: list[tuple[int
     return out
 
 
-def mentions_of(text: str | None, bits, streets) -> list[tuple[int, int, str]]:
+def judged(facts: dict, bits: dict[str, float], streets: frozenset[str]) -> list[tuple[int, int, str]]:
+    """All mentions of the text that the facts are of, in order."""
+    ids = settled(facts["found"], facts["bare"], streets)
+    return sorted(ids + persons(facts["seqs"], bits, ids))
+
+
+def mentions_of(text: str | None, bits: dict[str, float], streets: frozenset[str]) -> list[tuple[int, int, str]]:
     """All mentions of one text, in order."""
-    if not isinstance(text, str) or not text:
-        return []
-    ids = identifiers(text, streets)
-    return sorted(ids + persons(text, bits, ids))
+    return judged(facts_of(text), bits, streets) if isinstance(text, str) and text else []
+
+
+def _asked_terms(row: dict) -> set[str]:
+    return {f"{t[2]} {p}" for terms in json.loads(row["facts"])["seqs"] for t in terms if t[2] for p in "fml"}
+
 
+def _asked_streets(row: dict) -> set[str]:
+    return {n for _, names in json.loads(row["facts"])["bare"] for n, _ in names}
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learned=None) -> DataFrame:
-    """doc_id, kind, start_pos, end_pos, value of every mention."""
-    learned = learned or disclosure(docs, text_col)
-    bc = docs.sparkSession.sparkContext.broadcast(learned)
+
+def _streets(rows: list[tuple]) -> frozenset[str]:
+    return frozenset(r[0] for r in rows)
+
+
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+    """doc_id, kind, start_pos, end_pos of every mention."""
+    rows = examined(docs, id_col, text_col)
+    bits, streets = disclosure(rows, most)
+    own = rows.where("kind = 'doc'").select("id", "facts", F.xxhash64("id", "facts").alias("_r"))
+    own = streets.attach(bits.attach(own, ["_r"], _asked_terms, "_bits"), ["_r"], _asked_streets, "_streets")
+    get_bits, get_streets = bits.sender(dict, docs.sparkSession), streets.sender(_streets, docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, streets = bc.value
         for b in batches:
-            rows = [(i, k, s, e, t[s:e]) for i, t in zip(b["_i"], b["_t"]) for s, e, k in mentions_of(t, bits, streets)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos", "value"])
+            out = [(i, k, s, e) for i, f, x, y in zip(b["id"], b["facts"], b["_bits"], b["_streets"]) for s, e, k in judged(json.loads(f), get_bits(x), get_streets(y))]
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos"])
 
-    src = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-    return src.mapInPandas(run, f"doc_id {id_type}, kind string, start_pos int, end_pos int, value string")
+    return own.mapInPandas(run, f"doc_id {id_type}, kind string, start_pos int, end_pos int")
 
 
-def redact(docs: DataFrame, text_col: str = "text", out_col: str = "redacted", learned=None) -> DataFrame:
-    """docs with `out_col`: every mention replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [PERSON]."""
-    learned = learned or disclosure(docs, text_col)
-    bc = docs.sparkSession.sparkContext.broadcast(learned)
+def redact(docs: DataFrame, text_col: str = "text", out_col: str = "redacted", most: int | None = None) -> DataFrame:
+    """docs with `out_col`: every mention replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [PERSON].
 
-    def clean(text):
+    The forms are looked for again in the second scan, which is cheaper at scale than a shuffle of all texts.
+    """
+    bits, streets = disclosure(examined(docs.select(F.lit(0).alias("_n"), F.col(text_col).alias("_text")), "_n", "_text"), most)
+    spark = docs.sparkSession
+
+    def clean(text, b, s):
         out, last = [], 0
-        for s, e, k in mentions_of(text, *bc.value):
-            out += [text[last:s], f"[{k.upper()}]"]
-            last = e
+        for start, end, k in mentions_of(text, b, s):
+            out += [text[last:start], f"[{k.upper()}]"]
+            last = end
         return text if not isinstance(text, str) else "".join(out) + text[last:]
 
-    @F.pandas_udf(T.StringType())
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(clean, na_action="ignore")
+    get_bits, get_streets = bits.sender(dict, spark), streets.sender(_streets, spark)
+    if bits.rows is not None and streets.rows is not None:
+
+        @F.pandas_udf(T.StringType())
+        def apply(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: clean(t, get_bits(None), get_streets(None)), na_action="ignore")
+
+        return docs.withColumn(out_col, apply(F.col(text_col)))
+
+    # Beyond the size for the workers: the entries a text asks for come to it by its hash.
+    def facts(row: dict) -> dict:
+        return {"facts": json.dumps(facts_of(row["_text"] or ""))}
+
+    texts = docs.select(F.xxhash64(text_col).alias("_r"), F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull()).dropDuplicates(["_r", "_text"])
+    own = bits.attach(texts, ["_r"], lambda r: _asked_terms(facts(r)), "_bits")
+    own = streets.attach(own, ["_r"], lambda r: _asked_streets(facts(r)), "_streets")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(_out=[clean(t, get_bits(x), get_streets(y)) for t, x, y in zip(b["_text"], b["_bits"], b["_streets"])])[["_text", "_out"]]
 
-    return docs.withColumn(out_col, apply(F.col(text_col)))
+    done = own.mapInPandas(run, "_text string, _out string")
+    return docs.join(done, docs[text_col] == done["_text"], "left").select(*[docs[c] for c in docs.columns], done["_out"].alias(out_col))

@@ -62,6 +62,13 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_report(packing.pack_all(table(spark, sf, "documents"), targets), targets)
 
 
+def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must keep: documents, parts and tokens of each target, and no container above its capacity."""
+    tuned(spark)
+    targets = table(spark, sf, "pack_target")
+    return packing.pack_totals(packing.pack_all(table(spark, sf, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     tuned(spark)
     return leakage.leaked_pairs(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
@@ -90,7 +97,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_titles, p3_texts, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
+    for f in (p3_found, p3_titles, p3_texts, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p6_totals, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
 }
 _WORDS = "regexp_extract_all(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[\\p{L}\\p{N}]+')"
 _GRAMS = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}))"
@@ -98,6 +105,9 @@ _LEAKS = f"""WITH d AS ({_GRAMS.replace('{0}', 'doc_id').replace('{1}', 'documen
 leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (g))"""
 
 SQL: dict[str, str] = {
+    "p6_totals": """WITH s AS (SELECT coalesce(CASE WHEN n_tokens >= 0 THEN n_tokens END, strlen(text) + 1, 1)::BIGINT AS size FROM documents)
+SELECT target_id, count(*) AS n_docs, sum(greatest(1, ceil(size / capacity_tokens)))::BIGINT AS n_parts, sum(size)::BIGINT AS n_tokens, 0::BIGINT AS n_overfull
+FROM s, pack_target WHERE capacity_tokens > 0 GROUP BY target_id""",
     "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p7_clean": f"{_LEAKS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }

@@ -212,7 +212,8 @@ class Decoder:
         """(pieces of the de-lined text, [first, end) of the stretches to decode)."""
         stream = _BREAKISH.sub(_MARK + " ", text) if "\n" in text else text
         pieces = stream.split()
-        odd = [i for i, p in enumerate(pieces) if not self.known(p)]
+        seen = self.known_.get
+        odd = [i for i, p in enumerate(pieces) if not seen(p) and not self.known(p)]
         out: list[tuple[int, int]] = []
         k = at = 0
         while k < len(odd):
@@ -339,8 +340,10 @@ def page_noise(pages: DataFrame, lex: Shared, decode: bool = True) -> DataFrame:
                             kinds.add("page_number")
                         if exam is not None:
                             out.extend((exam, page, order, i, "edge", digest(skel)) for skel in lines)
-                    if doubtful:
-                        low = _PAIR.findall(text.lower())
+                    low = text.lower() if doubtful else ""
+                    # A few words are looked for first; the pairs are the same without that look.
+                    if doubtful and (len(doubtful) > 30 or any(map(low.__contains__, doubtful))):
+                        low = _PAIR.findall(low)
                         out.extend((exam, page, order, i, "pair", f"{x} {w}") for x, w in zip(low, low[1:]) if w in doubtful)
                     if not decode:
                         continue

@@ -234,7 +234,7 @@ def count_words(texts: Iterable[str | None]) -> Counter:
         if not isinstance(t, str) or not t:
             continue
         t = canonical(t)
-        if any(h + "\n" in t for h in HYPHENS):
+        if "\n" in t:
             t = _DIVIDED.sub(" ", t)
         if t[-1] in "….])":
             t = _OMITTED.sub("", t)
@@ -330,14 +330,26 @@ def numerals(s: str) -> set[int]:
     return out
 
 
+#: What the match of PAGE_NUMBER may end with, besides digits.
+_NUMBER_ENDS = frozenset("lIiOoSsB|!ivxcdmVXLCDM-–—·•])")
+
+
+def ends_like_number(line: str) -> bool:
+    """False for lines that can't end in a page number, as their last sign shows."""
+    s = line.rstrip()
+    return bool(s) and (s[-1] in _NUMBER_ENDS or s[-1].isdigit())
+
+
 def is_page_number(line: str, page_order: int | None) -> bool:
     """True when the line is nothing but the page's own number."""
-    m = PAGE_NUMBER.match(line.strip()) if page_order is not None else None
+    m = PAGE_NUMBER.match(line.strip()) if page_order is not None and ends_like_number(line) else None
     return bool(m) and page_order in numerals(m["n"])
 
 
 def split_tail(line: str, page_order: int | None) -> tuple[str, str]:
     """(line without the page number after it, that page number or '')."""
+    if page_order is None or not ends_like_number(line):
+        return line, ""
     for m in _TAIL.finditer(line):
         tail = line[m.end():]
         if is_page_number(tail, page_order):
@@ -363,6 +375,22 @@ def masked(line: str) -> str:
     return skeleton(_NUMBERS.sub("#", line))
 
 
+class Masks(frozenset):
+    """A set of masked lines; `longest` is the length of the longest one."""
+
+    longest: int | None = None
+
+    def holds(self, line: str) -> bool:
+        """True when the masked form of a line is in the set; lines that are too long in any case aren't masked first."""
+        if self.longest is not None and len(line) - sum(map(line.count, _SHRINKING)) > self.longest:
+            return False
+        return masked(line) in self
+
+
+#: Characters that masking may take away; every other one leaves one at least.
+_SHRINKING = " \t0123456789lIO|!"
+
+
 def edge_masks(text: str, order: int | None) -> list[str]:
     """The masked lines of one header or footer text, page numbers left out."""
     from pagemill.llm.canon import canonical
@@ -377,15 +405,17 @@ def shared_templates(counts: DataFrame, most: int | None = None) -> Shared:
     return Shared(cut_lineage(counts.where("kind = 'line' and n >= 2").select(F.col("key").alias("mask"))), "mask", ["mask"], most)
 
 
-def make_templates(rows: list[tuple]) -> frozenset[str]:
-    return frozenset(r[0] for r in rows)
+def make_templates(rows: list[tuple]) -> Masks:
+    out = Masks(r[0] for r in rows)
+    out.longest = max(map(len, out), default=0)
+    return out
 
 
 def template_asks(row: dict) -> set[str]:
     """The masks that `page_body` may look up for a page."""
     seen: set[str] = set()
 
-    class Asked(frozenset):
+    class Asked(Masks):
         def __contains__(self, mask):
             seen.add(mask)
             return False
@@ -399,7 +429,7 @@ def _order(value) -> int | None:
     return None if value is None or value != value else int(value)
 
 
-def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> list[tuple[int, str, str, bool]]:
+def page_body(texts, labels, order: int | None, templates: Masks) -> list[tuple[int, str, str, bool]]:
     """(block_idx, label, text without edge lines, is an edge block) of the blocks of a page with text.
 
     Edge lines (running lines by template, page numbers) are those at the top or bottom of the page: the first and last
@@ -418,7 +448,7 @@ def page_body(texts, labels, order: int | None, templates: frozenset[str]) -> li
         for q, line in enumerate(lines):
             s = line.strip()
             at_edge = (q < EDGE_LINES or q >= len(lines) - EDGE_LINES) and bool(s)
-            if not (at_edge and (is_page_number(s, order) or masked(split_tail(s, order)[0]) in templates)):
+            if not (at_edge and (is_page_number(s, order) or templates.holds(split_tail(s, order)[0]))):
                 keep.append(line)
         body = "\n".join(keep)
         gone = not body.strip() or label in EDGE_LABELS

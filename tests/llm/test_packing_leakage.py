@@ -55,6 +55,31 @@ def test_assign(spark):
     assert packing.assign(spark.createDataFrame([], DOCS), 100).count() == 0
 
 
+def test_no_rank_window_is_hot(spark, monkeypatch):
+    """A size that a third of all rows share is split into buckets no longer than others; ranks stay without gaps."""
+    rows = [(i, None, 7 if i % 3 else 20 + i % 200, "c", 1, "p") for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for n in (50, 10**6):
+        got = packing.assign(docs, 400, rank_rows=n).collect()
+        load = {}
+        for r in got:
+            load[r.container] = load.get(r.container, 0) + r.size
+        assert len(got) == len(rows) == len({(r.doc_id, r.part) for r in got}) and max(load.values()) <= 400
+        assert sum(load.values()) == sum(r[2] for r in rows) and sorted(load) == list(range(len(load)))
+    zeros = spark.createDataFrame([(i, None, 0, "c", 1, "p") for i in range(500)], DOCS)
+    assert {r.container for r in packing.assign(zeros, 10).collect()} == {0}
+
+
+def test_shards_of_any_length(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"x{i} " + item if i % 3 else "w1 w2 " * 40) for i in range(60)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, item), (2, " ".join(f"w{i}" for i in range(10, 24)))], "item_id long, text string")
+    want = {(i, k) for i in range(60) if i % 3 for k in (1, 2)}
+    for n in (1, 100, 10**6):
+        monkeypatch.setattr(leakage, "SHARD_WORDS", n)
+        assert {tuple(r) for r in leakage.leaked_pairs(docs, items).collect()} == want
+
+
 def brute(docs, items, least):
     grams = {}
     for i, t in items:
@@ -77,7 +102,7 @@ words = st.lists(st.sampled_from("a b c d e f".split()), max_size=30).map(" ".jo
 def test_suffix_array_equals_brute_force(docs, items, least):
     tests = leakage.TestSet(list(enumerate(items)), least)
     got = set()
-    for t, k, pos, o, n in leakage.shard_matches(docs, tests):
+    for t, k, pos, o, n in leakage.shard_matches([leakage.numbers(d, tests) for d in docs], tests):
         w, v = leakage.plain_words(docs[t]), leakage.plain_words(items[tests.items[k]])
         assert n >= least and w[pos : pos + n] == v[o : o + n]
         assert pos + n == len(w) or o + n == len(v) or w[pos + n] != v[o + n]

@@ -5,6 +5,7 @@ from pagemill.llm import privacy
 STREETS = frozenset(["gio bac"])
 FORMS = {
     "mail thea+exam@hoasay.example, now": [("email", 5)], "x a.b [at] mail [dot] example y": [("email", 2)], "follow @club54 on https://a.example/x/123456": [],
+    "về t_thach @ hoasay.example trước": [("email", 3)], "to mirela+lop AT hoasay DOT example if": [("email", 3)], "we met at noon. Dot came": [], "x at y.z dot": [],
     "Gọi 060 862 7033 hoặc": [("phone", 4)], "call (212) 555-0183 or 212.555.0116": [("phone", 5), ("phone", 23)], "tel (+84) 602-123-105.": [("phone", 4)], "07700 900733": [("phone", 0)], "Tél. 0199 00 29 49": [("phone", 5)], "+33 6 39\n98 83 08": [("phone", 0)],
     "số 099117039003 và 008591842": [("id_number", 3), ("id_number", 19)], "098 932 988 100": [("id_number", 0)], "097.981.887911": [("id_number", 0)], "QQ 67 78 61 C, QQ201894A": [("id_number", 0), ("id_number", 15)], "911-34-0507": [("id_number", 0)],
     "ZZ4550171": [("id_number", 0)], "9 16 13 99 582 292 52": [("id_number", 0)], "Z0960584": [("id_number", 0)], "913255902911651": [("id_number", 0)],
@@ -35,9 +36,8 @@ def test_persons_by_disclosure(spark):
     got = privacy.mentions(docs).collect()
     people = {}
     for r in got:
-        assert rows[r.doc_id if r.doc_id < 900 else [x for x, _ in rows].index(r.doc_id)][1][r.start_pos : r.end_pos] == r.value
         if r.kind == "person":
-            people.setdefault(r.doc_id, []).append((r.start_pos, r.value))
+            people.setdefault(r.doc_id, []).append((r.start_pos, dict(rows)[r.doc_id][r.start_pos : r.end_pos]))
     for i, t in rows[:120]:
         want = t.partition(" (ID")[0] if " (ID" in t else t[len("Bài của ") :].partition(" được")[0]
         assert people[i] == [(t.index(want), want)], (t, people[i])
@@ -47,6 +47,39 @@ def test_persons_by_disclosure(spark):
     assert privacy.mentions(docs.limit(0)).count() == 0
 
 
+def planted(k: int) -> list[tuple[str, str]]:
+    """Values of every kind, numbered by k: (kind, value)."""
+    given, family = ["Petra", "Oswin", "Maud", "Corwin", "Hester"], ["Hexley", "Tarrel", "Dunwick", "Tamblin", "Brindlow"]
+    name = f"{given[k % 5]} {family[k // 5 % 5]}"
+    return [
+        ("person", [name, f"{family[k // 5 % 5]}, {given[k % 5]}", name.upper()][k % 3]), ("id_number", [f"ZZ{4550000 + k}", f"0{99117039000 + k}", f"911-34-{k:04d}"][k % 3]),
+        ("phone", [f"060 862 {7000 + k}", f"(+84) 602-123-{k:03d}", f"212.555.{k:04d}"][k % 3]), ("email", [f"a{k}@mail.example", f"a{k} [at] mail [dot] example", f"a{k} @ mail.example", f"a{k} AT mail DOT example"][k % 4]),
+        ("address", [f"{k + 1}A Osier St., Flat 8", f"{k + 1} ngõ 29 Cây Sậy", f"{k + 1} chemin de la Lanterne"][k % 3]),
+    ]
+
+
+def test_recall_of_planted_values(spark):
+    rows, want = [], set()
+    for k in range(300):
+        text, kinds = f"Note {k}: at Upper Sedge, the inn Silver Finch opens. ", planted(k)
+        for kind, value in kinds:
+            want.add((k, kind, len(text)))
+            text += value + (" (" if kind == "person" else "; ")
+        rows.append((k, text + ") the Silver Finch closes in Upper Sedge."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r)[:3] for r in privacy.mentions(docs).collect()}
+    for kind in privacy.KINDS:
+        of = {w for w in want if w[1] == kind}
+        assert len(of & got) >= 0.99 * len(of), (kind, sorted(of - got)[:3])
+    assert len(got - want) <= 0.01 * len(got), sorted(got - want)[:5]
+    # Joined tables give the same, and so does other text beside it.
+    assert {tuple(r)[:3] for r in privacy.mentions(docs, most=-1).collect()} == got
+    other = spark.createDataFrame([(1000 + k, f"Xoru Velmi met Quana Dorb{k % 7} at the ferry. " * 20) for k in range(500)], "doc_id long, text string")
+    assert {t for r in privacy.mentions(docs.unionByName(other)).collect() if (t := tuple(r)[:3])[0] < 1000} == got
+    a, b = (sorted(tuple(r) for r in privacy.redact(docs, most=m).collect()) for m in (None, -1))
+    assert a == b and "[EMAIL]" in a[0][2] and "Osier" not in a[0][2]
+
+
 def test_long_text_and_repeats(spark):
     t = "câu hỏi " * 60_000 + "Gọi 0609590575 nhé"
     docs = spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")
