@@ -5,19 +5,21 @@ a pre-order and a post-order number; node a is an ancestor of node d exactly whe
 `a.pre < d.pre and a.post > d.post`. The node tables of each type carry those numbers, and the
 parent-child links come from them alone:
 
-* kinds that never nest (exam, page, ocr): the enclosing node is the last one before the child in
-  pre-order whose post number is larger: one window over the record, O(n log n);
-* blocks nest in blocks: nodes of depth d-1 and d are put in one window ordered by pre, and the
-  last shallower node before the child encloses it.
+* the tree of a `pages` row is in the row: its nodes are an array, numbered on the JVM as the walk numbers them (pre by
+  the sizes of the subtrees before, `post = pre + size - 1 - depth`), and the enclosing nodes are found in that array
+  by containment. No page is shuffled for it;
+* raw payloads vary from record to record and are walked once in Python, in Arrow batches, with an explicit stack
+  (any depth). Kinds that never nest (exam, page, ocr): the enclosing node is the last one before the child in
+  pre-order whose post number is larger, one window over the record. Blocks nest in blocks: nodes of depth d-1 and d
+  are put in one window ordered by pre, and the last shallower node before the child encloses it.
 
-No join compares all pairs of a record. Records of `pages` have a fixed shape, so their labels are
-plain column arithmetic on the JVM; raw payloads vary from record to record and are walked once in
-Python, in Arrow batches, with an explicit stack (any depth).
+No join compares all pairs of a record. Rows are keyed by record, not by delivery: of a record delivered again the latest
+delivery counts.
 
 Defined results: null or incomplete JSON gives no node; null entries of a list are no nodes but
 keep their position; a lone object in place of a list has position 0; JSON text inside a JSON
-string is parsed as if it stood there; a record delivered again gives the same rows again, and
-`found_blocks` keeps one of them; ids are trimmed; extra columns of the input are ignored.
+string is parsed as if it stood there; each exam, page and block comes once; exam ids are trimmed and lower-case; a page
+without an exam belongs to the exam null; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -173,8 +175,8 @@ def walk(tree_id: str, origin: str, payload: str | None) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def label_payloads(payloads: DataFrame, id_col: str = "payload_id", payload_col: str = "payload", origin: str = "page_payload") -> DataFrame:
-    """The labelled nodes of raw JSON payloads (one tree per row)."""
+def label_payloads(payloads: DataFrame, id_col: str = "payload_id", payload_col: str = "payload", time_col: str = "received_at", origin: str = "page_payload") -> DataFrame:
+    """The labelled nodes of raw JSON payloads, one tree per row; tree ids are in the order of delivery."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,77 +184,65 @@ def label_payloads(payloads: DataFrame, id_col: str = "payload_id", payload_col:
             for k in range(0, max(1, len(rows)), 20_000):
                 yield pd.DataFrame(rows[k : k + 20_000], columns=_COLUMNS).astype({"page_order": "Int32", "level": "Int32"})
 
-    src = payloads.select(F.col(id_col).cast("string").alias("_tree"), F.col(payload_col).alias("_payload"))
+    at = F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(0)) if time_col in payloads.columns else F.lit(0)
+    tree = F.concat_ws("-", F.lpad(at.cast("string"), 20, "0"), F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0"))
+    src = payloads.select(tree.alias("_tree"), F.col(payload_col).alias("_payload"))
     return src.mapInPandas(run, NODE_DDL)
 
 
-def label_pages(pages: DataFrame, with_content: bool = True) -> DataFrame:
-    """Blocks of `pages.ocr_text`, one row each, with the interval labels of block, page and exam.
+def contains(a: Column, d: Column) -> Column:
+    """Node a is an ancestor of node d."""
+    return (a["pre"] < d["pre"]) & (a["post"] > d["post"])
 
-    The tree of a page row is exam > page > ocr > blocks, so the walk's numbers are known without a
-    walk: exam (0, n+2), page (1, n+1), ocr (2, n), block k (3+k, k) of n blocks that aren't null.
-    Links are checked by containment inside the row, without a shuffle. `with_content=False` leaves
-    out text, category, level and bbox.
-    """
-    lay = F.col("ocr_text.layouts")
-    kept = F.filter(F.transform(lay, lambda b, i: F.when(b.isNotNull(), i)), lambda i: i.isNotNull())
-    base = pages.select(
-        F.lit("pages").alias("origin"), F.col("id").alias("tree_id"), norm_key("exam_id").alias("exam_id"),
-        F.col("id").alias("page_id"), F.col("page_order").cast("int").alias("page_order"),
-        kept.alias("_kept"), *([lay.alias("_lay")] if with_content else []),
-    )
-    base = base.dropDuplicates(["tree_id"] if with_content else ["exam_id", "page_id", "_kept"])
-    n = F.size("_kept")
-    keep = ["origin", "tree_id", "exam_id", "page_id", "page_order"]
-    out = base.withColumn("_n", n).select(*keep, "_n", *(["_lay"] if with_content else []), F.posexplode("_kept").alias("_k", "position"))
-    out = out.withColumns(
-        {
-            "pre": F.col("_k") + 3, "post": F.col("_k"), "depth": F.lit(3),
-            "page_pre": F.lit(1), "page_post": F.col("_n") + 1, "exam_pre": F.lit(0), "exam_post": F.col("_n") + 2,
-            "path": F.col("position").cast("string"),
-        }
-    )
-    out = out.where("page_pre < pre and page_post > post and exam_pre < page_pre and exam_post > page_post")
-    if with_content:
-        b = F.element_at("_lay", F.col("position") + 1)
-        out = out.withColumns({"category": b["category"], "text": b["text"], "level": b["level"], "bbox": b["bbox"]})
-    return out.drop("_k", "_n", "_lay")
-
-
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """The labelled nodes of the rows of `pages`, in the columns of `label_payloads`; one tree per page id.
-
-    The walk's numbers in closed form, as in `label_pages`: of n blocks that aren't null, block k has
-    (3+k, k), ocr (2, n), page (1, n+1), exam (0, n+2). Without ocr_text the tree is exam (0, 1) > page (1, 0).
+
+def page_trees(pages: DataFrame, with_content: bool = True) -> DataFrame:
+    """One row per page: `tree`, the labelled nodes of its record in pre-order.
+
+    A record is exam > page > ocr > blocks, without ocr and blocks while ocr_text is null. `with_content=False` leaves out
+    text, category, level and box, so that they are not read.
     """
     lay = F.coalesce("ocr_text.layouts", F.array().cast(pages.select("ocr_text.layouts").schema[0].dataType))
-    placed = F.transform(lay, lambda b, i: F.struct(i.alias("position"), b.alias("b")))
-    base = pages.dropDuplicates(["id"]).select(
-        "id", norm_key("exam_id").alias("exam"), F.col("page_order").cast("int").alias("order"),
-        F.col("ocr_text").isNotNull().alias("done"), F.filter(placed, lambda x: x["b"].isNotNull()).alias("kept"),
-    )
-    n = F.size("kept") + F.col("done").cast("int")
+    content = (lambda b: [b[c].alias(c) for c in ("category", "text", "level", "bbox")]) if with_content else (lambda b: [])
+    kept = F.filter(F.transform(lay, lambda b, i: F.struct(i.alias("position"), b.isNotNull().alias("there"), *content(b))), lambda x: x["there"])
+    base = pages.select(F.col("id").alias("page_id"), norm_key("exam_id").alias("exam_id"), F.col("page_order").cast("int").alias("page_order"), F.col("ocr_text").isNotNull().alias("done"), kept.alias("kept"))
+    base = base.dropDuplicates(["page_id"] if with_content else ["exam_id", "page_id", "done", "kept"])
     types = dict(c.split() for c in NODE_DDL.split(", "))
-
-    def node(kind: str, **values) -> Column:
-        values = {"kind": F.lit(kind), **values}
-        return F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in _COLUMNS[2:]])
-
-    zero = F.lit(0)
-    exam = node("exam", pre=zero, post=n + 1, depth=zero, position=zero, node_key=F.col("exam"), path=F.lit("0"))
-    page = node("page", pre=F.lit(1), post=n, depth=F.lit(1), position=zero, node_key=F.col("id"), path=F.lit("0"), page_order=F.col("order"))
-    ocr = node("ocr", pre=F.lit(2), post=F.size("kept"), depth=F.lit(2), position=zero, path=F.lit("0"))
-    block = lambda x, k: node(
-        "block", pre=k + 3, post=k, depth=F.lit(3), position=x["position"], path=x["position"].cast("string"),
-        category=x["b"]["category"], text=x["b"]["text"], level=x["b"]["level"], bbox=x["b"]["bbox"],
-    )
+    names = ["kind", "pre", "post", "depth", "position", "node_key", "path", "page_order", *(["category", "text", "level", "bbox"] if with_content else [])]
+
+    def node(kind: str, pre: Column, size: Column, depth: int, **values: Column) -> Column:
+        values |= {"kind": F.lit(kind), "pre": pre, "post": pre + size - 1 - depth, "depth": F.lit(depth)}
+        return F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in names])
+
+    n, zero = F.size("kept"), F.lit(0)
+    ocr_size = F.when(F.col("done"), n + 1).otherwise(0)
+    exam = node("exam", zero, ocr_size + 2, 0, position=zero, node_key=F.col("exam_id"))
+    page = node("page", F.lit(1), ocr_size + 1, 1, position=zero, node_key=F.col("page_id"), page_order=F.col("page_order"))
+    ocr = node("ocr", F.lit(2), n + 1, 2, position=zero)
+    block = F.transform("kept", lambda x, k: node("block", k + 3, F.lit(1), 3, path=x["position"].cast("string"), **{c: x[c] for c in ("position", *names[8:])}))
     above = F.when(F.col("done"), F.array(exam, page, ocr)).otherwise(F.array(exam, page))
-    return base.select(F.lit("pages").alias("origin"), F.col("id").alias("tree_id"), F.inline(F.concat(above, F.transform("kept", block))))
+    return base.select(above.alias("above"), F.when(F.col("done"), block).otherwise(F.array().cast(f"array<{_struct(names, types)}>")).alias("below"))
+
 
+def _struct(names: list[str], types: dict[str, str]) -> str:
+    return "struct<" + ", ".join(f"{c}:{types[c]}" for c in names) + ">"
 
-def all_nodes(pages: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The labelled nodes of both origins."""
-    return page_nodes(pages).unionByName(label_payloads(payloads))
+
+def page_tables(pages: DataFrame, with_content: bool = True) -> dict[str, DataFrame]:
+    """The flat tables `exams`, `pages`, `blocks` and `links` of the rows of `pages`; keys come from the enclosing nodes."""
+    trees = page_trees(pages, with_content)
+    around = lambda n, kind: F.get(F.filter("above", lambda a: (a["kind"] == kind) & contains(a, n)), F.lit(0))["node_key"]
+    parent = lambda n: F.get(F.filter("above", lambda a: (a["depth"] == n["depth"] - 1) & contains(a, n)), F.lit(0))["kind"]
+    origin = F.lit("pages").alias("origin")
+    own = trees.select("above", F.explode("above").alias("n"))
+    n = F.col("n")
+    page = own.where("n.kind = 'page'").select(origin, around(n, "exam").alias("exam_id"), F.col("n.node_key").alias("page_id"), "n.page_order")
+    rows = trees.select("above", F.explode("below").alias("n"))
+    keys = [origin, around(n, "exam").alias("exam_id"), around(n, "page").alias("page_id"), F.col("n.path").alias("block_path")]
+    block = rows.select(*keys, *(["n.category", "n.level", "n.bbox", "n.text"] if with_content else []))
+    mine = F.when(n["kind"] == "page", n["node_key"]).otherwise(around(n, "page"))
+    every = trees.select("above", F.explode(F.concat("above", "below")).alias("n")).where("n.kind <> 'exam'")
+    links = every.select(origin, around(n, "exam").alias("exam_id"), mine.alias("page_id"), n["kind"].alias("kind"), n["path"].alias("block_path"), parent(n).alias("parent_kind"), F.lit(None).cast("string").alias("parent_path"))
+    return {"exams": page.select("origin", "exam_id", F.lit(None).cast("string").alias("title")).distinct(), "pages": page, "blocks": block, "links": links}
 
 
 def link_enclosing(nodes: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
@@ -279,22 +269,38 @@ def link_parents(nodes: DataFrame) -> DataFrame:
     return both.where("_child").drop("_d", "_child", "_p")
 
 
-def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables `exams`, `pages` and `blocks` of labelled nodes, each with its parent's key."""
-    linked = link_enclosing(link_enclosing(nodes, "exam", {"node_key": "exam_id"}), "page", {"node_key": "page_id", "pre": "page_pre"})
-    linked = linked.withColumn("exam_id", F.lower(F.trim(F.coalesce("exam_id", F.when(F.col("kind") == "exam", F.col("node_key"))))))
-    label = ["origin", "tree_id", "pre", "post", "depth"]
+def payload_tables(payloads: DataFrame, **columns: str) -> dict[str, DataFrame]:
+    """The flat tables `exams`, `pages`, `blocks` and `links` of raw payloads, each row once, by its latest delivery."""
+    linked = link_enclosing(link_enclosing(label_payloads(payloads, **columns), "exam", {"node_key": "exam_id"}), "page", {"node_key": "page_id"})
+    linked = linked.withColumns({
+        "exam_id": F.lower(F.trim(F.coalesce("exam_id", F.when(F.col("kind") == "exam", F.col("node_key"))))),
+        "page_id": F.when(F.col("kind") == "page", F.col("node_key")).otherwise(F.col("page_id")),
+        "block_path": F.when(F.col("kind") == "block", F.col("path")),
+    })
+
+    def latest(kind: str, keys: list[str], values: list[str]) -> DataFrame:
+        last = F.max_by(F.struct(*values), F.struct("tree_id", "pre")) if values else F.lit(None)
+        out = linked.where(F.col("kind") == kind).groupBy("origin", *keys).agg(last.alias("v"))
+        return out.select("origin", *keys, *[F.col(f"v.{c}") for c in values])
+
+    blocks = ["exam_id", "page_id", "block_path"]
+    parents = linked.select("origin", "tree_id", F.col("pre").alias("parent_pre"), F.col("kind").alias("parent_kind"), F.col("block_path").alias("parent_path"))
+    links = link_parents(linked).join(parents, ["origin", "tree_id", "parent_pre"])
     return {
-        "exams": linked.where("kind = 'exam'").select(*label, "exam_id", "title"),
-        "pages": linked.where("kind = 'page'").select(*label, "exam_id", F.col("node_key").alias("page_id"), "page_order"),
-        "blocks": linked.where("kind = 'block'").select(
-            *label, "exam_id", "page_id", F.col("path").alias("block_path"), "position", "category", "text", "level", "bbox"
-        ),
+        "exams": latest("exam", ["exam_id"], ["title"]),
+        "pages": latest("page", ["exam_id", "page_id"], ["page_order"]),
+        "blocks": latest("block", blocks, ["category", "level", "bbox", "text"]),
+        "links": links.select("origin", "exam_id", "page_id", "kind", "block_path", "parent_kind", "parent_path").distinct(),
+        "found": linked.where("kind = 'block'").select("origin", *blocks).distinct(),
     }
 
 
+def flat_tables(pages: DataFrame, payloads: DataFrame) -> dict[str, DataFrame]:
+    """The flat tables of both origins."""
+    a, b = page_tables(pages), payload_tables(payloads)
+    return {k: t.unionByName(b[k]) for k, t in a.items()}
+
+
 def found_blocks(pages: DataFrame, payloads: DataFrame) -> DataFrame:
     """One row per layout block of both origins: origin, exam_id, page_id, block_path."""
-    flat = label_pages(pages, with_content=False).select("origin", "exam_id", "page_id", F.col("path").alias("block_path"))
-    raw = node_tables(label_payloads(payloads))["blocks"].select("origin", "exam_id", "page_id", "block_path").distinct()
-    return flat.unionByName(raw)
+    return page_tables(pages, with_content=False)["blocks"].unionByName(payload_tables(payloads)["found"])

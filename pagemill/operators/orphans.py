@@ -1,114 +1,116 @@
 """References to records that don't exist: direct orphans, and the cascade below them.
 
-A reference is judged by its key, so all evidence about a key (who refers to it, whether it
-exists and since when, whether it was deleted) is brought together in one aggregation on
-(field, key), with map-side combine: a key that a third of all rows refer to costs one row per
-task. Only keys with a problem go back to the referring rows, salted, so that a hot missing key
-spreads over SALT tasks.
-
-The cascade treats children of orphaned records as orphaned too. It walks the foreign-key graph
-to a fixpoint with semi-joins; each round joins only the frontier (rows orphaned in the last
-round), and stops when a round finds nothing. Frontiers are checkpointed in the shared folder.
-
-Defined results: a null reference is none; keys are compared without case, surrounding blanks and
-a leading slash; repeated rows count once; when a parent row comes in several versions the earliest
-birth counts; a null birth or landing time is never late; empty tables give empty results.
+The tables and their foreign keys form a graph. Round 0 finds the direct orphans of every key of the graph at
+once: a reference is judged by its key, so all evidence about a key (who refers to it, whether it exists and since
+when, whether it was deleted) is brought together in one aggregation on (reference, key), with map-side combine: a key
+that a third of all rows refer to costs one row per task. Only keys with a problem go back to the referring rows,
+salted, so that a hot missing key spreads over SALT tasks.
+
+From there the cascade goes down the graph to a fixpoint: children of records orphaned in the last round (the frontier)
+are orphaned too, found by salted semi-joins. It ends when a round finds nothing new. Frontiers are checkpointed in
+the shared folder.
+
+Defined results: a null reference is none; keys are compared as the tables give them (normalise first); repeated rows
+count once; when a parent row comes in several versions the earliest birth counts; a null birth or landing time is
+never late; of a row that comes with several times the earliest counts; empty tables give empty results; cycles end,
+since a row is taken once, and direct orphans stay direct.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.session import cut_lineage
-from pagemill.sources.tables import norm_key
 
 SALT = 16
-
-
-def references(pages: DataFrame) -> DataFrame:
-    """(page_id, field, key, landed_at) for the two references of every page row."""
-    pair = F.array(
-        F.struct(F.lit("exam_id").alias("field"), norm_key("exam_id").alias("key")),
-        F.struct(F.lit("file_path").alias("field"), norm_key("file_path").alias("key")),
-    )
-    return pages.select(F.col("id").alias("page_id"), "landed_at", F.inline(pair)).where("key is not null")
-
-
-def direct_orphans(pages: DataFrame, exams: DataFrame, objects: DataFrame, log: DataFrame) -> DataFrame:
-    """page_id, field, key, landed_at, state for every reference without a counterpart at landing time."""
-    refs = references(pages)
-    ts = lambda c: F.col(c).cast("timestamp")
-    none = F.lit(None).cast("timestamp")
-    evidence = (
-        refs.select("field", "key", F.col("landed_at").alias("landed"), none.alias("born"), F.lit(0).alias("there"), F.lit(0).alias("gone"), F.lit(1).alias("refs"))
-        .unionAll(exams.select(F.lit("exam_id"), norm_key("id"), none, ts("uploaded_at"), F.lit(1), F.lit(0), F.lit(0)))
-        .unionAll(objects.select(F.lit("file_path"), norm_key("name"), none, ts("created_at"), F.lit(1), F.lit(0), F.lit(0)))
-        .unionAll(
-            log.where(F.lower("entity").isin("exam", "object")).select(
-                F.when(F.lower("entity") == "exam", "exam_id").otherwise("file_path"), norm_key("key_value"), none, none, F.lit(0), F.lit(1), F.lit(0)
-            )
-        )
-        .where("key is not null")
-    )
-    keys = evidence.groupBy("field", "key").agg(
-        F.max("refs").alias("refs"), F.min("landed").alias("landed"), F.min("born").alias("born"),
-        F.max("there").alias("there"), F.max("gone").alias("gone"),
-    )
-    bad = keys.where("refs = 1 and (there = 0 or born > landed)").select(
-        "field", "key", "born", F.when(F.col("there") == 1, "late").when(F.col("gone") == 1, "deleted").otherwise("missing").alias("state")
-    )
-    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("page_id", "landed_at"), F.lit(SALT)).cast("int"))
-    hit = salted.join(bad, ["field", "key", "salt"]).where("state <> 'late' or born > landed_at")
-    return hit.select("page_id", "field", "key", "landed_at", "state").dropDuplicates(["page_id", "field"])
-
-
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Numbers of orphan references per field, month of landing and state."""
-    return orphans.groupBy("field", F.date_format("landed_at", "yyyy-MM").alias("month"), "state").agg(F.count(F.lit(1)).alias("n"))
+#: States of a direct orphan whose children are orphaned too; a late parent is there in the end.
+LASTING = ("deleted", "missing")
+_FOUND = "table string, row_key string, field string, state string, at timestamp, round int"
 
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """child.column refers to parent.key; both sides are already comparable columns."""
+    """child.column refers to parent.key; `entity` names the parent's keys in the deletion log."""
 
     child: str
     column: str
     parent: str
     key: str
+    entity: str = ""
+
+    @property
+    def name(self) -> str:
+        return f"{self.child}.{self.column}"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def orphan_cascade(tables: dict[str, DataFrame], seeds: dict[str, DataFrame], keys: list[ForeignKey], row_keys: dict[str, str], max_rounds: int = 32) -> DataFrame:
-    """Rows orphaned directly (round 0) or inherited through the foreign keys, to a fixpoint.
+def _salted(hot: DataFrame) -> DataFrame:
+    return hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
-    `tables` maps a name to its rows, `row_keys` to the column that identifies a row, `seeds` to the
-    directly orphaned row keys (column `row_key`). Returns table, row_key, kind ('direct' or
-    'inherited') and round. Each round semi-joins children with the last round's new orphans only;
-    a reference graph with cycles ends because a row is taken once.
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALT)).cast("int")
+
+
+def direct_orphans(tables: dict[str, DataFrame], keys: list[ForeignKey], log: DataFrame | None = None) -> DataFrame:
+    """table, row_key, field, state, at of every reference without a counterpart when its row came.
+
+    Every table has `row_key` (what identifies a row), `at` (when it came), and the columns the keys name. `log` has
+    entity and key of deleted parents. State is deleted, missing or late.
     """
-    spark = next(iter(tables.values())).sparkSession
-    found = None
-    for name, s in seeds.items():
-        part = s.select(F.lit(name).alias("table"), F.col("row_key"), F.lit(0).alias("round")).where("row_key is not null").distinct()
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "table string, row_key string, kind string, round int")
-    found = frontier = cut_lineage(found)
-    for r in range(1, max_rounds + 1):
-        grown = None
-        for fk in keys:
-            parents = frontier.where(F.col("table") == fk.parent).select("row_key")
-            rows = tables[fk.child].select(F.col(row_keys[fk.child]).alias("row_key"), F.col(fk.column).alias("_fk")).where("row_key is not null and _fk is not null")
-            up = tables[fk.parent].select(F.col(row_keys[fk.parent]).alias("row_key"), F.col(fk.key).alias("_fk")).join(parents, "row_key", "left_semi") if fk.key != row_keys[fk.parent] else parents.select(F.col("row_key").alias("_fk"))
-            hit = rows.join(up.distinct(), "_fk", "left_semi").select(F.lit(fk.child).alias("table"), "row_key")
-            grown = hit if grown is None else grown.unionByName(hit)
-        if grown is None:
-            break
-        new = cut_lineage(grown.distinct().join(found, ["table", "row_key"], "left_anti").withColumn("round", F.lit(r)))
+    none = F.lit(None).cast("timestamp")
+    ref = lambda k: tables[k.child].select(F.lit(k.name).alias("ref"), F.col(k.column).alias("key"), "row_key", "at")
+    refs = _union([ref(k) for k in keys]).where("key is not null and row_key is not null")
+    parts = [refs.select("ref", "key", F.col("at").alias("landed"), none.alias("born"), F.lit(0).alias("there"), F.lit(0).alias("gone"), F.lit(1).alias("refs"))]
+    for k in keys:
+        parts.append(tables[k.parent].select(F.lit(k.name).alias("ref"), F.col(k.key).alias("key"), none.alias("landed"), F.col("at").alias("born"), F.lit(1).alias("there"), F.lit(0).alias("gone"), F.lit(0).alias("refs")))
+        if log is not None and k.entity:
+            parts.append(log.where(F.col("entity") == k.entity).select(F.lit(k.name).alias("ref"), "key", none.alias("landed"), none.alias("born"), F.lit(0).alias("there"), F.lit(1).alias("gone"), F.lit(0).alias("refs")))
+    evidence = _union(parts).where("key is not null").groupBy("ref", "key").agg(F.min("landed").alias("landed"), F.min("born").alias("born"), *[F.max(c).alias(c) for c in ("refs", "there", "gone")])
+    bad = evidence.where("refs = 1 and (there = 0 or born > landed)").select(
+        "ref", "key", "born", F.when(F.col("there") == 1, "late").when(F.col("gone") == 1, "deleted").otherwise("missing").alias("state")
+    )
+    hit = refs.withColumn("salt", _salt("row_key", "at")).join(_salted(bad), ["ref", "key", "salt"]).where("state <> 'late' or born > at")
+    place = F.split("ref", r"\.")
+    return hit.groupBy("ref", "row_key").agg(F.min(F.struct(F.col("state"), F.col("at"))).alias("s")).select(
+        place[0].alias("table"), "row_key", place[1].alias("field"), "s.state", "s.at"
+    )
+
+
+def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], log: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """table, row_key, field, kind, state, at, round of every orphan reference (direct) and of every row below an orphan (inherited).
+
+    Rounds run until nothing new is found; a chain longer than `max_rounds` is an error, never a shorter result. A direct orphan has a
+    row for each of its bad references; an inherited one a single row, with the key that led to it (the first by name) and
+    the state 'inherited'.
+    """
+    found = cut_lineage(direct_orphans(tables, keys, log).withColumn("round", F.lit(0)))
+    frontier = found.where(F.col("state").isin(*LASTING))
+    for r in range(1, max_rounds + 2):
+        grown = []
+        for k in keys:
+            up = tables[k.parent].select("row_key", F.col(k.key).alias("key")).join(frontier.where(F.col("table") == k.parent).select("row_key").distinct(), "row_key", "left_semi")
+            up = _salted(up.where("key is not null").select("key").distinct())
+            rows = tables[k.child].where("row_key is not null").select("row_key", "at", F.col(k.column).alias("key")).withColumn("salt", _salt("row_key"))
+            grown.append(rows.join(up, ["key", "salt"], "left_semi").select(F.lit(k.child).alias("table"), "row_key", F.lit(k.column).alias("field"), "at"))
+        first = _union(grown).groupBy("table", "row_key").agg(F.min("field").alias("field"), F.min("at").alias("at"))
+        new = first.join(found.select("table", "row_key"), ["table", "row_key"], "left_anti").select("table", "row_key", "field", F.lit("inherited").alias("state"), "at", F.lit(r).alias("round"))
+        new = cut_lineage(new)
         if new.isEmpty():
             break
+        if r > max_rounds:
+            raise RuntimeError(f"orphans go on below round {max_rounds}")
         found, frontier = found.unionByName(new), new
-    return found.select("table", "row_key", F.when(F.col("round") == 0, "direct").otherwise("inherited").alias("kind"), "round")
+    return found.select("table", "row_key", "field", F.when(F.col("round") == 0, "direct").otherwise("inherited").alias("kind"), "state", "at", "round")
+
+
+def orphan_report(cascade: DataFrame) -> DataFrame:
+    """Numbers of orphans per table, field, month of landing, kind (direct or inherited) and state."""
+    return cascade.groupBy("table", "field", F.date_format("at", "yyyy-MM").alias("month"), "kind", "state").agg(F.count(F.lit(1)).alias("n"))

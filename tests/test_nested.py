@@ -62,11 +62,27 @@ def test_found_blocks(spark):
     assert nested.found_blocks(pages.limit(0), payloads.limit(0)).count() == 0
 
 
-def test_content_table_keeps_parent_keys(spark, sf):
+def test_content_is_read_only_where_it_is_asked_for(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    full, slim = nested.label_pages(pages), nested.label_pages(pages, with_content=False)
-    assert full.count() == slim.count()
-    assert full.where("not (page_pre < pre and page_post > post)").count() == 0
+    full, slim = (nested.page_tables(pages, with_content=w)["blocks"] for w in (True, False))
+    keys = ["origin", "exam_id", "page_id", "block_path"]
+    assert full.count() == slim.count() > 0 and full.select(*keys).exceptAll(slim.select(*keys)).isEmpty()
+    assert full.where("page_id is null or exam_id is null").count() == pages.where("exam_id is null").dropDuplicates(["id"]).selectExpr("explode(ocr_text.layouts) b").where("b is not null").count()
+
+
+def test_labels_of_page_trees_are_those_of_a_walk(spark, sf):
+    """The closed numbers of page rows equal the walk over the same records as JSON, and links need right labels."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").dropDuplicates(["id"])
+    for r in nested.page_trees(pages, with_content=False).limit(40).collect():
+        page = {"id": r.above[1].node_key}
+        if len(r.above) == 3:
+            page["ocr_text"] = {"layouts": [{} for _ in r.below]}
+        walked = nested.walk("t", "o", json.dumps({"id": "e", "pages": [page]}))
+        assert [(n.kind, n.pre, n.post, n.depth) for n in [*r.above, *r.below]] == [tuple(w[2:6]) for w in walked]
+    a, d = (F.struct(F.lit(x).alias("pre"), F.lit(y).alias("post")) for x, y in ((1, 5), (3, 2)))
+    assert spark.range(1).select(nested.contains(a, d), nested.contains(d, a), nested.contains(a, a)).first()[:] == (True, False, False)
 
 
 def test_parents_by_intervals_equal_parents_by_paths(spark, sf):
@@ -90,20 +106,23 @@ def test_flat_tables_hold_both_origins(spark, tmp_path):
     one = json.dumps({"id": " E ", "title": "T", "pages": [{"id": "q", "ocr_text": {"layouts": {"text": "lone"}}}]})
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(1, one)], "payload_id long, payload string").write.parquet(f"{tmp_path}/page_payload.parquet")
-    run = lambda name, *cols: sorted((tuple(r) for r in found.QUERIES[name](spark, str(tmp_path)).select(*cols).collect()), key=repr)
-    assert run("p1_exams", "origin", "exam_id", "title") == [("page_payload", "e", "T"), ("pages", "ab", None), ("pages", None, None)]
-    assert run("p1_pages", "origin", "exam_id", "page_id", "page_order", "pre", "post") == [
-        ("page_payload", "e", "q", None, 1, 2), ("pages", "ab", "p1", 1, 1, 3), ("pages", "ab", "p2", 2, 1, 0), ("pages", None, "p3", 1, 1, 1)]
-    assert run("p1_blocks", "origin", "exam_id", "page_id", "block_path", "pre", "post", "category", "level", "text", "bbox") == [
-        ("page_payload", "e", "q", "0", 3, 0, None, None, "lone", []), ("pages", "ab", "p1", "1", 3, 0, "Section-header", 2, "head", b[0]), ("pages", "ab", "p1", "2", 4, 1, "Section-header", 2, "head", b[0])]
-    got = run("p1_parents", "origin", "tree_id", "kind", "pre", "parent_pre")
-    assert [x[2:] for x in got if x[1] == "p1"] == [("block", 3, 2), ("block", 4, 2), ("exam", 0, None), ("ocr", 2, 1), ("page", 1, 0)]
-    assert [x[2:] for x in got if x[1] == "p2"] == [("exam", 0, None), ("page", 1, 0)] and len(got) == 5 + 2 + 3 + 4
-
-
-def test_page_nodes_agree_with_label_pages(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    cols = ["tree_id", "exam_id", "page_id", "pre", "post", "depth", "category", "text", "level"]
-    mine = nested.node_tables(nested.page_nodes(pages))["blocks"].select(*cols)
-    theirs = nested.label_pages(pages).select(*cols)
-    assert mine.count() == theirs.count() > 0 and mine.exceptAll(theirs).isEmpty()
+    run = lambda name: sorted((tuple(r) for r in found.QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    assert run("p1_exams") == [("page_payload", "e", "T"), ("pages", "ab", None), ("pages", None, None)]
+    assert run("p1_pages") == [("page_payload", "e", "q", None), ("pages", "ab", "p1", 1), ("pages", "ab", "p2", 2), ("pages", None, "p3", 1)]
+    assert run("p1_blocks") == [
+        ("page_payload", "e", "q", "0", None, None, [], "lone"), ("pages", "ab", "p1", "1", "Section-header", 2, b[0], "head"), ("pages", "ab", "p1", "2", "Section-header", 2, b[0], "head")]
+    assert run("p1_parents") == sorted([
+        *[(o, e, p, "page", None, "exam", None) for o, e, p in (("page_payload", "e", "q"), ("pages", "ab", "p1"), ("pages", "ab", "p2"), ("pages", None, "p3"))],
+        *[(o, e, p, "ocr", None, "page", None) for o, e, p in (("page_payload", "e", "q"), ("pages", "ab", "p1"), ("pages", None, "p3"))],
+        ("page_payload", "e", "q", "block", "0", "ocr", None), ("pages", "ab", "p1", "block", "1", "ocr", None), ("pages", "ab", "p1", "block", "2", "ocr", None)], key=repr)
+
+
+def test_a_record_delivered_again_comes_once_as_it_was_last(spark):
+    from datetime import datetime
+
+    doc = lambda text, title: json.dumps({"id": "E", "title": title, "pages": [{"id": "q", "order": 3, "ocr_text": {"layouts": [{"text": text, "children": [{"text": "c"}]}]}}]})
+    rows = [(1, datetime(2025, 1, 9), doc("new", "B")), (2, datetime(2025, 1, 2), doc("old", "A")), (3, datetime(2025, 1, 2), doc("old", "A"))]
+    t = nested.payload_tables(spark.createDataFrame(rows, "payload_id long, received_at timestamp, payload string"))
+    assert [(r.exam_id, r.title) for r in t["exams"].collect()] == [("e", "B")] and [(r.page_id, r.page_order) for r in t["pages"].collect()] == [("q", 3)]
+    assert sorted((r.block_path, r.text) for r in t["blocks"].collect()) == [("0", "new"), ("0.0", "c")]
+    assert sorted((r.kind, r.block_path, r.parent_kind, r.parent_path) for r in t["links"].collect() if r.kind == "block") == [("block", "0", "ocr", None), ("block", "0.0", "block", "0")]
