@@ -357,9 +357,18 @@ def split_tail(line: str, page_order: int | None) -> tuple[str, str]:
     return line, ""
 
 
+_SIMPLE_BYTES = bytes.maketrans("".join(_SIMPLE).encode(), "".join(_SIMPLE.values()).encode())
+
+
 def skeleton(line: str) -> str:
-    """The line apart from letter case, spacing and misread characters."""
-    return "".join(shape(line).split())
+    """The line apart from letter case, spacing and misread characters.
+
+    `shape` without blanks, over the bytes of the line, since only ASCII characters change.
+    """
+    out = line.lower().encode("utf-8", "surrogatepass").translate(_SIMPLE_BYTES, b" \t\n\r\x0b\x0c")
+    for k, v in _COMPOUND.items():
+        out = out.replace(k.encode(), v.encode())
+    return out.decode("utf-8", "surrogatepass")
 
 
 # Running-line templates ---------------------------------------------------------------------

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pagemill.llm import repair, scan, truncation
 
@@ -158,6 +160,12 @@ def test_any_number_of_misreadings():
     assert scan.misreads("misunderstandings", "m15under5tand1ng5") == 5 and scan.misreads("cat", "eat") is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aemnhudwlt1!|09q5$6834@7 \tÀếß日ЖM", max_size=40))
+def test_skeleton_is_the_shape_without_blanks(t):
+    assert scan.skeleton(t) == "".join(scan.shape(t).split())
+
+
 def test_trie():
     t = scan.Trie(["a", "abc", "abd", "b"])
     assert t.is_inner("a") and t.is_inner("ab") and not t.is_inner("abc") and not t.is_inner("x") and t.is_inner("") and not t.is_inner("b")
