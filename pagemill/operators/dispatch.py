@@ -1,4 +1,4 @@
-"""Order-dependent operators: budgeted admission as a prefix rule, work dispatch, in-flight sets (Q1-Q12)."""
+"""Order-dependent operators: budgeted admission as a prefix rule, work dispatch, in-flight sets (Q1, Q2, Q3, Q4, Q5, Q6, Q9, Q10, Q12)."""
 
 from __future__ import annotations
 
@@ -20,14 +20,34 @@ def admit_under_budget(requests: DataFrame, run: str, pos: str, size: str, eligi
     return out.withColumn("admitted", ok & (over == 0))
 
 
+def request_reasons(requests: DataFrame, run: str, pos: str, status: str, found: str, size: str, budget: int) -> DataFrame:
+    """`requests` with `queued` and `reason`, the first that holds of: queue is full (after the first overflow), not found, status, capacity."""
+    first = Window.partitionBy(run, "exam_id").orderBy(pos)
+    again = F.row_number().over(first) > 1
+    eligible = F.col(found) & (F.col(status) == "pending") & ~again
+    out = requests.withColumn("_ok", F.coalesce(eligible, F.lit(False))).withColumn("_again", again)
+    out = admit_under_budget(out, run, pos, size, "_ok", budget)
+    before = Window.partitionBy(run).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.col("_ok") & (F.col("running") > budget)
+    full = F.coalesce(F.max(over.cast("int")).over(before), F.lit(0)) == 1
+    shown = F.when(F.col("_again") & (F.col(status) == "pending"), "processing").otherwise(F.col(status))
+    reason = (
+        F.when(full, "queue is full").when(~F.col(found), "not found").when(~F.col("_ok"), F.concat(F.lit("status is '"), shown, F.lit("', expected 'pending'")))
+        .when(over, F.concat(F.lit("over capacity "), F.lit(budget).cast("string")))
+    )
+    return out.withColumn("reason", reason).withColumn("queued", F.col("admitted")).drop("_ok", "_again", "running", "admitted")
+
+
 def page_queue(queue: DataFrame, pages: DataFrame) -> DataFrame:
     """Q10: the pages without a result of queued exams: queue order, then page order.
 
     `queue` has exam_id and queue_pos. Ranks are per exam (rank_in_exam); the global order is the pair.
     """
+    from pagemill.operators.mutations import numbered
+
     todo = pages.where("ocr_text is null").select("exam_id", "page_id", "page_order")
-    w = Window.partitionBy("exam_id").orderBy(F.asc_nulls_last("page_order"), "page_id")
-    return queue.join(todo, "exam_id").withColumn("rank_in_exam", F.row_number().over(w)).select("queue_pos", "rank_in_exam", "exam_id", "page_id")
+    ranked = numbered(queue.join(todo, "exam_id"), ["exam_id"], [F.asc_nulls_last("page_order"), F.col("page_id")], "rank_in_exam")
+    return ranked.select("queue_pos", "rank_in_exam", "exam_id", "page_id")
 
 
 def not_in_flight(rows: DataFrame, queued: DataFrame, tracked: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Page geometry (inventory F3, F8, F9, A11, A12, G1-G12): column expressions and per-page windows."""
+"""Page geometry (inventory F3, F8, F9, A11, A12, G1, G2, G3, G4, G5, G6, G7, G8, G9, G10, G11, G12): column expressions and per-page windows."""
 
 from __future__ import annotations
 
@@ -60,7 +60,7 @@ def without_stamps(blocks: DataFrame, label: str = "Picture") -> DataFrame:
         & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
     )
     pictures = a.where(F.col("a.category") == label).join(b, cond, "left_anti")
-    return blocks.where(F.col("category") != label).unionByName(pictures.select(*blocks.columns))
+    return blocks.where(F.coalesce(F.col("category") != label, F.lit(True))).unionByName(pictures.select(*blocks.columns))
 
 
 def union_boxes(blocks: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Columns and sections of a page (inventory L1-L5, L8, L9).
+"""Columns and sections of a page (inventory L1, L2, L3, L4, L5, L8, L9).
 
 Blocks are taken in reading order (block_idx) throughout. Sections and column breaks are running
 counts in windows over one page; only the cost-minimal column split is a Python function, applied to
@@ -67,7 +67,7 @@ def columns_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
 def with_columns(pages: DataFrame) -> DataFrame:
     """page_id, block_idx, column_idx of the boxed main blocks of every page."""
     lay = F.transform("ocr_text.layouts", lambda b, i: F.struct(i.alias("block_idx"), b["category"].alias("category"), b["bbox"].alias("bbox")))
-    main = F.filter(lay, lambda b: (F.size(b["bbox"]) == 4) & ~b["category"].isin("Page-header", "Page-footer"))
+    main = F.filter(lay, lambda b: (F.size(b["bbox"]) == 4) & ~F.coalesce(b["category"].isin("Page-header", "Page-footer"), F.lit(False)))
     src = pages.select(F.col("id").alias("page_id"), F.col("ocr_text.origin_width").cast("double").alias("w"), main.alias("m")).where(F.size("m") > 0)
     cols = columns_of(F.transform("m", lambda b: b["bbox"][0]), F.transform("m", lambda b: b["bbox"][2]), F.col("w"))
     src = src.withColumn("c", cols).where("c is not null")
@@ -97,9 +97,9 @@ def sections_of(columns: DataFrame, page: str = "page_id", order: str = "column_
 
 
 def features(b: DataFrame) -> DataFrame:
-    """page_id, block_idx and 18 numbers per boxed block: eight of geometry, a one-hot category (zeros when unmapped)."""
+    """page_id, block_idx and 18 numbers per boxed block: left, right and centre across, the same down, width, height, a one-hot category (zeros when unmapped)."""
     w, h = F.col("ow").cast("double"), F.col("oh").cast("double")
-    geo = [F.col("x1") / w, F.col("y1") / h, F.col("x2") / w, F.col("y2") / h, (F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h]
+    geo = [F.col("x1") / w, F.col("x2") / w, (F.col("x1") + F.col("x2")) / 2 / w, F.col("y1") / h, F.col("y2") / h, (F.col("y1") + F.col("y2")) / 2 / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h]
     cat = F.create_map(*[F.lit(x) for kv in LABEL_TO_CATEGORY.items() for x in kv])[F.col("category")]
     hot = [F.coalesce((cat == c).cast("double"), F.lit(0.0)) for c in CATEGORIES]
     return b.where("x1 is not null and ow > 0 and oh > 0").select("page_id", "block_idx", F.array(*geo, *hot).alias("features"))

@@ -1,10 +1,12 @@
-"""Sinks and mutations, each as a function from old tables to new ones (inventory K1-K12, F14, F15)."""
+"""Sinks and mutations, each as a function from old tables to new ones (inventory K1, K2, K3, K4, K5, K7, K8, K10, K12, F14, F15, S17)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import cut_lineage
+
 CHUNK = 100
 
 
@@ -33,18 +35,26 @@ def delete_cascade(parents: DataFrame, children: DataFrame, ids: DataFrame, key:
     return parents.join(gone, key, "left_anti"), children.join(gone.withColumnRenamed(key, fk), fk, "left_anti")
 
 
-def chunks(paths: DataFrame, column: str, size: int = CHUNK) -> DataFrame:
-    """K5: a chunk number for each path in path order, so that at most `size` paths share one.
+def positions(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """`rows` with their zero-based place in the whole table under a total order, without a window over it.
 
-    Positions come from per-partition counts of a range-sorted table, not from one global window.
+    Rows are range-partitioned, so that the rows of a hot group spread over as many partitions as they need, and sorted there; a
+    place is the partition's offset and the row's number in it. The sorted rows are written once: offsets and rows see the
+    same partitions.
     """
-    ranked = paths.select(column).distinct()
-    ordered = ranked.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid").orderBy(column)
+    local = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", local)
+    ordered = cut_lineage(ordered.withColumns({"_pid": F.shiftrightunsigned("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m"))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    start = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_start"))  # a row per partition
-    pos = ordered.withColumn("_r", F.row_number().over(local)).join(F.broadcast(start), "_pid")
-    return pos.select(column, F.floor((F.col("_r") + F.col("_start") - 1) / size).alias("chunk"))
+    # A row per partition, whatever the number of rows.
+    start = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_start"))
+    return ordered.join(start, "_pid").withColumn(out, F.col("_r") + F.col("_start")).drop("_pid", "_r", "_start")
+
+
+def chunks(paths: DataFrame, column: str, size: int = CHUNK) -> DataFrame:
+    """K5: a chunk number for each path in path order, so that at most `size` paths share one."""
+    pos = positions(paths.select(column).distinct(), [F.col(column)], "_at")
+    return pos.select(column, F.floor(F.col("_at") / size).alias("chunk"))
 
 
 def failed_deletes(wanted: DataFrame, echoed: DataFrame, column: str) -> DataFrame:
@@ -52,9 +62,15 @@ def failed_deletes(wanted: DataFrame, echoed: DataFrame, column: str) -> DataFra
     return wanted.select(column).distinct().join(echoed.select(column), column, "left_anti")
 
 
-def numbered(rows: DataFrame, partition: list[str], order: list[Column], out: str = "page_order") -> DataFrame:
-    """1-based numbers in the given order."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+def numbered(rows: DataFrame, group: list[str], order: list[Column], out: str = "page_order") -> DataFrame:
+    """1-based numbers in the given order (total within a group), also where one group holds most rows."""
+    at = positions(rows, [*map(F.col, group), *order], "_at")
+    same = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{i}") for i, g in enumerate(group)]
+    null = [F.col(g).isNull().alias(f"_z{i}") for i, g in enumerate(group)]
+    keys = [f"_g{i}" for i in range(len(group))] + [f"_z{i}" for i in range(len(group))]
+    at = at.select("*", *same, *null)
+    first = at.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return at.join(first, keys).withColumn(out, (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first", *keys)
 
 
 def reorder(rows: DataFrame, wanted: DataFrame, key: str, group: str, order: str, keep_unlisted: bool) -> DataFrame:
@@ -62,10 +78,9 @@ def reorder(rows: DataFrame, wanted: DataFrame, key: str, group: str, order: str
 
     Unknown keys are ignored. Unlisted rows follow in their old order, or go when keep_unlisted is False.
     """
-    w = wanted.select(group, key, "pos").dropDuplicates([group, key])
+    w = wanted.groupBy(group, key).agg(F.min("pos").alias("pos"))
     joined = rows.join(w, [group, key], "left" if keep_unlisted else "inner")
-    by = Window.partitionBy(group).orderBy(F.asc_nulls_last("pos"), order, key)
-    return joined.withColumn(order, F.row_number().over(by)).drop("pos")
+    return numbered(joined.withColumnRenamed(order, "_old"), [group], [F.asc_nulls_last("pos"), F.asc_nulls_last("_old"), F.col(key)], order).select(*rows.columns)
 
 
 def older_than(files: DataFrame, column: str, now: Column, days: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Model-call control flow over pages with a pluggable backend (M1-M6); the default replays stored responses."""
+"""Model-call control flow over pages with a pluggable backend (M1, M2, M3, M4, M6); the default replays stored responses."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import response_blocks
 
-STATUSES = ("ok", "truncated", "bad_request", "parse_error", "unreachable")
-RETRIED = ("unreachable",)
+STATUSES = ("ok", "truncated", "bad_request", "parse_error", "unreachable", "http_error")
+#: Connection errors and timeouts are 'unreachable', any HTTP status error but a bad request is 'http_error': both are tried again.
+RETRIED = ("unreachable", "http_error")
 _OUT = "page_id string, status string, attempts int, blocks array<struct<bbox:array<double>,category:string,text:string,level:int>>"
 
 
@@ -22,7 +23,7 @@ def replay(row: dict) -> tuple[str, str]:
 
 
 def recognise(responses: DataFrame, backend: Callable[[dict], tuple[str, str]] = replay, attempts: int = 3, wait: float = 2.0) -> DataFrame:
-    """One call per page inside the partition: unreachable is retried with doubled waits, all else is final."""
+    """One call per page inside the partition: what RETRIED names is tried again with doubled waits and ends as unreachable, all else is final."""
     cols = responses.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,6 +36,7 @@ def recognise(responses: DataFrame, backend: Callable[[dict], tuple[str, str]] =
                     if status not in RETRIED or n == attempts:
                         break
                     time.sleep(wait * 2 ** (n - 1))
+                status = "unreachable" if status in RETRIED else status
                 blocks = []
                 if status == "ok":
                     blocks = [dict(zip(("bbox", "category", "text", "level"), x)) for x in response_blocks(body, int(row["input_width"]), int(row["input_height"]))]

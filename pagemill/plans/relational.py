@@ -20,7 +20,7 @@ NOW = "2025-12-31 12:00:00"
 
 _KEY = "lower(regexp_replace({}, '^\\s*/*\\s*|\\s+$', '', 'g'))"
 _VIEWS = f"""
-WITH e AS (SELECT * FROM exams QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+WITH RECURSIVE e AS (SELECT * FROM exams QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
 p AS (SELECT *, {_KEY.format('exam_id')} AS exam FROM pages QUALIFY row_number() OVER (PARTITION BY id) = 1),
 u AS (SELECT id AS page_id, exam, page_order::INT AS page_order, ocr_text.origin_width AS ow, ocr_text.origin_height AS oh, ocr_text.input_width AS iw,
   ocr_text.input_height AS ih, unnest(ocr_text.layouts) AS l, (generate_subscripts(ocr_text.layouts, 1) - 1)::INT AS block_idx FROM p),
@@ -119,17 +119,17 @@ def exam_detail(t):
 
 
 @query(
-    """SELECT reason, count(*) AS n FROM (
-  SELECT CASE WHEN level IS NOT NULL AND category <> 'Section-header' THEN 'level out of place' WHEN level NOT BETWEEN 1 AND 5 THEN 'level out of range'
-    WHEN n_box NOT IN (0, 4) THEN 'box' WHEN category IS NULL THEN 'no label' ELSE 'valid' END AS reason FROM b) GROUP BY reason"""
+    """SELECT * FROM (
+  SELECT page_id, block_idx, CASE WHEN level IS NOT NULL AND category IS DISTINCT FROM 'Section-header' THEN 'level out of place' WHEN level NOT BETWEEN 1 AND 5 THEN 'level out of range'
+    WHEN n_box NOT IN (0, 4) THEN 'box' WHEN category IS NULL THEN 'no label' END AS reason FROM b) WHERE reason IS NOT NULL"""
 )
 def row_validation(t):
-    """Blocks by the first rule they break."""
+    """The quarantine: every block that breaks a rule, with the first rule it breaks."""
     reason = (
-        F.when(c("level").isNotNull() & (c("category") != "Section-header"), "level out of place").when(~c("level").between(1, 5), "level out of range")
-        .when(~c("n_box").isin(0, 4), "box").when(c("category").isNull(), "no label").otherwise("valid")
-    )
-    return t.b.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+        F.when(c("level").isNotNull() & ~c("category").eqNullSafe("Section-header"), "level out of place").when(~c("level").between(1, 5), "level out of range")
+        .when(~c("n_box").isin(0, 4), "box").when(c("category").isNull(), "no label")
+    )
+    return t.b.select("page_id", "block_idx", reason.alias("reason")).where("reason is not null")
 
 
 @query(f"SELECT id AS page_id FROM p WHERE {_KEY.format('file_path')} IN (SELECT {_KEY.format('name')} FROM o)")
@@ -174,10 +174,11 @@ def upload_numbering(t):
 # Filters and projections ------------------------------------------------------------------------
 
 
-@query("SELECT status, list_sort(list(id)) AS ids FROM e WHERE uploaded_at >= TIMESTAMPTZ '2025-12-01 00:00:00+00' GROUP BY status")
+@query("SELECT CASE WHEN status IN ('processing', 'failed') THEN 'hidden' ELSE 'shown' END AS list, status, id FROM e WHERE status IS NOT NULL")
 def status_partition(t):
-    """a fetched list by status."""
-    return t.e.where("uploaded_at >= timestamp '2025-12-01 00:00:00'").groupBy("status").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """a fetched list by status, for both sides: the user's side hides two of them."""
+    hidden = F.when(c("status").isin("processing", "failed"), "hidden").otherwise("shown")
+    return t.e.where("status is not null").select(hidden.alias("list"), "status", "id")
 
 
 @query("SELECT id AS page_id FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.id = p.exam AND e.status = 'pending')")
@@ -261,15 +262,29 @@ def bucket_sizes(t):
 
 
 @query(
-    f"""SELECT (SELECT count(*) FROM e WHERE status = 'pending') AS pending, (SELECT count(*) FROM e WHERE status = 'processing') AS processing,
-  (SELECT count(*) FROM e WHERE status = 'finished') AS finished, (SELECT count(*) FROM e WHERE status = 'failed') AS failed,
-  (SELECT count(*) FROM p WHERE ocr_text IS NULL) AS open_pages, (SELECT sum({_SIZE})::BIGINT FROM o) AS bytes"""
+    f"""SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'finished') AS finished, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status = 'finished' AND updated_at >= TIMESTAMPTZ '2025-12-31 00:00:00+00') AS finished_today, count(*) FILTER (status = 'failed' AND updated_at >= TIMESTAMPTZ '2025-12-31 00:00:00+00') AS failed_today,
+  (SELECT count(*) FROM p WHERE ocr_text IS NULL) AS open_pages, (SELECT coalesce(sum({_SIZE}), 0)::BIGINT FROM o) AS storage_bytes,
+  (SELECT count(*) FROM p JOIN e e2 ON e2.id = p.exam WHERE e2.status = 'processing') AS processing_pages, 500 AS processing_pages_limit FROM e"""
 )
 def dashboard(t):
-    """One row of scalar aggregates; one scan per table."""
-    ex = t.e.agg(*[F.count_if(c("status") == s).alias(s) for s in STATUSES])
-    pg = t.p.agg(F.count_if(c("ocr_text").isNull()).alias("open_pages"))
-    return ex.join(F.broadcast(pg)).join(F.broadcast(t.o.agg(F.sum(_size()).alias("bytes"))))
+    """One row of scalar aggregates; one scan per table (the size of the tables themselves is `table_bytes`)."""
+    today = c("updated_at") >= F.date_trunc("day", F.lit(NOW).cast("timestamp"))
+    ex = t.e.agg(*[F.count_if(c("status") == s).alias(s) for s in STATUSES], *[F.count_if((c("status") == s) & today).alias(f"{s}_today") for s in ("finished", "failed")])
+    pg = t.p.join(t.e.select(c("id").alias("exam"), "status"), "exam", "left").agg(F.count_if(c("ocr_text").isNull()).alias("open_pages"), F.count_if(c("status") == "processing").alias("processing_pages"))
+    # One-row tables on either side.
+    return ex.join(pg).join(t.o.agg(F.coalesce(F.sum(_size()), F.lit(0)).alias("storage_bytes"))).withColumn("processing_pages_limit", F.lit(500))
+
+
+@query()
+def table_bytes(t):
+    """A5: the size of every table's files."""
+    names = ("exams", "pages", "page_result", "storage_object", "deletion_log", "page_payload")
+    per = [getattr(t, n).select(F.lit(n).alias("name"), "_metadata.file_path", "_metadata.file_size").distinct().groupBy("name").agg(F.sum("file_size").alias("bytes"), F.count(F.lit(1)).alias("files")) for n in names]
+    out = per[0]
+    for df in per[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 @query("SELECT e.id, count(p.ocr_text) AS done, count(p.id) AS total, CASE WHEN count(p.id) > 0 THEN floor(100.0 * count(p.ocr_text) / count(p.id) + 0.5)::INT END AS percent FROM e LEFT JOIN p ON p.exam = e.id GROUP BY e.id")
@@ -388,20 +403,23 @@ def reset_report(t):
     return e.join(F.broadcast(p)).join(F.broadcast(o))
 
 
-@query("SELECT exam AS exam_id, id AS page_id, row_number() OVER (PARTITION BY exam ORDER BY page_order DESC, id) AS page_order FROM p WHERE exam IS NOT NULL AND page_order % 3 <> 0")
+def _wanted(t):
+    """(pages of exams, the wanted order: pages with a result, last one first)."""
+    p = t.p.where("exam is not null").select(c("exam").alias("exam_id"), c("id").alias("page_id"), c("page_order").cast("int").alias("page_order"), c("ocr_text").isNotNull().alias("done"))
+    wanted = mutations.numbered(p.where("done").select("exam_id", "page_id", "page_order"), ["exam_id"], [F.desc("page_order"), c("page_id")], "pos").drop("page_order")
+    return p.drop("done"), wanted
+
+
+@query("SELECT exam AS exam_id, id AS page_id, (row_number() OVER (PARTITION BY exam ORDER BY page_order DESC, id))::INT AS page_order FROM p WHERE exam IS NOT NULL AND ocr_text IS NOT NULL")
 def reordered_pages(t):
-    """Pages in a wanted (reverse) order; the unlisted third goes."""
-    rows = t.p.where("exam is not null").select(c("exam").alias("exam_id"), c("id").alias("page_id"), c("page_order").cast("int").alias("page_order"))
-    wanted = mutations.numbered(rows.where("page_order % 3 <> 0").select("exam_id", "page_id", c("page_order").alias("_o")), ["exam_id"], [F.desc("_o"), c("page_id")], "pos").drop("_o")
-    return mutations.reorder(rows, wanted, "page_id", "exam_id", "page_order", keep_unlisted=False)
+    """Pages in a wanted order, that of the pages with a result from the last; unlisted pages go."""
+    return mutations.reorder(*_wanted(t), "page_id", "exam_id", "page_order", keep_unlisted=False)
 
 
-@query("SELECT exam AS exam_id, id AS page_id, row_number() OVER (PARTITION BY exam ORDER BY CASE WHEN page_order % 3 <> 0 THEN 0 ELSE 1 END, CASE WHEN page_order % 3 <> 0 THEN -page_order ELSE page_order END, id) AS page_order FROM p WHERE exam IS NOT NULL")
+@query("SELECT exam AS exam_id, id AS page_id, (row_number() OVER (PARTITION BY exam ORDER BY ocr_text IS NULL, CASE WHEN ocr_text IS NULL THEN page_order ELSE -page_order END, id))::INT AS page_order FROM p WHERE exam IS NOT NULL")
 def patched_order(t):
     """Listed pages first in the wanted order, the unlisted after them in the old one."""
-    rows = t.p.where("exam is not null").select(c("exam").alias("exam_id"), c("id").alias("page_id"), c("page_order").cast("int").alias("page_order"))
-    wanted = mutations.numbered(rows.where("page_order % 3 <> 0").select("exam_id", "page_id", c("page_order").alias("_o")), ["exam_id"], [F.desc("_o"), c("page_id")], "pos").drop("_o")
-    return mutations.reorder(rows, wanted, "page_id", "exam_id", "page_order", keep_unlisted=True)
+    return mutations.reorder(*_wanted(t), "page_id", "exam_id", "page_order", keep_unlisted=True)
 
 
 @query("SELECT bucket_id, count(*) AS n FROM o WHERE created_at < TIMESTAMPTZ '2025-12-31 12:00:00+00' - INTERVAL 7 DAYS GROUP BY bucket_id")
@@ -433,9 +451,9 @@ def budget_admission(t):
 SELECT queue_pos, row_number() OVER (PARTITION BY exam ORDER BY page_order NULLS LAST, p.id) AS rank_in_exam, exam AS exam_id, p.id AS page_id FROM q JOIN p USING (exam) WHERE ocr_text IS NULL"""
 )
 def page_dispatch(t):
-    """Q3, Q10: open pages of queued exams in queue order, then page order. The queue itself is short."""
+    """Q3, Q10: open pages of queued exams in queue order, then page order."""
     q = t.e.where("status = 'processing'").select(c("id").alias("exam_id"), "started_at")
-    q = q.withColumn("queue_pos", F.row_number().over(Window.orderBy(F.asc_nulls_last("started_at"), "exam_id"))).drop("started_at")
+    q = mutations.positions(q, [F.asc_nulls_last("started_at"), c("exam_id")], "_at").select("exam_id", (c("_at") + 1).alias("queue_pos"))
     pages = t.p.select(c("exam").alias("exam_id"), c("id").alias("page_id"), "page_order", "ocr_text")
     return dispatch.page_queue(q, pages)
 
@@ -476,15 +494,15 @@ _CASE_PAPER = ", ".join(f"{{'diff': abs(r - {round(a * 300)} / {round(b * 300)}:
 
 
 @query(
-    f"""SELECT page_id, best.name AS paper, round(best.diff, 8) AS diff, CASE WHEN h < w THEN best.ph ELSE best.pw END AS width, CASE WHEN h < w THEN best.pw ELSE best.ph END AS height
+    f"""SELECT page_id, best.name AS paper, round(best.diff, 8) AS diff, CASE WHEN h < w THEN best.ph ELSE best.pw END AS width, CASE WHEN h < w THEN best.pw ELSE best.ph END AS height, best.diff > 0.2 AS rejected
 FROM (SELECT *, list_sort([{_CASE_PAPER}])[1] AS best FROM (SELECT id AS page_id, ocr_text.origin_width AS w, ocr_text.origin_height AS h, least(ocr_text.origin_width, ocr_text.origin_height) / greatest(ocr_text.origin_width, ocr_text.origin_height)::DOUBLE AS r
   FROM p WHERE ocr_text.origin_width > 0 AND ocr_text.origin_height > 0))"""
 )
 def nearest_format(t):
-    """Paper and target size per page."""
+    """Paper and target size per page, and whether the ratio is too far from any paper."""
     w, h = c("ocr_text.origin_width"), c("ocr_text.origin_height")
     n = geometry.nearest_paper(w, h)
-    return t.p.select(c("id").alias("page_id"), n.alias("n")).where("n is not null").select("page_id", c("n.name").alias("paper"), F.round("n.diff", 8).alias("diff"), c("n.width").alias("width"), c("n.height").alias("height"))
+    return t.p.select(c("id").alias("page_id"), n.alias("n")).where("n is not null").select("page_id", c("n.name").alias("paper"), F.round("n.diff", 8).alias("diff"), c("n.width").alias("width"), c("n.height").alias("height"), (c("n.diff") > geometry.MAX_RATIO_DIFF).alias("rejected"))
 
 
 _RESIZE = """, s AS (SELECT DISTINCT ocr_text.origin_width::DOUBLE AS w, ocr_text.origin_height::DOUBLE AS h FROM p WHERE ocr_text.origin_width > 0 AND ocr_text.origin_height > 0),
@@ -503,11 +521,19 @@ def smart_resize_dims(t):
     return s.withColumn("r", geometry.resized(c("w"), c("h"))).select("w", "h", c("r.width").alias("width"), c("r.height").alias("height"))
 
 
-@query("SELECT page_id, block_idx, round_even(x1 * 2480 / ow, 0)::BIGINT AS x1, round_even(y1 * 3508 / oh, 0)::BIGINT AS y1 FROM b WHERE x1 IS NOT NULL AND ow > 0 AND oh > 0")
+_FIT = f""", n AS (SELECT page_id, CASE WHEN h < w THEN best.ph ELSE best.pw END AS tw, CASE WHEN h < w THEN best.pw ELSE best.ph END AS th
+FROM (SELECT *, list_sort([{_CASE_PAPER}])[1] AS best FROM (SELECT id AS page_id, ocr_text.origin_width AS w, ocr_text.origin_height AS h, least(ocr_text.origin_width, ocr_text.origin_height) / greatest(ocr_text.origin_width, ocr_text.origin_height)::DOUBLE AS r
+  FROM p WHERE ocr_text.origin_width > 0 AND ocr_text.origin_height > 0)))"""
+
+
+@query(_FIT + """ SELECT page_id, block_idx, round_even(x1 * tw / ow, 0)::BIGINT AS x1, round_even(y1 * th / oh, 0)::BIGINT AS y1, round_even(x2 * tw / ow, 0)::BIGINT AS x2, round_even(y2 * th / oh, 0)::BIGINT AS y2
+FROM b JOIN n USING (page_id) WHERE x1 IS NOT NULL""")
 def resize_bbox(t):
-    """Boxes moved to A4 pixels."""
-    s = lambda v, n, o: geometry.scaled(c(v), F.lit(n), c(o)).alias(v)
-    return t.b.where("x1 is not null and ow > 0 and oh > 0").select("page_id", "block_idx", s("x1", 2480, "ow"), s("y1", 3508, "oh"))
+    """Boxes moved to the pixels of the page's nearest paper."""
+    n = geometry.nearest_paper(c("ow"), c("oh"))
+    b = t.b.where("x1 is not null and ow > 0 and oh > 0").withColumn("n", n)
+    s = lambda v, target, o: geometry.scaled(c(v), c(target), c(o)).alias(v)
+    return b.select("page_id", "block_idx", s("x1", "n.width", "ow"), s("y1", "n.height", "oh"), s("x2", "n.width", "ow"), s("y2", "n.height", "oh"))
 
 
 @query(
@@ -529,29 +555,58 @@ def stamp_antijoin(t):
     return geometry.without_stamps(f).select("page_id", "block_idx", "category")
 
 
-_COLS = """, c0 AS (SELECT page_id, (block_idx // 4)::INT AS column_idx, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM b WHERE x1 IS NOT NULL GROUP BY ALL)"""
+#: L1, L2 in SQL: the cost of every run of blocks of a page, and the cheapest prefixes one by one; ties go to the longest last column.
+_DP = """, mb AS (SELECT page_id, block_idx, ow::DOUBLE AS w, x1, y1, x2, y2, row_number() OVER (PARTITION BY page_id ORDER BY block_idx) AS i FROM b
+  WHERE x1 IS NOT NULL AND coalesce(category NOT IN ('Page-header', 'Page-footer'), true) AND ow > 0),
+rn AS (SELECT k.page_id, k.i AS hi, j.i AS lo, count(*) AS n, sum(m.x2 - m.x1) AS sw, max(m.x2) - min(m.x1) AS span, var_pop(m.x1 / m.w) AS a, var_pop((m.x1 + m.x2) * 0.5 / m.w) AS v
+  FROM mb k JOIN mb j ON j.page_id = k.page_id AND j.i <= k.i JOIN mb m ON m.page_id = k.page_id AND m.i BETWEEN j.i AND k.i GROUP BY ALL),
+rc AS (SELECT page_id, hi, list(0.95 * (n - sw / CASE WHEN span > 0 THEN span ELSE 1e-6 END) + 0.05 * 2 * a * v / (a + v + 1e-6) + 0.65 ORDER BY lo) AS run FROM rn GROUP BY page_id, hi),
+dp AS (SELECT DISTINCT page_id, 0::BIGINT AS i, [0.0::DOUBLE] AS cost, []::BIGINT[] AS back FROM mb
+  UNION ALL SELECT page_id, i + 1, list_append(cost, list_min(total)), list_append(back, list_position(total, list_min(total))::BIGINT) FROM (
+    SELECT dp.page_id, dp.i, cost, back, list_transform(range(1, len(cost) + 1), lambda j: round(cost[j] + run[j], 12)) AS total FROM dp JOIN rc ON rc.page_id = dp.page_id AND rc.hi = dp.i + 1)),
+full_ AS (SELECT page_id, arg_max(back, i) AS back, max(i) AS n FROM dp GROUP BY page_id),
+cut AS (SELECT page_id, back, n AS at, back[n] AS lo, 0 AS k FROM full_ WHERE n > 0 UNION ALL SELECT page_id, back, lo - 1, back[lo - 1], k + 1 FROM cut WHERE lo > 1),
+dc AS (SELECT mb.page_id, block_idx, x1, y1, x2, y2, (max(k) OVER (PARTITION BY mb.page_id) - k)::INT AS column_idx FROM mb JOIN cut ON cut.page_id = mb.page_id AND mb.i BETWEEN cut.lo AND cut.at)"""
+_COLS = _DP + """, c0 AS (SELECT page_id, column_idx, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM dc GROUP BY ALL)"""
 
 
 def _cols(t):
-    return geometry.union_boxes(t.b.withColumn("column_idx", F.floor(c("block_idx") / 4).cast("int")), ["page_id", "column_idx"])
+    """The boxes of the columns of every page, in pixels of the image."""
+    return geometry.union_boxes(layout.with_columns(distinct_pages(t.pages)).join(t.b, ["page_id", "block_idx"]), ["page_id", "column_idx"])
+
+
+_SECTIONS = """, l AS (SELECT *, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM c0 WINDOW w AS (PARTITION BY page_id ORDER BY column_idx)),
+k AS (SELECT *, CASE WHEN least(a2 - a1, x2 - x1) > 0 THEN greatest(least(a2, x2) - greatest(a1, x1), 0) / least(a2 - a1, x2 - x1) ELSE 0 END AS x, CASE WHEN least(b2 - b1, y2 - y1) > 0 THEN greatest(least(b2, y2) - greatest(b1, y1), 0) / least(b2 - b1, y2 - y1) ELSE 0 END AS y FROM l),
+sc AS (SELECT page_id, column_idx, x1, y1, x2, y2, sum(CASE WHEN a1 IS NULL OR (x <= 0.1 AND y >= 0.6) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY column_idx)::INT AS section_idx FROM k)"""
 
 
 @query(
-    _COLS + """, r AS (SELECT *, greatest(x2 - x1, coalesce(lead(x1) OVER w - x1 - 50, x2 - x1)) AS raw FROM c0 WINDOW w AS (PARTITION BY page_id ORDER BY column_idx))
-SELECT page_id, column_idx, round(CASE WHEN sum(raw) OVER p > 0 THEN raw / sum(raw) OVER p * greatest(2100 - 50 * (count(*) OVER p - 1), 1) ELSE raw END, 6) AS width FROM r WINDOW p AS (PARTITION BY page_id)"""
+    _COLS + _SECTIONS + """, mg AS (SELECT page_id, list_sort(list(x1)) AS s, list_sort(list(x2)) AS e, max(w) AS w FROM mb GROUP BY page_id),
+m AS (SELECT page_id, w - least(greatest(s[floor(len(s) * 0.05)::INT + 1], 75.0), 300.0) - least(greatest(w - e[len(e) - floor(len(s) * 0.05)::INT], 75.0), 300.0) AS content FROM mg),
+r AS (SELECT *, greatest(x2 - x1, coalesce(lead(x1) OVER w - x1 - 50, x2 - x1)) AS raw FROM sc WINDOW w AS (PARTITION BY page_id, section_idx ORDER BY column_idx))
+SELECT page_id, section_idx, column_idx, round(CASE WHEN sum(raw) OVER p > 0 THEN raw / sum(raw) OVER p * greatest(content - 50 * (count(*) OVER p - 1), 1) ELSE raw END, 6) AS width FROM r JOIN m USING (page_id) WINDOW p AS (PARTITION BY page_id, section_idx)"""
 )
 def column_widths(t):
-    """Column widths that fill the content width."""
-    return geometry.column_widths(_cols(t), ["page_id"], "column_idx", F.lit(2100.0)).select("page_id", "column_idx", F.round("width", 6).alias("width"))
+    """The widths of the columns of every section, filling the width between the page's content margins."""
+    main = t.b.where("x1 is not null and ow > 0").where(F.coalesce(~c("category").isin("Page-header", "Page-footer"), F.lit(True)))
+    m = geometry.content_margins(main, ["page_id"], "x1", "x2", c("ow").cast("double")).join(main.groupBy("page_id").agg(F.max("ow").alias("ow")), "page_id")
+    m = m.select("page_id", (c("ow") - c("before") - c("after")).alias("content"))
+    cols = layout.sections_of(_cols(t)).join(m, "page_id")
+    return geometry.column_widths(cols, ["page_id", "section_idx"], "column_idx", c("content")).select("page_id", "section_idx", "column_idx", F.round("width", 6).alias("width"))
 
 
 @query(
-    """, m AS (SELECT page_id, block_idx, x1 - 100 AS before, ow - 100 - x2 AS after, (x2 - x1) / (ow - 200) AS share, greatest(15, 0.1 * (ow - 200)) AS near, ow - 200 AS ref FROM b WHERE x1 IS NOT NULL)
+    """, g AS (SELECT page_id, list_sort(list(x1)) AS s, list_sort(list(x2)) AS e, max(ow)::DOUBLE AS w FROM b WHERE x1 IS NOT NULL GROUP BY page_id),
+h AS (SELECT page_id, least(greatest(s[floor(len(s) * 0.05)::INT + 1], 75.0), 300.0) AS l, w - least(greatest(w - e[len(e) - floor(len(s) * 0.05)::INT], 75.0), 300.0) AS r FROM g),
+m AS (SELECT page_id, block_idx, x1 - l AS before, r - x2 AS after, (x2 - x1) / (r - l) AS share, greatest(15, 0.1 * (r - l)) AS near, r - l AS ref FROM b JOIN h USING (page_id) WHERE x1 IS NOT NULL)
 SELECT page_id, block_idx, CASE WHEN ref <= 0 THEN 'LEFT' WHEN share <= 0.9 AND abs(before - after) <= near THEN 'CENTER' WHEN share <= 0.9 AND after <= near AND before > near THEN 'RIGHT' ELSE 'LEFT' END AS align FROM m"""
 )
 def block_alignment(t):
-    """Alignment against fixed page margins of 100."""
-    return t.b.where("x1 is not null").select("page_id", "block_idx", geometry.alignment(c("x1"), c("x2"), F.lit(100.0), c("ow") - 100.0).alias("align"))
+    """Alignment of every block between the page's content margins."""
+    b = t.b.where("x1 is not null")
+    m = geometry.content_margins(b, ["page_id"], "x1", "x2", c("ow").cast("double"))
+    b = b.join(m, "page_id")
+    return b.select("page_id", "block_idx", geometry.alignment(c("x1"), c("x2"), c("before"), c("ow") - c("after")).alias("align"))
 
 
 @query("SELECT page_id, block_idx, round(CASE WHEN sum(x2 - x1) OVER w > 0 THEN (x2 - x1) / sum(x2 - x1) OVER w ELSE 1.0 / count(*) OVER w END, 8) AS share FROM b WHERE x1 IS NOT NULL AND category IN ('Page-header', 'Page-footer') WINDOW w AS (PARTITION BY page_id, category)")
@@ -579,11 +634,7 @@ def page_twips(t):
 # Layout -----------------------------------------------------------------------------------------
 
 
-@query(
-    _COLS + """, l AS (SELECT *, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM c0 WINDOW w AS (PARTITION BY page_id ORDER BY column_idx)),
-k AS (SELECT *, CASE WHEN least(a2 - a1, x2 - x1) > 0 THEN greatest(least(a2, x2) - greatest(a1, x1), 0) / least(a2 - a1, x2 - x1) ELSE 0 END AS x, CASE WHEN least(b2 - b1, y2 - y1) > 0 THEN greatest(least(b2, y2) - greatest(b1, y1), 0) / least(b2 - b1, y2 - y1) ELSE 0 END AS y FROM l)
-SELECT page_id, column_idx, sum(CASE WHEN a1 IS NULL OR (x <= 0.1 AND y >= 0.6) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY column_idx)::INT AS section_idx FROM k"""
-)
+@query(_COLS + _SECTIONS + " SELECT page_id, column_idx, section_idx FROM sc")
 def sections_islands(t):
     """L3, L4: sections of neighbouring columns."""
     return layout.sections_of(_cols(t)).select("page_id", "column_idx", "section_idx")
@@ -605,7 +656,7 @@ _HOT = ", ".join(f"CASE WHEN category = '{n}' THEN {i} END" for i, n in ((layout
 
 
 @query(
-    f"""SELECT page_id, block_idx, list_concat([x1 / ow, y1 / oh, x2 / ow, y2 / oh, (x1 + x2) / 2 / ow, (y1 + y2) / 2 / oh, (x2 - x1) / ow, (y2 - y1) / oh],
+    f"""SELECT page_id, block_idx, list_concat([x1 / ow, x2 / ow, (x1 + x2) / 2 / ow, y1 / oh, y2 / oh, (y1 + y2) / 2 / oh, (x2 - x1) / ow, (y2 - y1) / oh],
   list_transform(range(0, 10), lambda i: CASE WHEN i = coalesce({_HOT}, -1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS features FROM b WHERE x1 IS NOT NULL AND ow > 0 AND oh > 0"""
 )
 def layout_features(t):
@@ -613,7 +664,7 @@ def layout_features(t):
     return layout.features(t.b)
 
 
-@query()
+@query(_DP + " SELECT page_id, block_idx, column_idx FROM dc")
 def column_dp(t):
     """L1, L2: the cheapest column split of every page."""
     return layout.with_columns(distinct_pages(t.pages))
@@ -622,10 +673,13 @@ def column_dp(t):
 # Text -------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, block_idx, CASE replace(lower(category), '-', '') WHEN 'listitem' THEN 'List-item' WHEN 'pageheader' THEN 'Page-header' WHEN 'pagefooter' THEN 'Page-footer' WHEN 'sectionheader' THEN 'Section-header' ELSE coalesce(category, 'Text') END AS label FROM b")
+_SPELLED = "CASE WHEN block_idx % 4 = 0 THEN upper(category) WHEN block_idx % 4 = 1 THEN lower(replace(category, '-', '_')) WHEN block_idx % 4 = 2 THEN replace(category, '-', ' ') ELSE category END"
+
+
+@query("SELECT page_id, block_idx, coalesce(category, 'Text') AS label FROM b")
 def label_normalize(t):
-    """H2."""
-    return t.b.select("page_id", "block_idx", text.label_of(c("category")).alias("label"))
+    """H2: the labels of all blocks, written in four ways, come back as they are."""
+    return t.b.select("page_id", "block_idx", text.label_of(F.expr(_SPELLED)).alias("label"))
 
 
 @query(
@@ -638,20 +692,33 @@ def bbox_parse(t):
     return t.b.select("page_id", "block_idx", text.box_of(v, c("ow"), c("oh")).alias("box"))
 
 
-@query("""SELECT page_id, block_idx, regexp_replace(text, '<th>(.*?)</th>', '**\\1**', 'gs') AS marked FROM b WHERE category = 'Table'""")
+@query("SELECT page_id, block_idx, text AS marked FROM b WHERE text IS NOT NULL")
 def inline_markup(t):
-    """H4: header cells stand for bold elements."""
-    src = F.regexp_replace(F.regexp_replace(c("text"), "<th>", "<b>"), "</th>", "</b>")
-    return t.b.where("category = 'Table'").where("text is not null or text is null").select("page_id", "block_idx", F.regexp_replace(F.regexp_replace(text.inline_markup(src), "<b>", "<th>"), "</b>", "</th>").alias("marked"))
-
-
-_NUM = r"^\s*((?:\d{1,2}(?:\.\d{1,2}){0,2}[a-zA-Z]{0,2}|[a-zA-Z]|[ivxlcdmIVXLCDM]{1,5})(?:[.)])?)\s+(.*)$"
-
-
-@query(f"""SELECT page_id, block_idx, nullif(regexp_extract(text, '{_NUM}', 1, 's'), '') AS marker FROM b WHERE category = 'List-item' AND text IS NOT NULL AND text NOT LIKE '<%'""")
+    """H4: every text with its bold parts as elements, in both names and letter cases, comes back with the signs."""
+    even, odd = "<b>$1</b>", "<STRONG class='x'>$1</STRONG>"
+    src = F.when(c("block_idx") % 2 == 0, F.regexp_replace("text", r"(?s)\*\*(.+?)\*\*", even)).otherwise(F.regexp_replace("text", r"(?s)\*\*(.+?)\*\*", odd))
+    return t.b.where("text is not null").select("page_id", "block_idx", text.inline_markup(src).alias("marked"))
+
+
+#: The lines of lists in SQL: entries of ul by their tags, any other text as one line without a marker.
+_LINES = """, li AS (SELECT page_id, block_idx, text AS raw, CASE WHEN ltrim(text) LIKE '<ul>%' THEN list_filter(list_transform(regexp_extract_all(text, '<li>([^<]*)', 1), lambda x: trim(x)), lambda x: x <> '') END AS items FROM b WHERE category = 'List-item' AND text IS NOT NULL),
+ln AS (SELECT page_id, block_idx, unnest(range(0, len(items)))::INT AS seq, 0 AS level, unnest(items) AS line FROM li WHERE items IS NOT NULL
+  UNION ALL SELECT page_id, block_idx, 0, -1, trim(raw) FROM li WHERE items IS NULL AND trim(raw) <> ''),
+tk AS (SELECT *, regexp_extract(line, '^(\\S+)\\s', 1) AS token FROM ln),
+tp AS (SELECT *, string_split(rtrim(token, '.)'), '.') AS parts, length(token) - length(rtrim(token, '.)')) AS n_end FROM tk),
+mk AS (SELECT *, CASE WHEN level < 0 OR token = '' THEN NULL WHEN token IN ('-', '*', '•', '▪', '◦', '‣', '⁃') THEN '-'
+  WHEN n_end <= 1 AND len(parts) <= 3 AND list_bool_and(list_transform(range(1, len(parts)), lambda i: length(parts[i]) BETWEEN 1 AND 2 AND TRY_CAST(parts[i] AS INT) IS NOT NULL))
+    AND length(rtrim(parts[-1], 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')) BETWEEN 1 AND 2 AND TRY_CAST(rtrim(parts[-1], 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ') AS INT) IS NOT NULL
+    AND length(parts[-1]) - length(rtrim(parts[-1], 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')) <= 2
+    THEN CASE WHEN coalesce(TRY_CAST(array_to_string(parts, '') AS INT), 0) > 100 THEN NULL ELSE token END
+  WHEN n_end <= 1 AND len(parts) = 1 AND (length(parts[1]) = 1 AND lower(parts[1]) BETWEEN 'a' AND 'z' OR length(parts[1]) BETWEEN 1 AND 5 AND translate(lower(parts[1]), 'ivxlcdm', '') = '') THEN token END AS own FROM tp)"""
+
+
+@query(_LINES + " SELECT page_id, block_idx, seq, own AS marker FROM mk WHERE level >= 0")
 def list_marker(t):
-    """Markers of plain list lines (none here is above 100 or a bullet)."""
-    return t.b.where("category = 'List-item' and text is not null and text not like '<%'").select("page_id", "block_idx", text.marker(c("text"))["marker"].alias("marker"))
+    """The markers that the entries of all lists carry themselves."""
+    rows = t.b.where("category = 'List-item' and text is not null").select("page_id", "block_idx", F.inline(markup.lines_udf("text"))).where("level >= 0")
+    return rows.select("page_id", "block_idx", "seq", text.marker(c("text"))["marker"].alias("marker"))
 
 
 @query("SELECT DISTINCT id, trim(regexp_replace(regexp_replace(title, '\\.[^.]+$', ''), '[_-]+', ' ', 'g')) AS title FROM e WHERE title IS NOT NULL")
@@ -677,30 +744,46 @@ def relative_time(t):
 
 
 @query(
-    f"""SELECT DISTINCT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (CASE WHEN n / 1024.0 < 10 THEN format('{{:.1f}}', n / 1024.0::DOUBLE) ELSE format('{{:.0f}}', n / 1024.0::DOUBLE) END) || ' KB'
-ELSE (CASE WHEN n / 1048576.0 < 10 THEN format('{{:.1f}}', n / 1048576.0::DOUBLE) ELSE format('{{:.0f}}', n / 1048576.0::DOUBLE) END) || ' MB' END AS shown FROM (SELECT {_SIZE} AS n FROM o) WHERE n IS NOT NULL AND n % 1000 <> 500"""
+    f"""SELECT DISTINCT n, CASE WHEN n < 1024 THEN n || ' B' ELSE (CASE WHEN v < 10 THEN printf('%.1f', floor(v * 10 + 0.5) / 10) ELSE printf('%.0f', floor(v + 0.5)) END) || unit END AS shown
+FROM (SELECT n, CASE WHEN n < 1048576 THEN n / 1024.0::DOUBLE ELSE n / 1048576.0::DOUBLE END AS v, CASE WHEN n < 1048576 THEN ' KB' ELSE ' MB' END AS unit FROM (SELECT {_SIZE} AS n FROM o) WHERE n IS NOT NULL)"""
 )
 def format_bytes(t):
-    """T12."""
-    return t.o.select(_size().alias("n")).where("n is not null and n % 1000 <> 500").distinct().select("n", text.format_bytes(c("n")).alias("shown"))
+    """Ties are rounded up."""
+    return t.o.select(_size().alias("n")).where("n is not null").distinct().select("n", text.format_bytes(c("n")).alias("shown"))
 
 
-@query()
+@query(
+    """, tb AS (SELECT page_id, block_idx, list_transform(string_split(text, '<tr>')[2:], lambda x: split_part(x, '</tr>', 1)) AS trs FROM b WHERE category = 'Table' AND text IS NOT NULL),
+tr AS (SELECT page_id, block_idx, unnest(range(0, len(trs)))::INT AS "row", unnest(trs) AS tr FROM tb),
+td AS (SELECT page_id, block_idx, "row", unnest(range(0, len(c))) AS k, unnest(c) AS cell FROM (SELECT *, regexp_extract_all(tr, '<t[dh](?: [^<>]*)?>[^<]*') AS c FROM tr)),
+sp AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(cell, 'colspan="(\\d+)"', 1), '') AS INT), 1) AS across FROM td)
+SELECT page_id, block_idx, "row", (sum(across) OVER w - across)::INT AS col, "row" AS end_row, (sum(across) OVER w - 1)::INT AS end_col, trim(regexp_extract(cell, '>([^<]*)$', 1)) AS text
+FROM sp WINDOW w AS (PARTITION BY page_id, block_idx, "row" ORDER BY k ROWS UNBOUNDED PRECEDING)"""
+)
 def table_grid(t):
     """Cells of every table with their place."""
     return t.b.where("category = 'Table' and text is not null").select("page_id", "block_idx", F.inline(markup.grid_udf("text")))
 
 
-@query()
+@query(
+    _LINES + """ SELECT page_id, block_idx, seq, level, CASE WHEN level >= 0 THEN coalesce(own, '-') END AS marker, CASE WHEN own IS NULL THEN line ELSE ltrim(line[length(token) + 1:]) END AS content,
+  CASE WHEN level >= 0 THEN (18 + 2 * least(length(coalesce(own, '-')), 4)) * (level + 1) ELSE 0 END AS indent_pt FROM mk"""
+)
 def list_lines(t):
-    """Lines of every list with marker and indent."""
+    """Lines of every list with marker and indent; a text without list markup is one line as it is (level -1)."""
     rows = t.b.where("category = 'List-item' and text is not null").select("page_id", "block_idx", F.inline(markup.lines_udf("text")))
     m = text.marker(c("text"))
-    mark = F.coalesce(m["marker"], F.when(c("ordered") & c("position").isNotNull(), F.concat(c("position").cast("string"), F.lit("."))).otherwise("-"))
-    return rows.select("page_id", "block_idx", "seq", "level", mark.alias("marker"), m["content"].alias("content"), text.hang_points(mark, c("level")).alias("indent_pt"))
+    listed = c("level") >= 0
+    mark = F.when(listed, F.coalesce(m["marker"], F.when(c("ordered") & c("position").isNotNull(), F.concat(c("position").cast("string"), F.lit("."))).otherwise("-")))
+    content = F.when(listed, m["content"]).otherwise(c("text"))
+    return rows.select("page_id", "block_idx", "seq", "level", mark.alias("marker"), content.alias("content"), F.when(listed, text.hang_points(mark, c("level"))).otherwise(0).alias("indent_pt"))
 
 
-@query()
+@query(
+    """, pt AS (SELECT page_id, block_idx, string_split(text, '**') AS parts FROM b WHERE text IS NOT NULL AND coalesce(category NOT IN ('Table', 'List-item', 'Picture'), true)),
+ru AS (SELECT page_id, block_idx, unnest(range(0, len(parts))) AS k, unnest(parts) AS text, len(parts) AS n FROM pt)
+SELECT page_id, block_idx, (row_number() OVER (PARTITION BY page_id, block_idx ORDER BY k) - 1)::INT AS run, text, k % 2 = 1 AS bold, false AS italic, false AS underline FROM ru WHERE text <> ''"""
+)
 def markdown_runs(t):
     """Styled runs of every inline text: all but tables, lists and pictures; a text without any marker is one plain run."""
     inline = t.b.where(c("text").isNotNull() & ~F.coalesce(c("category").isin("Table", "List-item", "Picture"), F.lit(False)))
@@ -711,7 +794,7 @@ def markdown_runs(t):
     return inline.select("page_id", "block_idx", F.posexplode(runs).alias("run", "r")).select("page_id", "block_idx", "run", "r.*")
 
 
-@query()
+@query("SELECT id, coalesce(nullif(trim(regexp_replace(strip_accents(replace(replace(nfc_normalize(title), 'đ', 'd'), 'Đ', 'D')), '[^A-Za-z0-9 _-]', '', 'g')), ''), 'de-thi') AS name FROM e WHERE title IS NOT NULL")
 def ascii_filename(t):
     """T9."""
     return t.e.where("title is not null").select("id", markup.ascii_udf("title").alias("name"))
@@ -726,16 +809,23 @@ def render_plan_layout(t):
     return render.whole_plan(t.pages)
 
 
-@query("""SELECT exam_id, page_id, page_order, block_idx, category, category IN ('Table', 'List-item') AS structured,
-  row_number() OVER (PARTITION BY page_id ORDER BY block_idx) = 1 AND page_order > 1 AS page_break FROM b WHERE category <> 'Picture' AND trim(text) <> ''""")
+@query("""SELECT b.exam_id, page_id, page_order, block_idx, category, coalesce(category IN ('Table', 'List-item'), false) AS structured,
+  row_number() OVER (PARTITION BY page_id ORDER BY block_idx) = 1 AND page_id <> lead AS page_break
+FROM b JOIN (SELECT exam AS exam_id, arg_min(id, (page_order IS NULL, page_order, id)) AS lead FROM p WHERE ocr_text IS NOT NULL GROUP BY exam) z ON z.exam_id IS NOT DISTINCT FROM b.exam_id
+WHERE coalesce(category, '') <> 'Picture' AND trim(text) <> ''""")
 def render_plan_plain(t):
     """R5, K14 (without the content column, which `markdown_runs` shows)."""
     return render.plain_plan(t.pages).drop("content")
 
 
-@query("SELECT id AS page_id, 'missing result' AS reason FROM p WHERE ocr_text IS NULL")
+@query(
+    _FIT + """ SELECT * FROM (SELECT id AS page_id, page_order::INT AS page_order, CASE WHEN ocr_text IS NULL THEN 'missing result' WHEN coalesce(best.diff > 0.2, true) THEN 'page ratio' END AS reason
+FROM p LEFT JOIN (SELECT page_id, list_sort(["""
+    + _CASE_PAPER
+    + """])[1] AS best FROM (SELECT id AS page_id, least(ocr_text.origin_width, ocr_text.origin_height) / greatest(ocr_text.origin_width, ocr_text.origin_height)::DOUBLE AS r FROM p WHERE ocr_text.origin_width > 0 AND ocr_text.origin_height > 0)) x ON x.page_id = p.id) WHERE reason IS NOT NULL"""
+)
 def export_errors(t):
-    """R6."""
+    """Pages without a result, and pages whose ratio no paper has."""
     return render.export_errors(t.pages, "layout")
 
 

@@ -1,4 +1,4 @@
-"""The render plan: what an export contains, in order and styled, without a binary format."""
+"""The render plan: what an export contains, in order and styled, without a binary format."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pagemill.operators.mutations import latest_by
 from pagemill.sources.tables import blocks, distinct_pages, norm_key
 
 
+#: Fixed value: the top and bottom margin, half an inch.
+EDGE_TWIPS = 720
+
+
 def fitted(pages: DataFrame) -> DataFrame:
     """One row per page with its boxed blocks moved to the nearest paper (F3, F4, G2-G5, G7): main, edges, w, h, rejected.
 
@@ -50,6 +54,8 @@ def whole_plan(pages: DataFrame) -> DataFrame:
     and all windows are partitioned by page.
     """
     p = fitted(pages).where("not rejected and size(main) > 0")
+    # The first rendered page of each exam: an aggregation of its own, so that no exam's rows meet in one window.
+    lead = p.groupBy("exam_id").agg(F.min(F.struct(F.col("page_order").isNull(), "page_order", "page_id")).alias("lead")).select(F.col("exam_id").alias("_exam"), F.col("lead.page_id").alias("_lead"))
     xs = lambda c: F.transform("main", lambda b: b[c])
     p = p.withColumn("col", layout.columns_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
     p = p.withColumns(geometry.margins_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
@@ -57,7 +63,7 @@ def whole_plan(pages: DataFrame) -> DataFrame:
     put = lambda b, part, col: F.struct(part.alias("part"), col.cast("int").alias("column_idx"), *[b[c].alias(c) for c in keep])
     main = F.transform("main", lambda b, k: put(b, F.lit("main"), F.element_at("col", k + 1)))
     edges = F.transform("edges", lambda b: put(b, F.when(b["category"] == "Page-header", "header").otherwise("footer"), F.lit(None)))
-    z = p.select("exam_id", "page_id", "page_order", "page_w", "left", "right", F.inline(F.concat(main, edges)))
+    z = p.select("exam_id", "page_id", "page_order", "page_w", "page_h", "left", "right", F.inline(F.concat(main, edges)))
     is_main = F.col("part") == "main"
     box, page = Window.partitionBy("page_id", "part", "column_idx"), Window.partitionBy("page_id", "part").orderBy("block_idx")
     z = z.withColumns({"cx1": F.min("x1").over(box), "cy1": F.min("y1").over(box), "cx2": F.max("x2").over(box), "cy2": F.max("y2").over(box)})
@@ -75,11 +81,26 @@ def whole_plan(pages: DataFrame) -> DataFrame:
     width = F.col("x2") - F.col("x1")
     share = F.when(~is_main, F.when(F.sum(width).over(cells) > 0, width / F.sum(width).over(cells)).otherwise(1.0 / F.count(F.lit(1)).over(cells)))
     first = is_main & (F.row_number().over(page) == 1)
-    kind = F.when(first & (F.col("page_order") > 1), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
+    # A column reaches to the next one of its section; all of a section fill the content width.
+    gap = geometry.GAP_TWIPS / geometry.TWIPS_PER_PX
+    head = is_main & (F.row_number().over(Window.partitionBy("page_id", "part", "column_idx").orderBy("block_idx")) == 1)
+    heads = Window.partitionBy("page_id", "part", "section_idx", head).orderBy("column_idx")
+    of_section = Window.partitionBy("page_id", "part", "section_idx")
+    own = F.col("cx2") - F.col("cx1")
+    z = z.withColumn("_raw", F.when(head, F.greatest(own, F.coalesce(F.lead("cx1").over(heads) - F.col("cx1") - gap, own))))
+    content = F.col("page_w") - F.col("left") - F.col("right")
+    total, n_cols = F.sum("_raw").over(of_section), F.count("_raw").over(of_section)
+    room = F.greatest(content - gap * (n_cols - 1), F.lit(1.0))
+    raw = F.max("_raw").over(box)
+    z = z.withColumns({"_content": content, "_raw_col": raw, "_total": total, "_room": room})
+    col_width = F.when(is_main, F.when(F.col("_total") > 0, F.col("_raw_col") / F.col("_total") * F.col("_room")).otherwise(F.col("_raw_col")))
+    z = z.join(lead, F.col("exam_id").eqNullSafe(F.col("_exam")))
+    kind = F.when(first & (F.col("page_id") != F.col("_lead")), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
     return z.select(
         "exam_id", "page_id", "page_order", "part", "section_idx", "column_idx", "block_idx", "category", style.alias("style"), align.alias("align"),
         text.font_points(cat).alias("font_pt"), (cat == "Title").alias("force_bold"), kind.alias("break_type"),
-        geometry.twips(F.col("page_w")).alias("page_w_twips"), geometry.twips(F.col("left")).alias("left_twips"), geometry.twips(F.col("right")).alias("right_twips"), share.alias("share"), "text",
+        geometry.twips(F.col("page_w")).alias("page_w_twips"), geometry.twips(F.col("page_h")).alias("page_h_twips"), F.when(F.col("page_h") < F.col("page_w"), "landscape").otherwise("portrait").alias("orientation"),
+        F.lit(EDGE_TWIPS).alias("top_twips"), F.lit(EDGE_TWIPS).alias("bottom_twips"), geometry.twips(col_width).alias("col_twips"), geometry.twips(F.col("left")).alias("left_twips"), geometry.twips(F.col("right")).alias("right_twips"), share.alias("share"), "text",
     )
 
 
@@ -97,11 +118,17 @@ def with_content(plan: DataFrame) -> DataFrame:
 
 def plain_plan(pages: DataFrame) -> DataFrame:
     """Text rows in order; pictures and blank texts go, tables and lists keep structure, other text loses its markup."""
-    b = blocks(distinct_pages(pages)).where("category <> 'Picture' and trim(text) <> ''")
-    structured = F.col("category").isin("Table", "List-item")
-    plain = F.when(structured, F.col("text")).otherwise(markup.plain_udf("text"))
-    first = F.row_number().over(Window.partitionBy("page_id").orderBy("block_idx")) == 1
-    return b.select("exam_id", "page_id", "page_order", "block_idx", "category", structured.alias("structured"), plain.alias("content"), (first & (F.col("page_order") > 1)).alias("page_break"))
+    b = blocks(distinct_pages(pages)).where("coalesce(category, '') <> 'Picture' and trim(text) <> ''")
+    structured = F.coalesce(F.col("category").isin("Table", "List-item"), F.lit(False))
+    marked = F.col("text").contains("*") | F.col("text").contains("__")
+    plain = F.when(structured | ~marked, F.col("text")).otherwise(markup.plain_udf(F.when(marked & ~structured, F.col("text"))))
+    at = b.groupBy("page_id").agg(F.min("block_idx").alias("_top"))
+    # A page break stands before the first block of every page but the exam's first one with a result, whatever it shows.
+    p = distinct_pages(pages).where("ocr_text is not null")
+    lead = p.groupBy(norm_key("exam_id").alias("_exam")).agg(F.min(F.struct(F.col("page_order").isNull(), "page_order", "id")).alias("lead")).select("_exam", F.col("lead.id").alias("_lead"))
+    b = b.join(at, "page_id").join(lead, F.col("exam_id").eqNullSafe(F.col("_exam")))
+    brk = (F.col("block_idx") == F.col("_top")) & (F.col("page_id") != F.col("_lead"))
+    return b.select("exam_id", "page_id", "page_order", "block_idx", "category", structured.alias("structured"), plain.alias("content"), brk.alias("page_break"))
 
 
 def pdf_plan(pages: DataFrame) -> DataFrame:
@@ -113,10 +140,16 @@ def pdf_plan(pages: DataFrame) -> DataFrame:
 
 
 def export_errors(pages: DataFrame, mode: str) -> DataFrame:
-    """Pages an export of the mode can't use, with the reason."""
+    """page_id, page_order, reason of the pages an export of the mode can't use; a layout also refuses pages of an odd ratio."""
     p = distinct_pages(pages)
-    missing = F.col("file_path").isNull() if mode == "pdf" else F.col("ocr_text").isNull()
-    return p.where(missing).select(F.col("id").alias("page_id"), F.lit("missing image" if mode == "pdf" else "missing result").alias("reason"))
+    if mode == "pdf":
+        reason = F.when(F.col("file_path").isNull(), "missing image")
+    else:
+        reason = F.when(F.col("ocr_text").isNull(), "missing result")
+        if mode != "plain":
+            diff = geometry.nearest_paper(F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"))["diff"]
+            reason = reason.when(F.coalesce(diff > geometry.MAX_RATIO_DIFF, F.lit(True)), "page ratio")
+    return p.select(F.col("id").alias("page_id"), F.col("page_order").cast("int").alias("page_order"), reason.alias("reason")).where("reason is not null")
 
 
 def export_plan(pages: DataFrame, mode: str) -> DataFrame:

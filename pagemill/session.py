@@ -23,9 +23,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only a local session may leave it unset: a temporary folder serves it then."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -55,11 +55,11 @@ def blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-def json_previews(spark: SparkSession, folder: str) -> DataFrame:
-    """Locally staged previews, one JSON file each; unreadable files are skipped, a missing folder gives no row."""
+def json_previews(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Staged previews, one JSON file each (or one a line); unreadable ones are skipped, a missing folder gives no row."""
     ddl = "previewId string, title string, createdAt string, pages array<struct<id:string,`order`:int,source:string,file:string>>, _corrupt_record string"
     try:
-        df = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+        df = spark.read.schema(ddl).option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], ddl).drop("_corrupt_record")

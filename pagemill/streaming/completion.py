@@ -1,16 +1,15 @@
-"""Keyed completion of exams from out-of-order page results (D1-D8): a batch query and its streaming twin."""
+"""Keyed completion of exams from out-of-order page results (D1, D2, D3, D4, D5, D6, D7): a batch query and its streaming twin."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "exam_id string, n_done int, total int"
-STATE = "done array<string>, total int, concluded boolean"
 
 
 def completed(results: DataFrame, totals: DataFrame) -> DataFrame:
@@ -22,25 +21,54 @@ def completed(results: DataFrame, totals: DataFrame) -> DataFrame:
     return done.join(totals, "exam_id").where("total > 0 and n_done >= total").select("exam_id", "n_done", F.col("total").cast("int").alias("total"))
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done, total, concluded = state.get if state.exists else ([], 0, False)
-    if concluded:
-        return
-    pages = set(done)
-    for b in batches:
-        pages.update(b.loc[b["ok"] & b["page_id"].notna(), "page_id"])
-        total = max(total, int(b["total"].max()))
-    concluded = 0 < total <= len(pages)
-    # A concluded exam keeps no pages: all it must remember is that it is over.
-    state.update(([] if concluded else sorted(pages), total, concluded))
-    if concluded:
-        yield pd.DataFrame([(key[0], len(pages), total)], columns=["exam_id", "n_done", "total"])
+def seeded(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """The results with those that are stored already put before them; `stored` has exam_id and page_id."""
+    rows = results.select("exam_id", "page_id", "ok")
+    return stored.select("exam_id", "page_id", F.lit(True).alias("ok")).unionByName(rows)
+
+
+class Completion(StatefulProcessor):
+    """Per exam: which pages are done (a map, so that one page touches one entry), how many, and whether it is over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = handle.getMapState("pages", "page_id string", "done boolean")
+        self.tally = handle.getValueState("tally", "n int, concluded boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        n, concluded = self.tally.get() if self.tally.exists() else (0, False)
+        total = 0
+        for b in rows:
+            if concluded:
+                continue  # late results change nothing
+            total = max(total, int(b["total"].max()))
+            for page in b.loc[b["ok"] & b["page_id"].notna(), "page_id"]:
+                if not self.pages.containsKey((page,)):
+                    self.pages.updateValue((page,), (True,))
+                    n += 1
+        over = not concluded and 0 < total <= n
+        if over:
+            self.pages.clear()  # all an exam that is over must remember is that it is over
+        self.tally.update((n, concluded or over))
+        if over:
+            yield pd.DataFrame([(key[0], n, total)], columns=["exam_id", "n_done", "total"])
+
+    def close(self) -> None:
+        pass
 
 
 def completion_stream(results: DataFrame, totals: DataFrame) -> DataFrame:
-    """Each exam once, when its distinct good pages reach the total. `results` is a stream, `totals` static."""
+    """Each exam once, when its distinct good pages reach the total. `results` is a stream, `totals` static.
+
+    State is kept by page in the RocksDB store, which the session must name (`with_state_store`).
+    """
     joined = results.join(totals, "exam_id").select("exam_id", "page_id", "ok", F.col("total").cast("int").alias("total"))
-    return joined.groupBy("exam_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return joined.groupBy("exam_id").transformWithStateInPandas(Completion(), OUT, "append", "none")
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """The session with the state store that map states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def drain(stream: DataFrame, checkpoint: str, path: str) -> None:

@@ -44,7 +44,9 @@ def test_markup_vectors():
     assert g == [(0, 0, 1, 0, "a"), (0, 1, 0, 1, "b"), (1, 1, 1, 1, "c\nd")]
     assert markup.grid("no table") == []
     assert [x[1] for x in markup.list_lines("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>")] == [0, 1, 0]
-    assert [x[4] for x in markup.list_lines("<p>x<br>y</p>")] == ["x", "y"] and [x[4] for x in markup.list_lines("p\nq")] == ["p", "q"]
+    assert [x[4] for x in markup.list_lines("<p>x<br>y</p>")] == ["x", "y"] and markup.list_lines("p\nq") == [(0, -1, False, None, "p\nq")]
+    assert [x[4] for x in markup.list_lines("<ul><li>a <b>b</b>c<br>d</li><li> </li></ul><p>x\ny<b>z</b><br/>w</p>")] == ["a b c d", "x\ny z", "w"]
+    assert [x[3] for x in markup.list_lines("<ol><li></li><li>q</li></ol>")] == [2] and markup.list_lines("<ul><li>a</li><l")[0][4] == "a" and markup.parse("a < b").text() == "a < b"
     blocks = markup.response_blocks('<div data-bbox="0 0 10 10" class="List-Item x"><ul><li>q</li></ul><div data-bbox="1 1"><h1>T</h1></div></div>', 1000, 1000)
     assert [(b[1], b[3]) for b in blocks] == [("List-item", None), ("Title", None)] and blocks[1][0] == []
     assert markup.response_blocks(None, 1, 1) == [([], "Text", "", None)]

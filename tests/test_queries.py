@@ -6,7 +6,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
-Q, S = entry.queries(), entry.oracle_sql()
+#: The core's queries; those over training text have their own tests.
+Q = {k: f for m in entry.CORE for k, f in m.QUERIES.items()}
+S = {k: q for m in entry.CORE for k, q in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,21 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_survives_without_the_text_package(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "pagemill.llm", None)
+    monkeypatch.setitem(sys.modules, "pagemill.llm.queries", None)
+    assert set(entry.queries()) == set(Q) and set(entry.oracle_sql()) == set(S)
+
+
+def test_sizes_of_tables(spark, sf):
+    import os
+
+    got = {r["name"]: (r.bytes, r.files) for r in Q["table_bytes"](spark, sf).collect()}
+    assert got == {n: (os.path.getsize(f"{sf}/{n}.parquet"), 1) for n in got} and len(got) == 6
+
+
 def test_core_needs_no_llm():
     code = "import sys; sys.modules['pagemill.llm'] = None\nfrom pagemill.plans import found, relational, render\nimport pagemill.streaming.completion\nassert not [m for m in sys.modules if m.startswith('pagemill.llm.')]"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
@@ -37,7 +54,9 @@ def test_core_needs_no_llm():
 def test_completion_stream_equals_batch(spark, sf, tmp_path):
     from pyspark.sql import functions as F
 
-    from pagemill.streaming.completion import completed, completion_stream, drain
+    from pagemill.streaming.completion import completed, completion_stream, drain, with_state_store
+
+    with_state_store(spark)
 
     results = spark.read.parquet(f"{sf}/page_result.parquet")
     totals = results.groupBy("exam_id").agg(F.countDistinct("page_id").alias("total"))
@@ -52,6 +71,37 @@ def test_completion_stream_equals_batch(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
 
 
+def test_recomputed_on_change(spark, sf, tmp_path):
+    from pagemill.streaming.completion import on_change
+
+    rows = spark.read.parquet(f"{sf}/exams.parquet")
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):
+        on_change(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), seen.append, str(tmp_path / "cp")).awaitTermination()
+    assert seen == [0]
+    rows.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+    on_change(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), seen.append, str(tmp_path / "cp")).awaitTermination()
+    assert seen == [0, 1]
+
+
+def test_numbers_of_a_hot_group(spark):
+    """Numbers run without gaps in every group, also where one holds most rows, null groups included."""
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import mutations
+
+    rows = [("hot" if i % 10 else None if i % 20 else f"g{i}", (i * 7919) % 3001, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(7)
+    got = {r.id: r.n for r in mutations.numbered(df, ["g"], [F.col("v"), F.col("id")], "n").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
+            want[r[2]] = n
+    assert got == want
+    assert mutations.positions(df.limit(0), [F.col("id")], "at").count() == 0
+
+
 def test_flagship_keeps_every_block_once(spark, sf):
     from pyspark.sql import functions as F
 
