@@ -90,12 +90,10 @@ def exam_ids(t):
     return t.exams.select("id").distinct()
 
 
-@query("SELECT id AS page_id, page_order::INT AS page_order FROM p WHERE exam = (SELECT min(exam) FROM p)")
+@query("SELECT exam AS exam_id, id AS page_id, page_order::INT AS page_order FROM p WHERE exam IS NOT NULL")
 def exam_pages(t):
-    """The pages of one exam in order."""
-    p = t.p
-    first = p.agg(F.min("exam").alias("exam"))
-    return p.join(F.broadcast(first), "exam", "left_semi").select(c("id").alias("page_id"), c("page_order").cast("int").alias("page_order")).orderBy("page_order")
+    """The pages of every exam in order."""
+    return t.p.where("exam is not null").select(c("exam").alias("exam_id"), c("id").alias("page_id"), c("page_order").cast("int").alias("page_order")).orderBy("exam_id", "page_order", "page_id")
 
 
 @query("SELECT DISTINCT file_path FROM p WHERE file_path IS NOT NULL AND exam IN (SELECT id FROM e WHERE status = 'failed')")
@@ -224,10 +222,11 @@ def overlay_percent(t):
     return t.b.where("x1 is not null and iw > 0 and ih > 0").select("page_id", "block_idx", F.round(geometry.overlay(c("x1"), c("iw")), 6).alias("pl"), F.round(geometry.overlay(c("y1"), c("ih")), 6).alias("pt"))
 
 
-@query("SELECT exam AS exam_id, count(*) > 0 AND bool_and(file_path IS NOT NULL AND ocr_text IS NOT NULL) AS ready FROM p WHERE exam IS NOT NULL GROUP BY exam")
+@query(f"SELECT lower(split_part(name, '/', 1)) AS exam_id, count(*) AS n_items, bool_and({_SIZE} IS NOT NULL) AS ready FROM o WHERE name LIKE '%/%' GROUP BY 1")
 def ready_exams(t):
-    """ready when there are pages and none lacks its file or result."""
-    return t.p.where("exam is not null").groupBy(c("exam").alias("exam_id")).agg(F.bool_and(c("file_path").isNotNull() & c("ocr_text").isNotNull()).alias("ready"))
+    """an upload is ready when it has items and none of them is broken (an object without a readable size)."""
+    o = t.o.where("name like '%/%'").select(F.lower(F.split("name", "/")[0]).alias("exam_id"), _size().isNotNull().alias("whole"))
+    return o.groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_items"), F.bool_and("whole").alias("ready"))
 
 
 @query("SELECT DISTINCT exam_id FROM page_result WHERE exam_id IN (SELECT id FROM e WHERE status = 'processing')")
@@ -809,13 +808,13 @@ def render_plan_layout(t):
     return render.whole_plan(t.pages)
 
 
-@query("""SELECT b.exam_id, page_id, page_order, block_idx, category, coalesce(category IN ('Table', 'List-item'), false) AS structured,
+@query("""SELECT b.exam_id, page_id, page_order, block_idx, category, coalesce(category IN ('Table', 'List-item'), false) AS structured, CASE WHEN category IN ('Table', 'List-item') THEN text ELSE replace(text, '**', '') END AS content,
   row_number() OVER (PARTITION BY page_id ORDER BY block_idx) = 1 AND page_id <> lead AS page_break
 FROM b JOIN (SELECT exam AS exam_id, arg_min(id, (page_order IS NULL, page_order, id)) AS lead FROM p WHERE ocr_text IS NOT NULL GROUP BY exam) z ON z.exam_id IS NOT DISTINCT FROM b.exam_id
 WHERE coalesce(category, '') <> 'Picture' AND trim(text) <> ''""")
 def render_plan_plain(t):
-    """R5, K14 (without the content column, which `markdown_runs` shows)."""
-    return render.plain_plan(t.pages).drop("content")
+    """Text rows in order; text loses its inline markup, tables and lists keep theirs."""
+    return render.plain_plan(t.pages)
 
 
 @query(

@@ -228,9 +228,9 @@ def queue_gauges(t):
 
 @query("SELECT exam AS preview_id, id AS page_id, page_order::INT AS page_order, file_path AS file FROM p WHERE exam IS NOT NULL")
 def staged_previews(t):
-    """One preview a exam written as JSON, read again, and its pages looked up."""
+    """Previews of exams written as JSON, read again, and their pages looked up; a preview holds a thousand page numbers, so a long exam has several."""
     pages = F.sort_array(F.collect_list(F.struct(c("page_order").cast("int").alias("order"), c("id").alias("id"), F.lit("upload").alias("source"), c("file_path").alias("file"))))
-    staged = t.p.where("exam is not null").groupBy(c("exam").alias("previewId")).agg(F.lit("").alias("title"), F.lit("").alias("createdAt"), pages.alias("pages"))
+    staged = t.p.where("exam is not null").groupBy(c("exam").alias("previewId"), F.floor(c("page_order") / 1000).alias("part")).agg(F.lit("").alias("title"), F.lit("").alias("createdAt"), pages.alias("pages")).drop("part")
     folder = f"{ensure_checkpoint_dir(t.spark)}/previews-{uuid.uuid4().hex}"
     staged.write.json(folder)
     return preview_pages(json_previews(t.spark, folder, lines=True)).select(c("previewId").alias("preview_id"), "page_id", "page_order", "file")
