@@ -3,11 +3,11 @@
 The tables and their foreign keys form a graph. Round 0 finds the direct orphans of every key of the graph at
 once: a reference is judged by its key, so all evidence about a key (who refers to it, whether it exists and since
 when, whether it was deleted) is brought together in one aggregation on (reference, key), with map-side combine: a key
-that a third of all rows refer to costs one row per task. Only keys with a problem go back to the referring rows,
-salted, so that a hot missing key spreads over SALT tasks.
+that a third of all rows refer to costs one row per task. Only keys with a problem go back to the referring rows: they
+are sent to the tasks when their number allows, else salted, so that a hot missing key spreads over SALT tasks.
 
 From there the cascade goes down the graph to a fixpoint: children of records orphaned in the last round (the frontier)
-are orphaned too, found by salted semi-joins. It ends when a round finds nothing new. Frontiers are checkpointed in
+are orphaned too, found by semi-joins of the same kind. It ends when a round finds nothing new. Frontiers are checkpointed in
 the shared folder.
 
 Defined results: a null reference is none; keys are compared as the tables give them (normalise first); repeated rows
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pagemill.session import cut_lineage
 
 SALT = 16
+#: Keys that are sent to the tasks at most; each is an id or a path.
+SENT_ROWS = 200_000
 #: States of a direct orphan whose children are orphaned too; a late parent is there in the end.
 LASTING = ("deleted", "missing")
 _FOUND = "table string, row_key string, field string, state string, at timestamp, round int"
@@ -55,6 +57,13 @@ def _salted(hot: DataFrame) -> DataFrame:
     return hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
+def _meet(rows: DataFrame, hot: DataFrame, keys: list[str], how: str, spread: list[str]) -> DataFrame:
+    """`rows` joined with `hot` (written, unique by `keys`): sent to the tasks when its counted rows allow, else salted by `spread`."""
+    if hot.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(hot), keys, how)
+    return rows.withColumn("salt", _salt(*spread)).join(_salted(hot), [*keys, "salt"], how).drop("salt")
+
+
 def _salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALT)).cast("int")
 
@@ -77,7 +86,7 @@ def direct_orphans(tables: dict[str, DataFrame], keys: list[ForeignKey], log: Da
     bad = evidence.where("refs = 1 and (there = 0 or born > landed)").select(
         "ref", "key", "born", F.when(F.col("there") == 1, "late").when(F.col("gone") == 1, "deleted").otherwise("missing").alias("state")
     )
-    hit = refs.withColumn("salt", _salt("row_key", "at")).join(_salted(bad), ["ref", "key", "salt"]).where("state <> 'late' or born > at")
+    hit = _meet(refs, cut_lineage(bad), ["ref", "key"], "inner", ["row_key", "at"]).where("state <> 'late' or born > at")
     place = F.split("ref", r"\.")
     return hit.groupBy("ref", "row_key").agg(F.min(F.struct(F.col("state"), F.col("at"))).alias("s")).select(
         place[0].alias("table"), "row_key", place[1].alias("field"), "s.state", "s.at"
@@ -95,11 +104,19 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], log: Da
     frontier = found.where(F.col("state").isin(*LASTING))
     for r in range(1, max_rounds + 2):
         grown = []
+        # At most one name for each table.
+        present = {x["table"] for x in frontier.select("table").distinct().collect()}
         for k in keys:
-            up = tables[k.parent].select("row_key", F.col(k.key).alias("key")).join(frontier.where(F.col("table") == k.parent).select("row_key").distinct(), "row_key", "left_semi")
-            up = _salted(up.where("key is not null").select("key").distinct())
-            rows = tables[k.child].where("row_key is not null").select("row_key", "at", F.col(k.column).alias("key")).withColumn("salt", _salt("row_key"))
-            grown.append(rows.join(up, ["key", "salt"], "left_semi").select(F.lit(k.child).alias("table"), "row_key", F.lit(k.column).alias("field"), "at"))
+            if k.parent not in present:
+                continue
+            up = frontier.where(F.col("table") == k.parent).select("row_key").distinct()
+            if k.key != "row_key":
+                up = tables[k.parent].select("row_key", F.col(k.key).alias("key")).join(up, "row_key", "left_semi").drop("row_key")
+            up = cut_lineage(up.toDF("key").where("key is not null").distinct())
+            rows = tables[k.child].where("row_key is not null").select("row_key", "at", F.col(k.column).alias("key"))
+            grown.append(_meet(rows, up, ["key"], "left_semi", ["row_key"]).select(F.lit(k.child).alias("table"), "row_key", F.lit(k.column).alias("field"), "at"))
+        if not grown:
+            break
         first = _union(grown).groupBy("table", "row_key").agg(F.min("field").alias("field"), F.min("at").alias("at"))
         new = first.join(found.select("table", "row_key"), ["table", "row_key"], "left_anti").select("table", "row_key", "field", F.lit("inherited").alias("state"), "at", F.lit(r).alias("round"))
         new = cut_lineage(new)

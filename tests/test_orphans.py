@@ -27,7 +27,9 @@ PLANTED = (
 )
 
 
-def test_direct_and_inherited(spark):
+@pytest.mark.parametrize("sent", [orphans.SENT_ROWS, -1])
+def test_direct_and_inherited(spark, monkeypatch, sent):
+    monkeypatch.setattr(orphans, "SENT_ROWS", sent)
     got = {(r.table, r.row_key, r.field, r.kind, r.state, r.round) for r in orphans.orphan_cascade(*frames(spark, *PLANTED)).collect()}
     assert got == {
         ("pages", "b", "exam_id", "direct", "deleted", 0), ("pages", "b", "file_path", "direct", "missing", 0), ("pages", "d", "exam_id", "direct", "late", 0), ("pages", "d", "file_path", "direct", "late", 0),
