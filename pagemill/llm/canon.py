@@ -151,7 +151,8 @@ def _segment(text: str) -> str:
 
 
 #: What a segment may be: an unbroken run between ordinary blanks, tabs and line breaks.
-_RUN = re.compile("[^ \t\n\r]+")
+_BLANKS = " \t\n\r"
+_RUN, _BLANK = re.compile("[^ \t\n\r]+"), re.compile("[ \t\n\r]")
 
 
 def canonical(text: str | None) -> str | None:
@@ -166,7 +167,18 @@ def canonical(text: str | None) -> str | None:
 
     if not unstable(text):
         return text
-    return _RUN.sub(lambda m: _segment(m.group()) if unstable(m.group()) else m.group(), text)
+    if astral(text):
+        return _RUN.sub(lambda m: _segment(m.group()) if unstable(m.group()) else m.group(), text)
+    out, at = [], 0
+    for m in p["any"].finditer(text):
+        if m.start() < at:
+            continue
+        begin = max(text.rfind(c, at, m.start()) for c in _BLANKS) + 1 or at
+        end = _BLANK.search(text, m.end())
+        end = end.start() if end else len(text)
+        out += [text[at:begin], _segment(text[begin:end])]
+        at = end
+    return "".join(out) + text[at:]
 
 
 @F.pandas_udf(T.StringType())
