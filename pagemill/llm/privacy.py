@@ -1,19 +1,19 @@
 """Personal information inside free text: mentions found and replaced by typed placeholders.
 
-Two kinds of evidence:
+How strongly a term reveals a protected person is estimated from the corpus. Its disclosure is the log ratio (bits) of its
+odds to stand with a person to the odds of its like, drawn towards 0 for terms seen seldom:
 
-* direct identifiers (email, phone, identity number, street address) have a form; overlapping forms
-  are settled by one rule: the longer digit run decides, and codes of papers, books and files don't
-  have any of the forms;
-* names have no form. How strongly a term reveals a protected person is estimated from the
-  corpus: for every capitalised sequence of terms, each term at its place in the runs of the sequence is
-  counted with and without a direct identifier right after it. The disclosure of a term is the log
-  ratio (bits) of its odds to the corpus odds, drawn towards 0 for terms seen seldom; the disclosure of a run is the sum
-  over its terms. A run above THRESHOLD is a person. Place, school, inn and boat names never stand with
-  identifiers and come out negative, even when made of the same syllables.
+* names: the terms are the words of capitalised sequences, each at its place in the runs of the sequence, counted with and
+  without an identifier right after it. The disclosure of a run is the sum over its terms; a run above THRESHOLD is a
+  person. Place, school, inn and boat names never stand with identifiers and come out negative, even when made of the same
+  syllables;
+* numbers, mail addresses and street addresses: a form says what kind a value may be and where it begins and ends; the term is
+  its shape (digits and letters as classes, the signs of a mail address, the type word of a street), counted with and without
+  a capitalised sequence or another such value right before it. A shape the corpus shows not to stand with persons (HIDDEN
+  or less) is a code, whatever its form;
+* streets without a type word (a bare "12 Name") are known by names that stand after a type word elsewhere in the corpus.
 
-Streets without a type word (a bare "12 Name") are known by the same co-occurrence: names that stand
-after a type word elsewhere in the corpus.
+What exceeds its threshold is removed, its kind left in its place.
 
 Each text is read once: its identifiers and capitalised sequences are kept as facts beside the counts of terms, and
 judged without the text when the counts are complete. The tables of terms and streets hold every term; they are sent to
@@ -30,12 +30,12 @@ import json
 import math
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,8 @@ from pagemill.llm.scan import Shared
 THRESHOLD, FIRST, WORST = 5.0, 0.5, -2.5
 #: A term counts as if it had been seen this often at the odds of the corpus before: what is seen seldom says little.
 PRIOR = 0.5
+#: A shape whose odds to stand with a person are at or below these bits (5 %) is no identifier; it counts as if seen SHAPE_PRIOR times at even odds before.
+HIDDEN, SHAPE_PRIOR = -4.25, 5.0
 #: Runs of up to this many terms are counted and judged; a person found in so many goes on over further disclosing terms.
 TERMS = 5
 #: An identifier is right after a name when it begins within this many characters of it, in the same sentence.
@@ -96,6 +98,9 @@ _PLUS = re.compile(r"\(?\+\d{1,3}\)?(?:[ .\-\n]?\(?\d{1,4}\)?){2,6}")
 _US = re.compile(r"(?<![\w.\-])(?:\(\d{3}\)[ \n]?\d{3}[ .\-\n]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])")
 _FILE = re.compile(r"\d{4}-\d{4}-\d{3}\Z")
 
+_MAIL_WORD = re.compile(r"[\w.+\-]+")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
+_TYPE_WORDS = frozenset(w.rstrip(".").lower() for w in STREET_TYPES_EN + STREET_TYPES_FR + STREET_TYPES_VI)
 _SENTENCE = re.compile(r"\n\n|[.?!]\s")
 _SEQ = re.compile(rf"{_CAP}(?:(?:,?[ \n])(?:[A-Z]\.(?=[ \n])|{_CAP}))+")
 _TERM = re.compile(rf"\b[A-Z]\.(?=[ \n])|{_CAP}")
@@ -191,9 +196,19 @@ def forms(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, list[t
     return found, bare, typed
 
 
+def shape_of(kind: str, value: str) -> str:
+    """What the corpus counts of a value: its kind with its shape."""
+    if kind == "email":
+        return "email " + _MAIL_WORD.sub("w", value)
+    if kind == "address":
+        word = next((w for w in re.findall(r"[^\W\d_]+", value.lower()) if w in _TYPE_WORDS), "")
+        return "address " + word
+    return f"{kind} " + _LETTER.sub("A", _DIGIT.sub("9", value.replace("\n", " ")))
+
+
 def settled(found: list, bare: list, streets: frozenset[str] | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of identifiers, not overlapping, in order; bare streets count when their name is in `streets`."""
-    found = [tuple(f) for f in found]
+    found = [tuple(f[:3]) for f in found]
     for start, names in bare if streets else ():
         end = next((e for n, e in names if n in streets), None)
         if end is not None:
@@ -263,8 +278,9 @@ def runs(terms: list[list]) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
 
 
 def facts_of(text: str, tally: dict | None = None) -> dict:
-    """What is kept of a text: identifiers by form, bare streets, sequences; counts its terms and streets into `tally`."""
+    """What is kept of a text: identifiers by form with their shapes, bare streets, sequences; counts terms, shapes and streets into `tally`."""
     found, bare, typed = forms(text)
+    found = [(s, e, k, shape_of(k, text[s:e])) for s, e, k in found]
     seqs = sequences(text)
     if tally is not None:
         marks = settled(found, bare, None)
@@ -280,6 +296,12 @@ def facts_of(text: str, tally: dict | None = None) -> dict:
                     tally.setdefault(("term", *key), [0, 0])[0 if near else 1] += 1
         for name in typed:
             tally.setdefault(("street", name, ""), [0, 0])[0] += 1
+        ends = sorted([t[-1][1] for t in seqs] + [e for _, e, _ in marks])
+        kept = {f[:3]: f[3] for f in found}
+        for s, shape in ((s, kept[s, e, k]) for s, e, k in marks):
+            x = bisect_right(ends, s) - 1
+            near = x >= 0 and s - ends[x] <= NEAR and not _SENTENCE.search(text[ends[x] : s])
+            tally.setdefault(("shape", shape, ""), [0, 0])[0 if near else 1] += 1
     return {"found": found, "bare": bare, "seqs": seqs}
 
 
@@ -311,13 +333,18 @@ def disclosure(rows: DataFrame, most: int | None = None) -> tuple[Shared, Shared
     """(bits of every term at its place, names of streets) from the counts of `examined`, over all documents."""
     from pagemill.session import cut_lineage
 
-    t = rows.where("kind = 'term'").groupBy("term", "place").agg(F.sum("n_with").alias("w"), F.sum("n_without").alias("wo"))
+    t = rows.where("kind in ('term', 'shape')").groupBy("kind", "term", "place").agg(F.sum("n_with").alias("w"), F.sum("n_without").alias("wo"))
     t = cut_lineage(t)
-    w, wo = t.agg(F.sum("w"), F.sum("wo")).first()
-    rate = (w or 0) / max(1, (w or 0) + (wo or 0))
-    rate = min(max(rate, 1e-9), 1 - 1e-9)
-    odds = (F.col("w") + PRIOR * rate) / (F.col("wo") + PRIOR * (1 - rate)) / F.lit(rate / (1 - rate))
-    bits = t.select(F.concat("term", F.lit(" "), "place").alias("key"), F.log2(odds).alias("bits"))
+    w, wo = t.where("kind = 'term'").agg(F.sum("w"), F.sum("wo")).first()
+    w, wo = w or 0, wo or 0
+
+    def bits_of(kind: str, key: Column, prior: float, rate: float, base: float) -> DataFrame:
+        odds = (F.col("w") + prior * rate) / (F.col("wo") + prior * (1 - rate)) / F.lit(base)
+        return t.where(F.col("kind") == kind).select(key.alias("key"), F.log2(odds).alias("bits"))
+
+    rate = min(max(w / max(1, w + wo), 1e-9), 1 - 1e-9)
+    names = bits_of("term", F.concat("term", F.lit(" "), "place"), PRIOR, rate, rate / (1 - rate))
+    bits = names.unionByName(bits_of("shape", F.concat(F.lit("#"), "term"), SHAPE_PRIOR, 0.5, 1.0))
     streets = rows.where("kind = 'street'").select(F.col("term").alias("name")).distinct()
     return Shared(bits, "key", ["key", "bits"], most), Shared(cut_lineage(streets), "name", ["name"], most)
 
@@ -343,7 +370,7 @@ def persons(seqs: list, bits: dict[str, float], taken: list[tuple[int, int, str]
 
 def judged(facts: dict, bits: dict[str, float], streets: frozenset[str]) -> list[tuple[int, int, str]]:
     """All mentions of the text that the facts are of, in order."""
-    ids = settled(facts["found"], facts["bare"], streets)
+    ids = settled([f for f in facts["found"] if bits.get("#" + f[3], 0.0) > HIDDEN], facts["bare"], streets)
     return sorted(ids + persons(facts["seqs"], bits, ids))
 
 
@@ -353,7 +380,8 @@ def mentions_of(text: str | None, bits: dict[str, float], streets: frozenset[str
 
 
 def _asked_terms(row: dict) -> set[str]:
-    return {f"{t[2]} {p}" for terms in json.loads(row["facts"])["seqs"] for t in terms if t[2] for p in "fml"}
+    facts = json.loads(row["facts"])
+    return {f"{t[2]} {p}" for terms in facts["seqs"] for t in terms if t[2] for p in "fml"} | {"#" + f[3] for f in facts["found"]}
 
 
 def _asked_streets(row: dict) -> set[str]:

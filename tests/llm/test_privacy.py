@@ -80,6 +80,20 @@ def test_recall_of_planted_values(spark):
     assert a == b and "[EMAIL]" in a[0][2] and "Osier" not in a[0][2]
 
 
+def test_shapes_that_stand_with_nobody_are_codes(spark):
+    """The same form is an identifier where it stands with persons, and a code where it never does."""
+    names = ["Petra Hexley", "Oswin Tarrel", "Maud Dunwick"]
+    people = [f"{names[i % 3]}, passport ZZ455{i:04d}; and {names[(i + 1) % 3]} (call 060 862 {1000 + i})." for i in range(60)]
+    parts = [f"the crate with the part QP990{i:04d} was weighed and put back on the shelf." for i in range(60)]
+    codes = [f"the crate with the part Q990{i:04d} was weighed and put back on the shelf." for i in range(60)]
+    got = lambda texts: {(r.doc_id, r.kind) for r in privacy.mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = got(people + codes)
+    assert {(i, "id_number") for i in range(60)} <= found and not {f for f in found if f[0] >= 60}
+    # A shape that stands with persons as well is one everywhere.
+    assert {(60 + i, "id_number") for i in range(60)} <= got(people + parts)
+    assert privacy.shape_of("email", "a.b [at] mail [dot] example") == "email w [w] w [w] w" and privacy.shape_of("address", "12 chemin de la Lanterne") == "address chemin"
+
+
 def test_long_text_and_repeats(spark):
     t = "câu hỏi " * 60_000 + "Gọi 0609590575 nhé"
     docs = spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")
