@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.canon import canonical
 from pagemill.llm.scan import (
-    EDGE_BLOCKS, EDGE_LABELS, EDGE_LINES, HYPHENS, NOISE_RATIO, TOKEN, Lexicon, Shared, counted, is_page_number, lexicon_of, make_lexicon, misreads, page_rows, repairable, shape, shared_lexicon, skeleton, split_tail,
+    EDGE_BLOCKS, EDGE_LABELS, EDGE_LINES, HYPHENS, NOISE_RATIO, Lexicon, Shared, counted, is_page_number, lexicon_of, make_lexicon, misreads, page_rows, repairable, shape, shared_lexicon, skeleton, split_tail, tokens,
 )
 from pagemill.session import cut_lineage
 from pagemill.sources.tables import norm_key
@@ -103,7 +103,7 @@ class Decoder:
         if v is None:
             if len(self.known_) >= self.most:
                 self.known_.clear()
-            v = self.known_[piece] = _MARK not in piece and all(map(self._fine, TOKEN.findall(piece)))
+            v = self.known_[piece] = _MARK not in piece and all(self._fine(m.group()) for m in tokens(piece))
         return v
 
     def _fine(self, token: str) -> bool:
@@ -122,7 +122,7 @@ class Decoder:
 
     def _decoded(self, s: str) -> tuple[str, frozenset[str]]:
         spans = []
-        for m in TOKEN.finditer(s):
+        for m in tokens(s):
             tok = m.group()
             # A sign at the end that may be a letter or an exclamation mark.
             spans.append((m.start(), m.end() - (tok[-1] == "!" and (tok[:-1].lower() in self.lex or len(tok) < 3))))
@@ -259,8 +259,7 @@ def _tokens_asked(row: dict) -> set[str]:
     out = set()
     for t in row["texts"]:
         if isinstance(t, str):
-            toks = [shape(m.group().rstrip("!")) for m in TOKEN.finditer(canonical(t))] + [shape(m.group()) for m in TOKEN.finditer(canonical(t))]
-            out.update(toks)
+            out.update(shape(w) for m in tokens(canonical(t)) for w in (m.group(), m.group().rstrip("!")))
             words = [shape(x) for x in _PAIR.findall(canonical(t))]
             out.update(words)
             out.update(a + b for a, b in zip(words, words[1:]))
@@ -278,7 +277,7 @@ def _stretches_asked(row: dict) -> set[str]:
         if isinstance(t, str):
             pieces, todo = decoder.stretches(canonical(t))
             for lo, hi in todo:
-                s = shape("".join(m.group() for m in TOKEN.finditer(" ".join(pieces[lo:hi]))))
+                s = shape("".join(m.group() for m in tokens(" ".join(pieces[lo:hi]))))
                 out.update(s[i:j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + row["_longest"]) + 1))
     return out
 

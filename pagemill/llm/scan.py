@@ -40,12 +40,17 @@ _SIMPLE = {"e": "c", "f": "t", "l": "i", "1": "i", "!": "i", "|": "i", "0": "o",
 _COMPOUND = {"m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv"}
 _SHAPES = str.maketrans(_SIMPLE | _COMPOUND)
 HYPHENS = "-¬­‐‑"
-#: A word as a scanner may have read it: letters with digits or signs among them.
-TOKEN = re.compile(r"(?:[^\W_]|[!|$@](?=[^\W\d_]))*[^\W\d_](?:[^\W_]|[!|$@](?=[^\W\d_]))*!?")
+_RUN = re.compile(r"(?:[^\W_]|[!|$@](?=[^\W\d_]))++!?")
+_ANY_LETTER = re.compile(r"[^\W\d_]")
 _CLASSLIKE = re.compile(r"\d+[^\W\d_]{1,2}\d*\Z|[^\W\d_]\d+\Z")
 _NUMBERLIKE = re.compile(r"[\dlIiOo|!]+\Z")
 
 
+def tokens(text: str) -> list[re.Match]:
+    """The words of a text as a scanner may have read them: runs of letters with digits or signs among them, one letter at least."""
+    return [m for m in _RUN.finditer(text) if _ANY_LETTER.search(m.group())]
+
+
 def shape(word: str) -> str:
     """The word with every letter as its simplest shapes: equal for a word and all its misreadings, and additive over parts."""
     return word.lower().translate(_SHAPES)
@@ -312,7 +317,7 @@ PAGE_NUMBER = re.compile(
     rf"[\s\-–—·•\[(|]*(?:(?:[Pp]\s*[a@4]\s*[gq9]\s*[ec3]|PAGE|PACE|[Tt][rn]+[a4]?(?:n|ri)[gq9]|TRANG|[Tt]r|[Pp]|[Pp]g)\b\.?\s*)?"
     rf"(?P<n>{_NUM})(?:\s*(?:/|\||of|0f|sur|tr[êe](?:n|ri)|TRÊN|OF|SUR|trôn)\s*(?P<t>{_NUM}))?[\s\-–—·•\])]*\Z"
 )
-_TAIL = re.compile(r"(?:\s+[|–—-]\s+|\s{2,}|\t)(?=\S(?:[^|–—]|[|–—-])*\Z)")
+_TAIL = re.compile(r"(?<!\s)(?:\s++[|–—-]\s+|\s{2,}|\t)(?=\S)")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8"})
 
@@ -376,7 +381,7 @@ def skeleton(line: str) -> str:
 EDGE_LABELS = ("Page-header", "Page-footer")
 #: The top and bottom of a page are its first and last two blocks, and of these the first and last two lines.
 EDGE_BLOCKS = EDGE_LINES = 2
-_NUMBERS = re.compile(r"(?<![^\W_])[\dlIO|!]*\d[\dlIO|!]*(?![^\W_])")
+_NUMBERS = re.compile(r"(?<![^\W_])(?<![|!])[lIO|!]*+\d[\dlIO|!]*+(?![^\W_])")
 
 
 def masked(line: str) -> str:

@@ -221,3 +221,15 @@ def test_clashing_columns(spark):
     pages = frame(spark, mixed(spark)).withColumns({c: F.lit("x") for c in ("kind", "word", "_lex", "labels", "n", "key", "shape")})
     assert repair.found_noise(pages).count() == repair.found_noise(frame(spark, mixed(spark))).count()
     assert truncation.cut_blocks(pages).count() == truncation.cut_blocks(frame(spark, mixed(spark))).count()
+
+
+def test_very_long_texts(spark):
+    """Nothing takes more than its length: long runs of digits, letters, blanks and signs, and a text of many words."""
+    import time
+
+    odd = [("Text", "7" * 200_000), ("Text", "x" * 200_000), ("Text", "|" * 100_000 + " 12"), ("Text", "a" + " " * 100_000 + "1"), ("Text", (SENTENCE + " ") * 20_000 + "The storm arr"), ("Text", "_" * 5_000)]
+    pages = frame(spark, body(spark) + [page(f"a{k}", "e", 1, b, b, b, b, b) for k, b in enumerate(odd)])
+    began = time.time()
+    assert {r.page_id for r in truncation.cut_blocks(pages).collect()} >= {"a4"}
+    assert repair.found_noise(pages).where("page_id = 'a4' and kind <> 'running'").count() == 0
+    assert time.time() - began < 90
