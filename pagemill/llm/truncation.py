@@ -6,13 +6,13 @@ Evidence of a cut, each told apart in the result:
 * trie: the final token is no known word, no misread one, but a proper prefix of known words: an inner
   node of the vocabulary trie (kept as a table of its nodes with what lies below each, so that tokens
   meet it in a join);
-* length: the text ends without a mark exactly at a field limit of its source, a length at which unclosed texts
-  of that source pile up against the lengths beside it;
+* length: the text ends without a mark exactly at a field limit of its source, a length at which texts of that source
+  that other evidence speaks for pile up against the lengths beside it;
 * closing: the text ends without a mark (or with an omission sign) under a label whose texts end with one by rule,
   which is counted over the corpus.
 
-Structure, a limit, or the trie's word with three letters (or with any of the other evidence) decides for
-every label. Cuts between two words leave a known final token, so the trie can't see them: for labels that
+Structure, or the trie's token decides for every label, a token of less than three letters only together with a limit (a
+roman number ends headings too). A limit alone decides nothing: short headings are equally long as well. Cuts between two words leave a known final token, so the trie can't see them: for labels that
 close by rule the missing mark decides alone. Exempt are running lines and page numbers (see `scan`), gaps to be
 filled in, sentences whose usual ending is an ellipsis, and a paragraph that is the last body text of
 its page while the exam's next page opens with its rest (a join on exam and page number, never a window over
@@ -184,8 +184,8 @@ def cut_tokens(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def field_limits(rows: DataFrame) -> DataFrame:
-    """source, n_chars: lengths at which the unclosed texts of a source pile up against the lengths within NEAR."""
-    n = rows.where("kind in ('cut', 'unclosed')").select("source", "n_chars", "page_id", "block_idx").distinct().groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    """source, n_chars: lengths at which the texts of a source that other evidence speaks for pile up against the lengths within NEAR."""
+    n = rows.select("source", "n_chars", "page_id", "block_idx").distinct().groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("n"))
     # At most one row per source and length, whatever the number of texts.
     near = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR)
@@ -212,14 +212,17 @@ def cut_blocks(pages: DataFrame, most: int | None = None) -> DataFrame:
     # An ellipsis is the usual ending of a sentence whose last words come with it in the middle of texts as well.
     usual = asked.join(ends, "context").where(f"goes_on >= 2 and goes_on >= {ENDING_SHARE} * ends").select("context", F.lit(True).alias("usual"))
     prefix = cut_tokens(rows, words).withColumn("prefix", F.lit(True))
-    limit = field_limits(rows).withColumn("at_limit", F.lit(True))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = rows.where("kind in ('cut', 'unclosed')").join(label, "label", "left").join(prefix, "token", "left").join(limit, ["source", "n_chars"], "left").join(usual, "context", "left")
-    own = own.where(~(F.col("omitted") & no("usual")))
+    own = rows.where("kind in ('cut', 'unclosed')").join(label, "label", "left").join(prefix, "token", "left").join(usual, "context", "left")
+    own = cut_lineage(own.where(~(F.col("omitted") & no("usual"))))
+    sure = (F.col("kind") == "cut") | no("closes") | (no("prefix") & (F.length("token") >= 3))
+    limit = field_limits(own.where(sure)).withColumn("at_limit", F.lit(True))
+    own = own.join(limit, ["source", "n_chars"], "left")
     trie = no("prefix") & ((F.length("token") >= 3) | no("closes") | no("at_limit"))
     # Without a closing rule an omission sign needs the trie; any length of the token will do then.
     trie = trie | (no("prefix") & F.col("omitted"))
-    limited = no("at_limit") & ~F.col("omitted")
+    decided = (F.col("kind") == "cut") | trie | no("closes")
+    limited = no("at_limit") & ~F.col("omitted") & decided
     evidence = F.array_compact(F.array(
         F.when(F.col("kind") == "cut", "structure"), F.when(trie, "trie"), F.when(limited, "length"), F.when((F.col("kind") == "unclosed") & no("closes"), "closing")
     ))
