@@ -16,13 +16,12 @@ EDGE_TWIPS = 720
 
 
 def fitted(pages: DataFrame) -> DataFrame:
-    """One row per page with its boxed blocks moved to the nearest paper (F3, F4, G2-G5, G7): main, edges, w, h, rejected.
+    """One row per row of `pages` with its boxed blocks moved to the nearest paper (F3, F4, G2-G5, G7): main, edges, w, h, rejected.
 
     Boxes, header split and stamp removal are array expressions inside the page's row, so a page's
     blocks are neither shuffled nor joined for them.
     """
-    # A window and not dropDuplicates: its aggregate would swallow the array expressions and the column split.
-    p = latest_by(pages, ["id"], [F.col("page_order")]).withColumn("n", geometry.nearest_paper(F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"))).where("n is not null")
+    p = pages.withColumn("n", geometry.nearest_paper(F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"))).where("n is not null")
     ow, oh, tw, th = F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"), F.col("n.width"), F.col("n.height")
     move = lambda b, i: geometry.scaled(b["bbox"][i], th if i % 2 else tw, oh if i % 2 else ow).cast("double")
     boxed = F.filter(F.transform("ocr_text.layouts", lambda b, i: F.struct(i.alias("block_idx"), b.alias("b"))), lambda x: F.size(x["b"]["bbox"]) == 4)
@@ -40,6 +39,21 @@ def fitted(pages: DataFrame) -> DataFrame:
     return p.withColumn("main", F.filter("body", lambda a: F.coalesce(a["category"] != "Picture", F.lit(True)) | ~hit(a))).drop("body")
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """page_id, _lead (true): the first rendered page of each exam, by an aggregation over keys, so that no exam's rows meet in one window.
+
+    A page with a boxed block that is neither header, footer nor picture is rendered for sure; only the others are fitted first.
+    """
+    n = geometry.nearest_paper(F.col("ocr_text.origin_width"), F.col("ocr_text.origin_height"))
+    body = lambda b: (F.size(b["bbox"]) == 4) & ~F.coalesce(b["category"].isin("Page-header", "Page-footer", "Picture"), F.lit(False))
+    sure = F.coalesce(F.exists("ocr_text.layouts", body), F.lit(False))
+    good = pages.where(n["diff"] <= geometry.MAX_RATIO_DIFF)
+    keys = good.where(sure).select(norm_key("exam_id").alias("exam_id"), F.col("id").alias("page_id"), F.col("page_order").cast("int").alias("page_order"))
+    rest = fitted(good.where(~sure)).where("size(main) > 0").select("exam_id", "page_id", "page_order")
+    lead = keys.unionByName(rest).groupBy("exam_id").agg(F.min(F.struct(F.col("page_order").isNull(), "page_order", "page_id")).alias("lead"))
+    return lead.select("lead.page_id", F.lit(True).alias("_lead"))
+
+
 def layout_plan(pages: DataFrame) -> DataFrame:
     """The main blocks of `whole_plan`: one row per block in a section's columns."""
     return whole_plan(pages).where("part = 'main'").drop("part", "share")
@@ -54,16 +68,16 @@ def whole_plan(pages: DataFrame) -> DataFrame:
     and all windows are partitioned by page.
     """
     p = fitted(pages).where("not rejected and size(main) > 0")
-    # The first rendered page of each exam: an aggregation of its own, so that no exam's rows meet in one window.
-    lead = p.groupBy("exam_id").agg(F.min(F.struct(F.col("page_order").isNull(), "page_order", "page_id")).alias("lead")).select(F.col("exam_id").alias("_exam"), F.col("lead.page_id").alias("_lead"))
     xs = lambda c: F.transform("main", lambda b: b[c])
     p = p.withColumn("col", layout.columns_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
     p = p.withColumns(geometry.margins_of(xs("x1"), xs("x2"), F.col("page_w").cast("double")))
+    # Repeated pages go only now, since a Python function forgets how rows are partitioned: all that follows stays in one shuffle by page.
+    p = latest_by(p, ["page_id"], [F.col("page_order")]).join(first_pages(pages), "page_id", "left")
     keep = ["block_idx", "category", "level", "text", "x1", "y1", "x2", "y2"]
     put = lambda b, part, col: F.struct(part.alias("part"), col.cast("int").alias("column_idx"), *[b[c].alias(c) for c in keep])
     main = F.transform("main", lambda b, k: put(b, F.lit("main"), F.element_at("col", k + 1)))
     edges = F.transform("edges", lambda b: put(b, F.when(b["category"] == "Page-header", "header").otherwise("footer"), F.lit(None)))
-    z = p.select("exam_id", "page_id", "page_order", "page_w", "page_h", "left", "right", F.inline(F.concat(main, edges)))
+    z = p.select("exam_id", "page_id", "page_order", "page_w", "page_h", "left", "right", "_lead", F.inline(F.concat(main, edges)))
     is_main = F.col("part") == "main"
     box, page = Window.partitionBy("page_id", "part", "column_idx"), Window.partitionBy("page_id", "part").orderBy("block_idx")
     z = z.withColumns({"cx1": F.min("x1").over(box), "cy1": F.min("y1").over(box), "cx2": F.max("x2").over(box), "cy2": F.max("y2").over(box)})
@@ -94,8 +108,7 @@ def whole_plan(pages: DataFrame) -> DataFrame:
     raw = F.max("_raw").over(box)
     z = z.withColumns({"_content": content, "_raw_col": raw, "_total": total, "_room": room})
     col_width = F.when(is_main, F.when(F.col("_total") > 0, F.col("_raw_col") / F.col("_total") * F.col("_room")).otherwise(F.col("_raw_col")))
-    z = z.join(lead, F.col("exam_id").eqNullSafe(F.col("_exam")))
-    kind = F.when(first & (F.col("page_id") != F.col("_lead")), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
+    kind = F.when(first & F.col("_lead").isNull(), "NEW_PAGE").when(first, "FIRST").when(F.col("_brk") == 1, "CONTINUOUS").otherwise("")
     return z.select(
         "exam_id", "page_id", "page_order", "part", "section_idx", "column_idx", "block_idx", "category", style.alias("style"), align.alias("align"),
         text.font_points(cat).alias("font_pt"), (cat == "Title").alias("force_bold"), kind.alias("break_type"),
