@@ -69,7 +69,8 @@ STREET_TYPES_VI = ("đường", "phố", "ngõ", "ngách", "hẻm")
 #: Upper-case letters of the Latin blocks, by rule.
 _UPPER = "".join(c for c in map(chr, range(0x41, 0x1F00)) if c.isupper() and unicodedata.name(c, "").startswith("LATIN"))
 _CAP = rf"[{_UPPER}](?:[^\W\d_]|[’'\-](?=[^\W\d_]))*"
-_NUM = r"(?<![\w/.,\-])(?<!№ )\d{1,4}[A-Za-z]?(?:/\d{1,4}[A-Za-z]?)?"
+#: A house number; it begins with its digit, so that the search skips to digits.
+_NUM = r"\d(?<![\w/.,\-]\d)(?<!№ \d)\d{0,3}[A-Za-z]?(?:/\d{1,4}[A-Za-z]?)?"
 _TOWN = rf"(?:,\s{_CAP}(?:\s{_CAP}){{0,2}})?"
 _DISTRICT = re.compile(rf",\s(?i:xã|phường|quận|huyện|thị trấn|thị xã|thành phố|tỉnh)\s{_CAP}(?:\s{_CAP}){{0,2}}")
 _ADDR_EN = re.compile(rf"{_NUM},?\s(?:{_CAP}\s){{1,3}}(?i:{'|'.join(re.escape(x) for x in sorted(STREET_TYPES_EN, key=len, reverse=True))})(?!\w)(?:,?\s(?i:Flat|Apt\.?|Unit)\s\w+)?{_TOWN}")
@@ -80,6 +81,7 @@ _HOUSE = re.compile(
     rf"{_NUM}(?=(?:\s(?i:bis|ter|quater))?,?\s(?:[{_UPPER}]|(?i:{'|'.join(STREET_TYPES_FR + STREET_TYPES_VI)})\s))"
 )
 _AT = re.compile(r"@|[\[(]\s?[Aa][Tt]\s?[\])]|\s[Aa][Tt]\s(?=[\w\-]+\s[Dd][Oo][Tt]\s)")
+_BRACKET_AT = re.compile(r"[\[(]\s?[Aa][Tt]\s?[\])]")
 _TOKEN_START = re.compile(r"\S+\s?\Z")
 #: Six or more digits with at most two separators between: where phones and identity numbers are looked for.
 _CLUSTER = re.compile(r"\d(?:[ .\-()\n]{0,2}\d){5,}")
@@ -170,7 +172,8 @@ def forms(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, list[t
     found: list[tuple[int, int, str]] = []
     bare: list[tuple[int, list[tuple[str, int]]]] = []
     typed: list[str] = []
-    for at in _AT.finditer(text):
+    mail = "@" in text or "dot" in text.lower() or _BRACKET_AT.search(text)
+    for at in _AT.finditer(text) if mail else ():
         begin = _TOKEN_START.search(text, max(0, text.rfind("\n", 0, at.start()) + 1), at.start())
         m = (EMAIL_WORDS if at.group()[0].isspace() else EMAIL).search(text, begin.start() if begin else at.start())
         if m and m.start() <= at.start() < m.end():

@@ -100,7 +100,7 @@ QUERIES = {
     for f in (p3_found, p3_titles, p3_texts, p4_found, p4_sources, p5_found, p5_paragraphs, p6_assignment, p6_report, p6_totals, p7_found, p7_items, p7_clean, p8_found, p8_redacted)
 }
 _WORDS = "regexp_extract_all(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[\\p{L}\\p{N}]+')"
-_GRAMS = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}))"
+_GRAMS = "SELECT {0}, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}))"
 _LEAKS = f"""WITH d AS ({_GRAMS.replace('{0}', 'doc_id').replace('{1}', 'documents')}), t AS ({_GRAMS.replace('{0}', 'item_id').replace('{1}', 'eval_item')}),
 leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (g))"""
 
@@ -108,6 +108,11 @@ SQL: dict[str, str] = {
     "p6_totals": """WITH s AS (SELECT coalesce(CASE WHEN n_tokens >= 0 THEN n_tokens END, strlen(text) + 1, 1)::BIGINT AS size FROM documents)
 SELECT target_id, count(*) AS n_docs, sum(greatest(1, ceil(size / capacity_tokens)))::BIGINT AS n_parts, sum(size)::BIGINT AS n_tokens, 0::BIGINT AS n_overfull
 FROM s, pack_target WHERE capacity_tokens > 0 GROUP BY target_id""",
+    # Common 12-grams at consecutive places of both texts make one match of 11 words more than there are of them.
+    "p7_items": f"""{_LEAKS}, m AS (SELECT DISTINCT d.doc_id, t.item_id, d.i, t.i AS j FROM d JOIN t USING (g)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM m),
+l AS (SELECT item_id, doc_id, max(n) + 11 AS longest FROM (SELECT item_id, doc_id, i - j, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT item_id, split_name, count(*) AS n_docs, max(longest)::INT AS longest, round(max(longest) / len({_WORDS}), 4) AS share FROM l JOIN eval_item USING (item_id) GROUP BY item_id, split_name, text""",
     "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p7_clean": f"{_LEAKS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }
