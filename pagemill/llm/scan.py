@@ -10,7 +10,7 @@ each page getting the entries it asks for; both ways give the same result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -29,6 +29,7 @@ NOISE_RATIO = 8
 PIECE_RATIO = 300
 #: Up to this measured size a table is sent to the workers.
 MOST_BYTES = 32 << 20
+SALT = 16
 
 # What scanners read (left) for what is printed (right).
 CONFUSIONS = (
@@ -87,24 +88,22 @@ class Trie:
     def __init__(self, keys: Iterable[str]):
         self.keys = sorted(set(keys))
 
-    def root(self) -> tuple[int, int, int]:
-        """(first key, last key + 1, depth) of the root."""
-        return 0, len(self.keys), 0
+    def root(self) -> tuple[int, int, str]:
+        """(first key, last key + 1, prefix) of the root."""
+        return 0, len(self.keys), ""
 
-    def step(self, node: tuple[int, int, int], s: str) -> tuple[int, int, int] | None:
+    def step(self, node: tuple[int, int, str], s: str) -> tuple[int, int, str] | None:
         """The node reached by the characters `s`, or None."""
-        for c in s:
-            lo, hi, d = node
-            lo = bisect_left(self.keys, c, lo, hi, key=lambda k: k[d : d + 1])
-            hi = bisect_right(self.keys, c, lo, hi, key=lambda k: k[d : d + 1])
-            if lo == hi:
-                return None
-            node = lo, hi, d + 1
-        return node
-
-    def ends(self, node: tuple[int, int, int]) -> bool:
+        lo, hi, prefix = node
+        prefix += s
+        lo = bisect_left(self.keys, prefix, lo, hi)
+        if lo == hi or not self.keys[lo].startswith(prefix):
+            return None
+        return lo, bisect_left(self.keys, prefix + "\U0010ffff", lo, hi), prefix
+
+    def ends(self, node: tuple[int, int, str]) -> bool:
         """True when a key ends at the node."""
-        return len(self.keys[node[0]]) == node[2]
+        return self.keys[node[0]] == node[2]
 
     def is_inner(self, s: str) -> bool:
         """True when `s` is a proper prefix of a key."""
@@ -203,9 +202,10 @@ class Shared:
                 found = [(*(r[i] for i in ids), k) for r in b.to_dict("records") for k in {*asks(r)}]
                 yield pd.DataFrame(found, columns=[*ids, "_k"])
 
-        asked = rows.mapInPandas(run, f"{ddl}, _k string")
-        own = self.table.select(F.col(self.key).alias("_k"), F.struct(*self.columns).alias("_v"))
-        got = asked.join(own, "_k").groupBy(*ids).agg(F.collect_list("_v").alias(out))
+        # A frequent key is asked for by nearly every row, so keys are salted by the asking row.
+        asked = rows.mapInPandas(run, f"{ddl}, _k string").withColumn("_s", F.pmod(F.xxhash64(*ids), F.lit(SALT)).cast("int"))
+        own = self.table.select(F.col(self.key).alias("_k"), F.struct(*self.columns).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
+        got = asked.join(own, ["_k", "_s"]).groupBy(*ids).agg(F.collect_list("_v").alias(out))
         return rows.join(got, ids, "left")
 
     def sender(self, make: Callable[[list[tuple]], object], spark):

@@ -213,7 +213,11 @@ def cut_blocks(pages: DataFrame, most: int | None = None) -> DataFrame:
     usual = asked.join(ends, "context").where(f"goes_on >= 2 and goes_on >= {ENDING_SHARE} * ends").select("context", F.lit(True).alias("usual"))
     prefix = cut_tokens(rows, words).withColumn("prefix", F.lit(True))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = rows.where("kind in ('cut', 'unclosed')").join(label, "label", "left").join(prefix, "token", "left").join(usual, "context", "left")
+    # Most rows end in no word and in no sign of omission: these don't go through the joins on token and context.
+    own = rows.where("kind in ('cut', 'unclosed')").join(label, "label", "left")
+    never = F.lit(None).cast("boolean")
+    own = own.where("token <> ''").join(prefix, "token", "left").unionByName(own.where("token = ''").withColumn("prefix", never))
+    own = own.where("omitted").join(usual, "context", "left").unionByName(own.where("not omitted").withColumn("usual", never))
     own = cut_lineage(own.where(~(F.col("omitted") & no("usual"))))
     sure = (F.col("kind") == "cut") | no("closes") | (no("prefix") & (F.length("token") >= 3))
     limit = field_limits(own.where(sure)).withColumn("at_limit", F.lit(True))
