@@ -27,7 +27,6 @@ mentions for each row; very long texts are processed whole.
 from __future__ import annotations
 
 import json
-import math
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
