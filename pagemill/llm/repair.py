@@ -357,7 +357,7 @@ def page_noise(pages: DataFrame, lex: Shared, decode: bool = True) -> DataFrame:
                     out.extend((exam, page, order, i, k, "") for k in kinds)
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"page_order": "Int32"})
 
-    return with_lexicon(page_rows(pages), lex).mapInPandas(run, _NOISE)
+    return with_lexicon(page_rows(pages).drop("source", "labels"), lex).mapInPandas(run, _NOISE)
 
 
 def heads_after(blocks: list[tuple[int, str]], j: int) -> list[tuple[int, str]]:

@@ -267,7 +267,7 @@ def counted(pages: DataFrame) -> DataFrame:
             rows = [("word", w, n) for w, n in words.items()] + [("line", m, n) for m, n in lines.items()]
             yield pd.DataFrame(rows, columns=["kind", "key", "n"])
 
-    return page_rows(pages).mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return page_rows(pages).select("page_order", "texts", "labels").mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 @F.pandas_udf(T.BooleanType())
