@@ -238,15 +238,15 @@ def count_words(texts: Iterable[str | None]) -> Counter:
     for t in texts:
         if not isinstance(t, str) or not t:
             continue
-        t = canonical(t)
         if "\n" in t:
-            t = _DIVIDED.sub(" ", t)
+            t = _DIVIDED.sub(" ", canonical(t))
         if t[-1] in "….])":
             t = _OMITTED.sub("", t)
         chunks.update(t.split()[1:-1])
     words: Counter = Counter()
     for c, n in chunks.items():
-        for w in _NO_WORD.split(c.lower()):
+        # A consistent form never reaches over white space, so it is made of the distinct chunks.
+        for w in _NO_WORD.split(canonical(c).lower()):
             if w and w.isalpha():
                 words[w] += n
     return words
